@@ -7,17 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import neardup
+from foliant.llm import langid, mixing, neardup, piece
 from foliant.sources.tables import read_table
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the installed public tokenizers keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(read_table(spark, sf_dir, "documents"))
+    return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece.encoded(read_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    found = langid.predictions(docs, model)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    listed = (op5_minhash_near_dedup, op7_mix_sources, op8_sentencepiece, op10_language_id)
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
