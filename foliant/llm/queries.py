@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, mixing, neardup, piece
+from foliant.llm import langid, lmscore, mixing, neardup, piece, topk
 from foliant.sources.tables import read_table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(read_table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -32,6 +37,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encoded(read_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.scores(docs, lmscore.fit(docs, good))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
@@ -40,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op5_minhash_near_dedup, op7_mix_sources, op8_sentencepiece, op10_language_id)
+    listed = (op4_exact_top_k, op5_minhash_near_dedup, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
     return {f.__name__: f for f in listed}
 
 
