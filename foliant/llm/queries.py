@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, lmscore, mixing, neardup, piece, topk
+from foliant.llm import fingerprint, langid, lmscore, mixing, neardup, piece, topk
 from foliant.sources.tables import read_table
 
 
@@ -28,6 +28,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprinted(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(read_table(spark, sf_dir, "documents"))
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -51,7 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op4_exact_top_k, op5_minhash_near_dedup, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
+    listed = (op4_exact_top_k, op5_minhash_near_dedup, op6_document_fingerprint, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
     return {f.__name__: f for f in listed}
 
 
