@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import fingerprint, langid, lmscore, mixing, neardup, piece, topk
+from foliant.llm import fingerprint, langid, lmscore, mixing, neardup, piece, substring, topk
 from foliant.sources.tables import read_table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_passages(read_table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "other": "other_doc_id"})
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
@@ -55,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op4_exact_top_k, op5_minhash_near_dedup, op6_document_fingerprint, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
+    listed = (op3_substring_dedup, op4_exact_top_k, op5_minhash_near_dedup, op6_document_fingerprint, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
     return {f.__name__: f for f in listed}
 
 
