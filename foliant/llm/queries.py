@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import fingerprint, langid, lmscore, mixing, neardup, piece, substring, topk
+from foliant.llm import fingerprint, langid, lmscore, mixing, neardup, pii, piece, substring, topk
 from foliant.sources.tables import read_table
 
 
@@ -18,6 +18,13 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_spans(docs, pii.fit(docs))
+    counts = [F.size(F.filter(F.col("base")["kind"], F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeated_passages(read_table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "other": "other_doc_id"})
@@ -60,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op3_substring_dedup, op4_exact_top_k, op5_minhash_near_dedup, op6_document_fingerprint, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
+    listed = (op1_pii_spans, op3_substring_dedup, op4_exact_top_k, op5_minhash_near_dedup, op6_document_fingerprint, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
     return {f.__name__: f for f in listed}
 
 
