@@ -33,12 +33,12 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z0-9-]{2,63}+)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[(\[](?:at|At|AT)[)\]]|\x20(?:at|AT)\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[(\[](?:dot|Dot|DOT)[)\]]|\x20(?:dot|Dot|DOT)\x20)\x20?[A-Za-z0-9-]{2,63}+)++",
     "phone": r"(?<![A-Za-z0-9])[+(]?[0-9][0-9().\x20/-]{5,40}[0-9](?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{14,200}+(?![A-Za-z0-9_/+-])",
 }
-# A text without any of these has no span and no candidate.
-GATE = r"(?i)[0-9@]|[(\[]at[)\]]|\x20dot\x20"
+# A text with no digit, no @ and none of these has no span and no candidate.
+DISGUISES = ("(at)", "[at]", "(AT)", "[AT]", "(At)", "[At]", " dot ", " DOT ", " Dot ")
 WORDS = {
     1: r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|reach)[^A-Za-z0-9]{0,8}+$",
     2: r"(?i)(?:card|visa|credit|iban|account|pay)[^A-Za-z0-9]{0,8}+$",
@@ -53,15 +53,17 @@ FEATURES = ("gen", "digits", "size", "plus", "paren", "marks", "at", "case", "wo
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (b, e, m): places in code points, end exclusive, and text of the pattern's matches from the left."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("named_struct('at', 0, 'i', 0, 'out', cast(array() as array<struct<b:int,e:int,m:string>>))")
+    # gap i comes before match i; the last gap has no match behind it
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    start = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<b:int,e:int,m:string>>))")
 
-    def step(acc: Column, m: Column) -> Column:
-        b = acc["at"] + F.length(F.get(gaps, acc["i"]))
-        e = b + F.length(m)
-        return F.struct(e.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(F.struct(b.alias("b"), e.alias("e"), m.alias("m")))).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        b = acc["at"] + F.length(x["g"])
+        e = b + F.length(x["m"])
+        grown = F.concat(acc["out"], F.array(F.struct(b.alias("b"), e.alias("e"), x["m"].alias("m"))))
+        return F.struct(F.coalesce(e, b).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(grown).alias("out"))
 
-    return F.aggregate(found, empty, step, lambda acc: acc["out"])
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
 def _valid(kind: str, s: Column) -> Column:
@@ -83,9 +85,13 @@ def _placed(kind: int, s: Column) -> Column:
 def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with _base (k, b, e) and _cand (FEATURES, b, e, y, base) of each text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    some = text.rlike(GATE)
+    gate = text.rlike("[0-9@]")
+    for d in DISGUISES:
+        gate = gate | text.contains(d)
+    some = F.col("_b_some")
     none = F.expr("cast(array() as array<struct<b:int,e:int,m:string>>)")
-    rows = docs.withColumns({f"_b_{k}": F.when(some, F.filter(matches(text, p), partial(_valid, k))).otherwise(none) for k, p in BASE.items()})
+    rows = docs.withColumn("_b_some", gate)
+    rows = rows.withColumns({f"_b_{k}": F.when(some, F.filter(matches(text, p), partial(_valid, k))).otherwise(none) for k, p in BASE.items()})
     rows = rows.withColumns({f"_g_{k}": F.when(some, matches(text, p)).otherwise(none) for k, p in GENERATORS.items()})
     base = F.concat(*[F.transform(f"_b_{k}", partial(_placed, i)) for i, k in enumerate(BASE)])
     rows = rows.withColumn("_base", base)
