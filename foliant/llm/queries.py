@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import fingerprint, langid, lmscore, mixing, neardup, pii, piece, substring, topk
+from foliant.llm import fingerprint, langid, linededup, lmscore, mixing, neardup, pii, piece, substring, topk
 from foliant.sources.tables import read_table
 
 
@@ -25,6 +25,13 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.line_report(docs).select(F.col("id").alias("doc_id"), "n_lines", "n_exact", "n_near", "removed")
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_exact", "n_near")]
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *none, F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeated_passages(read_table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"id": "doc_id", "other": "other_doc_id"})
@@ -67,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_pii_spans, op3_substring_dedup, op4_exact_top_k, op5_minhash_near_dedup, op6_document_fingerprint, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
+    listed = (op1_pii_spans, op2_line_dedup, op3_substring_dedup, op4_exact_top_k, op5_minhash_near_dedup, op6_document_fingerprint, op7_mix_sources, op8_sentencepiece, op9_lm_score, op10_language_id)
     return {f.__name__: f for f in listed}
 
 
