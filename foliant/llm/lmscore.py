@@ -6,8 +6,8 @@ are hashed into PAIRS classes. So both models have the same classes, smoothing a
 tables have a fixed size. A document's score is the mean over its words of the target's loss less the
 background's, in bits: the lower, the more like the target.
 
-Counts cover every word of every text. Each map task adds up its own, then a shuffle adds up the tasks'.
-The models that tasks need are two tables of VOCAB and PAIRS pairs of counts: their size is a parameter,
+Counts cover every word of every text. Each map task adds up its own in dense tables, which go to the
+shuffle in chunks and are added up there as they come in, one table at a time. The models that tasks need are two tables of VOCAB and PAIRS pairs of counts: their size is a parameter,
 not a matter of the data.
 """
 
@@ -24,6 +24,10 @@ from foliant.llm.arrowtext import Words, mix, slices, words
 
 VOCAB = 1 << 18
 PAIRS = 1 << 20
+#: Counts travel in chunks of so many classes.
+CHUNK = 1 << 14
+#: Up to so many ids (8 bytes each) of target texts are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Weight of the pair estimate; the rest goes to the word estimate, that has 1 added to each class.
 LAMBDA = 0.6
 
@@ -72,29 +76,38 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     Null texts and ids that docs doesn't have add nothing. Repeated ids of target count once.
     """
     good = target.select(F.col(id_col).alias("_good")).where("_good is not null").distinct()
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     marked = docs.where(F.col(text_col).isNotNull()).join(good, docs[id_col] == good["_good"], "left")
     marked = marked.select(F.col("_good").isNotNull().alias("good"), F.col(text_col).alias("text"))
     size = 2 * VOCAB + 1 + PAIRS
+    parts = -(-size // CHUNK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size), np.int64)
+        total = np.zeros((2, parts * CHUNK), np.uint32)
         for batch in batches:
             for part in slices(batch):
                 doc, word, pair, before = _classes(words(part.column("text"), lower=True))
                 own = part.column("good").to_numpy(zero_copy_only=False).astype(bool)[doc]
                 at = np.concatenate([word, VOCAB + before, 2 * VOCAB + 1 + pair])
-                total[1] += np.bincount(at, minlength=size)
-                total[0] += np.bincount(at[np.tile(own, 3)], minlength=size)
-        at = np.flatnonzero(total[1])
-        for begin in range(0, len(at), 1 << 16):
-            part = at[begin : begin + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0][part]), pa.array(total[1][part])], ["at", "t", "b"])
-
-    rows = marked.mapInArrow(count, "at long, t long, b long").groupBy("at").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    found = rows.toArrow()  # at most 2 * VOCAB + 1 + PAIRS rows
-    table = np.zeros((2, size), np.int64)
-    at = found.column("at").to_numpy()
-    table[0][at], table[1][at] = found.column("t").to_numpy(), found.column("b").to_numpy()
+                total[1] += np.bincount(at, minlength=parts * CHUNK).astype(np.uint32)
+                total[0] += np.bincount(at[np.tile(own, 3)], minlength=parts * CHUNK).astype(np.uint32)
+        for k in range(parts if total.any() else 0):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[:, k * CHUNK : (k + 1) * CHUNK].tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    schema = "chunk long, counts binary"
+    table = np.zeros((2, parts * CHUNK), np.int64)
+    for row in marked.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():
+        table[:, row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int64).reshape(2, CHUNK)
+    table = table[:, :size]
     return PairModel(table[:, :VOCAB], table[:, VOCAB : 2 * VOCAB + 1], table[:, 2 * VOCAB + 1 :])
 
 
