@@ -113,7 +113,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "quality_report": _report(),
         "metric_variance_report": f"""WITH {_metrics()}, long AS (UNPIVOT (SELECT doc_id, {", ".join(METRICS)} FROM metrics) ON {", ".join(METRICS)} INTO NAME metric VALUE value),
-          stats AS (SELECT metric, CASE metric {weights} END AS weight, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, arg_min(doc_id, (value, doc_id)) AS worst, count(*) AS n FROM long GROUP BY metric)
+          stats AS (SELECT metric, (CASE metric {weights} END)::DOUBLE AS weight, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, arg_min(doc_id, (value, doc_id)) AS worst, count(*) AS n FROM long GROUP BY metric)
           SELECT metric, weight, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, worst, n, weight <= 0.06 AND std > 0.02 AS flagged, n < 15 AS few FROM stats""",
         "run_counters": f"SELECT status, count(*) AS n FROM ({_report()}) GROUP BY status",
         "paragraph_integrity": f"WITH {_metrics()} SELECT doc_id, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS)}, 1.0::DOUBLE AS orphan_paragraph_ratio FROM metrics",
