@@ -15,6 +15,8 @@ Only hashes go through the joins; the text of a line is fetched where it is in a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def _segments(length: Column) -> list[tuple[Column, Column]]:
 
 
 def _key(part: Column, segment: int, length: Column) -> Column:
-    return F.xxhash64(part, F.lit(segment), length.cast("int"))
+    return F.xxhash64(part, length.cast("int") * (TAU + 1) + segment)
 
 
 def _index(line: Column, n: Column) -> list[Column]:
@@ -93,31 +95,42 @@ def within(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     state move on together with each character of x.
     """
     band = (1 << (2 * TAU + 1)) - 1
-    rows = pairs.withColumns({"_xs": F.split(x, ""), "_ys": F.split(y, "")})
-    rows = rows.withColumns({"_nx": F.length(x), "_ny": F.length(y)})
     # bit d + TAU is diagonal d; at the start the distance on diagonal d >= 0 is d
     start = F.struct(F.lit(0).alias("i"), *[F.lit(sum(1 << (TAU + k) for k in range(d + 1))).alias(f"r{d}") for d in range(TAU + 1)])
+    nx, ny = F.length(x), F.length(y)
 
-    def step(acc: Column, c: Column) -> Column:
+    def step(ys: Column, acc: Column, c: Column) -> Column:
         same = F.lit(0)
         for d in range(-TAU, TAU + 1):
             at = acc["i"] + d
-            hit = F.coalesce((at >= 0) & (F.get("_ys", at) == c), F.lit(False))
+            hit = F.coalesce((at >= 0) & (F.get(ys, at) == c), F.lit(False))
             same = same.bitwiseOR(F.when(hit, 1 << (d + TAU)).otherwise(0))
-        new: list[Column] = []
-        for d in range(TAU + 1):
-            r = acc[f"r{d}"].bitwiseAND(same)
-            if d:
-                old = acc[f"r{d - 1}"]
-                r = r.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(band))
-            new.append(r)
-        return F.struct((acc["i"] + 1).alias("i"), *[r.alias(f"r{d}") for d, r in enumerate(new)])
-
-    rows = rows.where(F.abs(F.col("_ny") - F.col("_nx")) <= TAU).withColumn("_end", F.aggregate("_xs", start, step))
-    reached = [F.expr(f"shiftright(_end.r{d}, _ny - _nx + {TAU}) & 1") == 1 for d in range(TAU + 1)]
-    most = allowed(F.greatest("_nx", "_ny"))
-    ok = F.when(most == 0, reached[0]).when(most == 1, reached[1]).otherwise(reached[TAU])
-    return rows.where(ok).drop("_xs", "_ys", "_nx", "_ny", "_end")
+        return _let(same, lambda same: F.struct((acc["i"] + 1).alias("i"), *_moved(acc, same, band)))
+
+    def reached(end: Column) -> Column:
+        on = [end[f"r{d}"].bitwiseAND(F.call_function("shiftleft", F.lit(1), ny - nx + TAU)) != 0 for d in range(TAU + 1)]
+        most = allowed(F.greatest(nx, ny))
+        return F.when(most == 0, on[0]).when(most == 1, on[1]).otherwise(on[TAU])
+
+    chars = F.struct(F.split(x, "").alias("xs"), F.split(y, "").alias("ys"))
+    ok = _let(chars, lambda s: _let(F.aggregate(s["xs"], start, lambda acc, c: step(s["ys"], acc, c)), reached))
+    return pairs.where(F.abs(ny - nx) <= TAU).where(ok)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once: the optimizer copies an alias into each place, a lambda's variable not."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def _moved(acc: Column, same: Column, band: int) -> list[Column]:
+    new: list[Column] = []
+    for d in range(TAU + 1):
+        r = acc[f"r{d}"].bitwiseAND(same)
+        if d:
+            old = acc[f"r{d - 1}"]
+            r = r.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(band))
+        new.append(r)
+    return [r.alias(f"r{d}") for d, r in enumerate(new)]
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -125,8 +138,11 @@ def near_lines(lines: DataFrame) -> DataFrame:
     n = F.length("line")
     some = lines.where(n >= NEAR_FROM - TAU).select("h", "line", n.alias("n"))
     some = some.withColumn("f", _counts(F.col("line"), F.col("n")))
-    index = some.select("h", "f", F.explode(F.array(*_index(F.col("line"), F.col("n")))).alias("key")).distinct()
+    index = some.select("h", "f", F.explode(F.array(*_index(F.col("line"), F.col("n")))).alias("key"))
     probe = some.select(F.col("h").alias("ph"), F.col("f").alias("pf"), F.explode(F.array(*_probes(F.col("line"), F.col("n")))).alias("key"))
+    # repeated lines meet, and become one, where their keys are dealt to; nothing is dealt twice
+    index = index.repartition("key").dropDuplicates(["key", "h", "f"])
+    probe = probe.repartition("key").dropDuplicates(["key", "ph", "pf"])
     close = (F.col("h") != F.col("ph")) & (_apart(F.col("f"), F.col("pf")) <= 2 * TAU)
     pairs = probe.join(index.hint("shuffle_hash"), (probe["key"] == index["key"]) & close)
     pairs = materialize(pairs.select(F.least("h", "ph").alias("a"), F.greatest("h", "ph").alias("b")).distinct(), "linepairs")
@@ -171,9 +187,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text all of whose lines repeat earlier ones becomes empty.
     """
-    report = line_report(docs, id_col, text_col).where(F.size("removed") > 0).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
-    joined = docs.join(report, same, "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    report = line_report(docs, id_col, text_col).where(F.size("removed") > 0)
+    # the row travels as one value, so its names can't clash with others
+    names = docs.columns
+    packed = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("digest"))
+    joined = packed.join(report, F.col("key").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("th")), "left")
+    own = F.col("row")[text_col]
+    kept = F.filter(F.split(own, "\n"), lambda line, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names])
