@@ -65,8 +65,8 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for part in slices(batch):
+def _parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    for part in slices(batch, column):
         for begin in range(0, part.num_rows, 512):
             yield part.slice(begin, 512)
 
@@ -171,11 +171,11 @@ def predictions(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", t
 
 def accepted(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text the model accepts."""
-    schema, names = docs.schema, docs.columns
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch.append_column("text", batch.column(text_col)) if text_col != "text" else batch):
-                yield part.select(names).filter(pa.array(model.predict(part.column("text"))[2]))
+            for part in _parts(batch, text_col):
+                yield part.filter(pa.array(model.predict(part.column(text_col))[2]))
 
     return docs.mapInArrow(run, schema)

@@ -161,27 +161,31 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     chosen = plan(docs, id_col, text_col, source_col, seed).where("taken > 0").select("id", "digest", "passes", "spans", "size")
     turn = Window.partitionBy("id", "digest").orderBy("size")
     chosen = chosen.withColumn("turn", F.row_number().over(turn.orderBy("passes", "spans")))
-    rows = docs.withColumns({"_id": F.col(id_col), "_digest": F.xxhash64(text_col)})
-    rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.col(source_col))))
-    joined = rows.join(chosen, (rows["_id"] == chosen["id"]) & (rows["_digest"] == chosen["digest"]) & (rows["_turn"] == chosen["turn"]))
+    # the row travels as one value, so its names can't clash with others
     names, schema = docs.columns, docs.schema
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("mark"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("own", "mark").orderBy(F.col("row")[source_col])))
+    joined = rows.join(chosen, F.col("own").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("digest")) & (F.col("place") == F.col("turn")))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                copies, spans = part.column("passes").to_pylist(), part.column("spans").to_pylist()
-                take = pa.array(np.repeat(np.arange(part.num_rows), copies))
-                some = [i for i, s in enumerate(spans) if s]
-                whole = part.select(names)
-                yield whole.take(take)
+            fields = dict(zip(names, batch.column("row").flatten(), strict=True))
+            whole = pa.RecordBatch.from_arrays(list(fields.values()), names)
+            copies, spans = batch.column("passes").to_numpy(), batch.column("spans").to_pylist()
+            begin = 0
+            for part in slices(whole, text_col):
+                own = slice(begin, begin + part.num_rows)
+                begin += part.num_rows
+                yield part.take(pa.array(np.repeat(np.arange(part.num_rows), copies[own])))
+                some = [i for i, s in enumerate(spans[own]) if s]
                 if some:
-                    w = words(part.column(text_col))
+                    w = words(part.column(at))
                     cut = []
                     for i in some:
                         first = w.first[i]
-                        cut.append(b" ".join(w.data[w.starts[first + s["lo"] + k] : w.ends[first + s["lo"] + k]].tobytes() for s in spans[i] for k in range(s["hi"] - s["lo"])).decode())
-                    rest = whole.take(pa.array(some))
+                        cut.append(b" ".join(w.data[w.starts[first + s["lo"] + k] : w.ends[first + s["lo"] + k]].tobytes() for s in spans[own][i] for k in range(s["hi"] - s["lo"])).decode())
+                    rest = part.take(pa.array(some))
                     yield rest.set_column(at, rest.schema.field(at), pa.array(cut, rest.schema.field(at).type))
 
-    return joined.select(*names, "passes", "spans").mapInArrow(run, schema)
+    return joined.select("row", "passes", "spans").mapInArrow(run, schema)

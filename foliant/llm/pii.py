@@ -203,9 +203,10 @@ def find_spans(docs: DataFrame, model: SpanModel, text_col: str = "text") -> Dat
 
     Places are code points, ends exclusive. base has the checked matches of BASE; spans has these and what
     the model adds. A null or empty text has none. Equal texts get equal spans; all rows and columns
-    stay, but names that start with `_base`, `_cand`, `_b_` or `_g_` are reserved.
+    stay, but columns of docs that are named base or spans give way.
     """
-    rows = _with_spans(docs, text_col)
+    keep = [c for c in docs.columns if c not in ("base", "spans")]
+    rows = _with_spans(docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text")), "text")
 
     def passes(c: Column) -> Column:
         limit = F.lit(1e9)
@@ -217,7 +218,7 @@ def find_spans(docs: DataFrame, model: SpanModel, text_col: str = "text") -> Dat
     added = F.transform(F.filter("_cand", passes), lambda c: F.struct(F.element_at(kind_of, c["gen"]).alias("k"), c["b"].alias("b"), c["e"].alias("e")))
     name = F.array(*[F.lit(k) for k in KINDS])
     named = lambda spans: F.transform(F.array_sort(F.array_distinct(spans)), lambda s: F.struct(F.get(name, s["k"]).alias("kind"), s["b"].alias("b"), s["e"].alias("e")))
-    return rows.withColumn("_added", added).select(*docs.columns, named(F.col("_base")).alias("base"), named(F.concat("_base", "_added")).alias("spans"))
+    return rows.withColumn("_added", added).select("row.*", named(F.col("_base")).alias("base"), named(F.concat("_base", "_added")).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
