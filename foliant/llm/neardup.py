@@ -8,8 +8,9 @@ similarity 0.8 a pair misses all tables with probability 2 * (1 - 0.64)**12 < 1e
 Links. Rows of one bucket become candidate pairs: all pairs in a bucket of up to STAR rows, and pairs
 with one leader in a larger one. Candidates are confirmed on the whole sets. What a star may miss is
 made up for exactly: the buckets over STAR rows tie their members into coarse clusters, and every
-member of a coarse cluster that is outside the cluster's largest component is compared with all
-members of other components there.
+member of a coarse cluster that is outside the cluster's largest component is compared with the
+members of other components there that it can be linked to at all: a pair shares no more shingles
+than either has in common with the rest of the cluster, which few pairs of stragglers outlive.
 
 Scale. Texts with equal sets are one row from the start, and buckets of a map batch over STAR rows
 are reduced to two rows before the shuffle, so that a group which holds a third of all rows reaches no
@@ -33,8 +34,8 @@ from foliant.plans.scratch import materialize
 TABLES_A = TABLES_B = 12
 ROWS = 2
 BITS = 64
-STAR = 16
-LEADERS = 16
+STAR = 4
+LEADERS = 4
 #: Of BITS one-bit minhashes, a pair at 0.8 agrees in 57.6 on average; 42 is over six deviations less.
 AGREE = 42
 KEYS_PER_TASK = 2_000_000
@@ -202,6 +203,19 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, members binary")
 
 
+def _members(tied: DataFrame, size: int) -> DataFrame:
+    """(cluster, id, h): a row for each shingle of tied(id, cluster, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                first, h = distinct(*shingles(words(part.column("text"), lower=True), size), part.num_rows)
+                at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
+                yield pa.RecordBatch.from_arrays([part.column("cluster").take(at), part.column("id").take(at), _long(h)], ["cluster", "id", "h"])
+
+    return tied.select("cluster", "id", "text").mapInArrow(run, "cluster long, id long, h long")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) whose whole sets have 100 * intersection >= percent * union."""
 
@@ -256,14 +270,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = reps.select("id", "sketch")
     member = coarse.withColumnRenamed("component", "cluster").join(fine, "id", "left").withColumn("component", F.coalesce("component", "id"))
     member = materialize(member.join(sketches, "id"), "members")
-    main = member.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    odd = member.join(main, "cluster").where("component <> main")
-    x = odd.select("cluster", F.col("id").alias("xi"), F.col("component").alias("xc"), F.col("sketch").alias("xs"), F.col("main").alias("xm"))
-    y = member.select("cluster", F.col("id").alias("yi"), F.col("component").alias("yc"), F.col("sketch").alias("ys"))
+    main = member.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    member = member.join(main, "cluster")
+    tied = member.select("id", "cluster").join(known, "id")
+    shared = _members(tied, size).groupBy("cluster", "h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("cluster", "id").agg(F.count("*").alias("own"))
+    member = member.join(reps.select("id", "n_shingles"), "id").join(shared, ["cluster", "id"], "left")
+    member = materialize(member.withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))), "common")
+    odd = member.where("component <> main")
+    x = odd.select("cluster", F.col("id").alias("xi"), F.col("component").alias("xc"), F.col("sketch").alias("xs"), F.col("main").alias("xm"), F.col("n_shingles").alias("xn"), F.col("common").alias("xo"))
+    y = member.select("cluster", F.col("id").alias("yi"), F.col("component").alias("yc"), F.col("sketch").alias("ys"), F.col("n_shingles").alias("yn"), F.col("common").alias("yo"))
+    most = F.least("xo", "yo")
+    enough = 100 * most >= percent * (F.col("xn") + F.col("yn") - most)
     once = (F.col("yc") == F.col("xm")) | (F.col("xi") < F.col("yi"))
     apart = F.col("xc") != F.col("yc")
     alike = F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= BITS - AGREE
-    rest = x.join(y, (x["cluster"] == y["cluster"]) & apart & once & alike).select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
+    rest = x.join(y, (x["cluster"] == y["cluster"]) & apart & once & alike & enough).select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
     more = materialize(_confirm(rest, known, size, percent), "more")
     links = links.unionByName(more)
     if more.limit(1).count():
@@ -282,8 +303,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without words, and rows with a null id, stay.
     """
     found = near_duplicates(docs, id_col, text_col, size, percent)
-    drop = found.where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(drop, docs[id_col].cast("long") == drop["_gone"], "left_anti")
-    order = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.col(text_col))
-    ranked = left.withColumn("_turn", F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), 1).otherwise(F.row_number().over(order)))
-    return ranked.where("_turn = 1").drop("_turn")
+    drop = found.where(F.col(id_col).isNotNull() & ~F.col("kept")).select(F.col(id_col).alias("gone")).distinct()
+    # the row travels as one value, so its names can't clash with others
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    left = packed.join(drop, packed["key"] == drop["gone"], "left_anti")
+    order = Window.partitionBy("key", F.xxhash64("text")).orderBy("text")
+    ranked = left.withColumn("turn", F.when(F.col("key").isNull() | F.col("text").isNull(), 1).otherwise(F.row_number().over(order)))
+    return ranked.where("turn = 1").select("row.*")
