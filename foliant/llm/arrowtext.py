@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,13 +31,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    up[0] = 1
-    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: Powers of _BASE and of its inverse: one table, grown where a slice needs more.
+_powers_so_far = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Tables of n powers at least."""
+    if len(_powers_so_far[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            _powers_so_far[k] = np.cumprod(table, out=table)
+    return _powers_so_far
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -75,7 +79,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial in its bytes mod 2**64, then mixed."""
         n = len(self.data)
-        up, down = _powers(max(1 << 16, 1 << (n + 1).bit_length()))
+        up, down = _powers(max(n + 1, SLICE_BYTES + (SLICE_BYTES >> 3)))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
