@@ -30,6 +30,8 @@ CAP = 3
 SHARD_ROWS = 50_000
 #: Sources are a table of one row each, which the driver reads; more than this many are refused.
 MAX_SOURCES = 1_000_000
+#: Up to so many are broadcast, so that a hot source's documents stay where they are; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 #: Blocks have up to BLOCK_WORDS words, fewer where the corpus would not have BLOCKS of them.
 BLOCK_WORDS, BLOCKS = 256, 65_536
 #: A prime beyond any shard's number of blocks: multiplying by it permutes them.
@@ -121,6 +123,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     quota = apportion([float(x) for x in want], round(Fraction(total, block)), [CAP * s // block for s in sizes])
     table = [(r.key, r.source_size, float(w), q, max(1, ceil(r.docs / SHARD_ROWS))) for r, w, q in zip(rows, want, quota, strict=True)]
     sources = spark.createDataFrame(table, "key string, source_size long, target double, quota long, shards long")
+    if len(table) <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
     order = F.xxhash64(F.col("id"), F.lit(seed))
     dealt = sized.join(sources, "key").withColumn("order", order).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.col("shards")))
 
