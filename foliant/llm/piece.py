@@ -26,6 +26,8 @@ from foliant.llm.arrowtext import slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+#: Texts that are encoded together: more share more words, and take more memory.
+SLICE_BYTES = 4 << 20
 _NONE = np.int64(1 << 40)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -289,7 +291,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", SLICE_BYTES):
                 s = _Slice(model, part.column("text").to_pylist())
                 listed = s.per_text(s.ids)
                 out = [_text_of(x) for x in s.per_text(s.decoded)]
@@ -300,7 +302,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     pa.array([hashlib.sha256(x).hexdigest() for x in out]),
                 ]
                 if ids:
-                    columns.append(pa.array([np.array(x.split(b",")[:-1], np.int32) if x else [] for x in listed], pa.list_(pa.int32())))
+                    columns.append(pa.array([np.fromstring(x[:-1], np.int32, sep=",") if x else np.zeros(0, np.int32) for x in listed], pa.list_(pa.int32())))
                     columns.append(pa.array([x.decode() for x in out]))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])])
 
