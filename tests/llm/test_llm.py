@@ -142,6 +142,21 @@ def test_passages(spark, odd, none):
     assert substring.repeated_passages(none).count() == 0
 
 
+@pytest.mark.parametrize("gap", [100, 200])
+def test_chain_is_cut_into_its_good_parts(spark, gap):
+    one, two = words(60, 21), words(60, 22)
+    rows = [(i, " ".join(words(15 * i, 30 + i) + one + words(gap, 40 + i) + two + words(10, 50 + i))) for i in (1, 2)]
+    got = {(r.id, r.begin_word, r.end_word, r.other, r.other_begin, r.other_end, r.identity) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spots = {i: [(15 * i, 15 * i + 60), (15 * i + 60 + gap, 15 * i + 120 + gap)] for i in (1, 2)}
+    assert got == {(i, *spots[i][k], 3 - i, *spots[3 - i][k], 1.0) for i in (1, 2) for k in (0, 1)}
+
+
+def test_parts_of_blocks():
+    runs = np.array([(0, 0, 40), (60, 60, 40), (300, 200, 60), (365, 270, 10), (600, 700, 30)])
+    assert substring.parts(runs) == [(0, 100, 0, 100, 80), (300, 360, 200, 260, 60)]
+    assert substring.parts(runs[:0]) == []
+
+
 def test_chains_are_collinear():
     x, y = np.array([0, 20, 40, 60]), np.array([5, 25, 300, 65])
     best = substring.chain(x, y)[0]
