@@ -157,6 +157,20 @@ def test_parts_of_blocks():
     assert substring.parts(runs[:0]) == []
 
 
+def test_passages_of_frequent_seeds(spark):
+    """Two documents in the middle share a passage whose every seed is frequent before and behind them."""
+    shared = words(50, 60)
+    bits = [shared[i : i + 24] for i in range(0, 27, 2)]
+    rows = [(k * 100 + i, " ".join(words(30, 1000 * k + i) + bit + words(30, 2000 * k + i))) for k in (1, 9) for i, bit in enumerate(bits)]
+    rows += [(500 + i, " ".join(words(20, 70 + i) + shared + words(20, 80 + i))) for i in (1, 2)]
+    # one word of every eight is another
+    fuzzy = words(96, 61)
+    rows += [(601, " ".join(fuzzy)), (602, " ".join(["other" if i % 8 == 7 else x for i, x in enumerate(fuzzy)]))]
+    got = {(r.id, r.other, r.n_words) for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, o) for i, o, _ in got} == {(501, 502), (502, 501), (601, 602), (602, 601)}
+    assert all(n >= 50 for *_, n in got)
+
+
 def test_chains_are_collinear():
     x, y = np.array([0, 20, 40, 60]), np.array([5, 25, 300, 65])
     best = substring.chain(x, y)[0]
