@@ -1,73 +1,63 @@
 """Document scores by cross-entropy difference of two n-gram language models.
 
 A target model (texts that are labelled good) and a background model (all texts) are interpolated
-bigram models over one vocabulary: words, in lower case in A-Z, hashed into VOCAB classes; word pairs
-are hashed into PAIRS classes. So both models have the same classes, smoothing and order, and their
-tables have a fixed size. A document's score is the mean over its words of the target's loss less the
-background's, in bits: the lower, the more like the target.
-
-Counts cover every word of every text. Each map task adds up its own in dense tables, which go to the
-shuffle in chunks and are added up there as they come in, one table at a time. The models that tasks need are two tables of VOCAB and PAIRS pairs of counts: their size is a parameter,
-not a matter of the data.
+bigram models over one vocabulary: the words of the background, in lower case in A-Z, by their 64-bit hashes.
+So both models have the same vocabulary, smoothing and order. A document's score is the mean over its words
+of the target's loss less the background's, in bits: the lower, the more like the target.
+
+Counts cover every word of every text and are kept for each word and each pair of words that occurs, in
+tables that grow with the corpus and are never held as a whole: a text's pairs are joined with the pairs'
+losses. Pairs that are a SHARE of all or more, at most 1 / SHARE of them, are broadcast, so none is a hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrowtext import Words, mix, slices, words
+from foliant.plans.scratch import materialize
 
-VOCAB = 1 << 18
-PAIRS = 1 << 20
-#: Counts travel in chunks of so many classes.
-CHUNK = 1 << 14
 #: Up to so many ids (8 bytes each) of target texts are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Weight of the pair estimate; the rest goes to the word estimate, that has 1 added to each class.
+#: Pairs that have this share of all words are broadcast.
+SHARE = 1e-4
+#: Weight of the pair estimate; the rest goes to the word estimate, that has 1 added to each word and to one unknown.
 LAMBDA = 0.6
 
 
-def _classes(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word class, pair class, class before) of each word; a text's first follows class VOCAB."""
+def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, word before, word) hashes of each word; a text's first follows 0."""
     h = w.hashes()
-    word = (h & np.uint64(VOCAB - 1)).astype(np.int64)
-    before = np.full(len(h), VOCAB)
-    last = np.zeros(len(h), np.uint64)
-    if len(h):
-        inner = np.ones(len(h), bool)
-        inner[w.first[:-1][w.counts > 0]] = False
-        inner = np.flatnonzero(inner)
-        before[inner] = word[inner - 1]
-        last[inner] = h[inner - 1]
-    pair = (mix(last * np.uint64(0x9FB21C651E98DF25) + h) & np.uint64(PAIRS - 1)).astype(np.int64)
-    return w.doc, word, pair, before
+    before = np.zeros(len(h), np.uint64)
+    before[1:] = h[:-1]
+    before[w.first[:-1][w.counts > 0]] = 0
+    return mix(before * np.uint64(0x9FB21C651E98DF25) + h), before, h
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+@dataclass
 class PairModel:
-    """Count tables of both models: unigrams (VOCAB), contexts (VOCAB + 1) and pairs (PAIRS), each by model."""
-
-    def __init__(self, uni: np.ndarray, context: np.ndarray, pairs: np.ndarray):
-        self.word_p = ((uni + 1) / (uni.sum(1, keepdims=True) + VOCAB)).astype(np.float32)
-        self.context = np.maximum(context, 1).astype(np.float32)
-        self.pairs = pairs.astype(np.float32)
-
-    def losses(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words, mean target loss, mean background loss) of each text; losses of a text without words are nan."""
-        w = words(texts, lower=True)
-        doc, word, pair, before = _classes(w)
-        out = []
-        for m in (0, 1):
-            share = np.minimum(self.pairs[m][pair] / self.context[m][before], 1)
-            p = LAMBDA * share + (1 - LAMBDA) * self.word_p[m][word]
-            total = np.bincount(doc, -np.log2(p.astype(np.float64)), minlength=len(w.counts))
-            with np.errstate(invalid="ignore"):
-                out.append(np.where(w.counts > 0, total / np.maximum(w.counts, 1), np.nan))
-        return w.counts, *out
+    """losses: (pair, target_loss, background_loss) of each pair of words of the background. common: those of
+    frequent pairs, a small table. uni: (word, t, n), each word's counts in target and background."""
+
+    losses: DataFrame
+    common: DataFrame
+    uni: DataFrame
+    target_total: int
+    total: int
+    vocab: int
+
+    def word_p(self, count: Column, total: int) -> Column:
+        return (F.coalesce(count, F.lit(0)) + 1) / F.lit(float(total + self.vocab + 1))
 
 
 def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> PairModel:
@@ -80,35 +70,36 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
         good = F.broadcast(good)
     marked = docs.where(F.col(text_col).isNotNull()).join(good, docs[id_col] == good["_good"], "left")
     marked = marked.select(F.col("_good").isNotNull().alias("good"), F.col(text_col).alias("text"))
-    size = 2 * VOCAB + 1 + PAIRS
-    parts = -(-size // CHUNK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, parts * CHUNK), np.uint32)
         for batch in batches:
-            for part in slices(batch):
-                doc, word, pair, before = _classes(words(part.column("text"), lower=True))
-                own = part.column("good").to_numpy(zero_copy_only=False).astype(bool)[doc]
-                at = np.concatenate([word, VOCAB + before, 2 * VOCAB + 1 + pair])
-                total[1] += np.bincount(at, minlength=parts * CHUNK).astype(np.uint32)
-                total[0] += np.bincount(at[np.tile(own, 3)], minlength=parts * CHUNK).astype(np.uint32)
-        for k in range(parts if total.any() else 0):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[:, k * CHUNK : (k + 1) * CHUNK].tobytes()], pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
-        for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk long, counts binary"
-    table = np.zeros((2, parts * CHUNK), np.int64)
-    for row in marked.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():
-        table[:, row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int64).reshape(2, CHUNK)
-    table = table[:, :size]
-    return PairModel(table[:, :VOCAB], table[:, VOCAB : 2 * VOCAB + 1], table[:, 2 * VOCAB + 1 :])
+            for part in slices(batch, limit=16 << 20):
+                w = words(part.column("text"), lower=True)
+                pair, before, word = _pairs(w)
+                own = part.column("good").to_numpy(zero_copy_only=False).astype(bool)[w.doc]
+                _, at, group = np.unique(pair, return_index=True, return_inverse=True)
+                n = np.bincount(group, minlength=len(at))
+                t = np.bincount(group[own], minlength=len(at))
+                yield pa.RecordBatch.from_arrays([_long(pair[at]), _long(before[at]), _long(word[at]), pa.array(t), pa.array(n)], ["pair", "before", "word", "t", "n"])
+
+    found = marked.mapInArrow(count, "pair long, before long, word long, t long, n long")
+    found = materialize(found.groupBy("pair").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("t").alias("t"), F.sum("n").alias("n")), "pairs")
+    both = [F.sum(c).alias(c) for c in ("t", "n")]
+    uni = materialize(found.groupBy("word").agg(*both), "words")
+    context = found.groupBy("before").agg(F.sum("t").alias("before_t"), F.sum("n").alias("before_n"))
+    sums = uni.agg(F.sum("t"), F.sum("n"), F.count("*")).first()
+    model = PairModel(found, found, uni, sums[0] or 0, sums[1] or 0, sums[2])
+    wide = found.join(context, "before").join(uni.select("word", F.col("t").alias("word_t"), F.col("n").alias("word_n")), "word")
+
+    def loss(pair: str, before: str, word: str, total: int) -> Column:
+        share = F.col(pair) / F.greatest(F.col(before), F.lit(1))
+        return -F.log2(LAMBDA * share + (1 - LAMBDA) * model.word_p(F.col(word), total))
+
+    wide = wide.select("pair", "n", loss("t", "before_t", "word_t", model.target_total).alias("target_loss"), loss("n", "before_n", "word_n", model.total).alias("background_loss"))
+    wide = materialize(wide, "losses")
+    frequent = F.col("n") >= max(SHARE * model.total, 2)
+    model.losses, model.common = wide.where(~frequent).drop("n"), wide.where(frequent).drop("n")
+    return model
 
 
 def scores(docs: DataFrame, model: PairModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,18 +107,40 @@ def scores(docs: DataFrame, model: PairModel, id_col: str = "doc_id", text_col:
 
     Losses are bits per word, score is target less background. A null or empty text, or one without
     words, has n_words 0 and null in the rest. Whole texts count. Repeated rows give repeated rows;
-    other columns are ignored; an empty table gives none.
+    other columns are ignored; an empty table gives none. Equal texts have equal scores, which are found once.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)[id_col]
+    key = [F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("k2")]
+    texts = docs.where(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
         for batch in batches:
             for part in slices(batch):
-                n, t, b = own.losses(part.column("text"))
-                none = n == 0
-                columns = [pa.array(x, mask=none) for x in (t, b, t - b)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), *columns], [id_col, "n_words", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, target_loss double, background_loss double, score double")
+                w = words(part.column("text"), lower=True)
+                pair, _, word = _pairs(w)
+                doc = w.doc
+                order = np.lexsort((pair, doc))
+                new = np.ones(len(order), bool)
+                new[1:] = (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+                first = np.flatnonzero(new)
+                at = order[first]
+                spot = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([part.column("k1").take(spot), part.column("k2").take(spot), _long(pair[at]), _long(word[at]), pa.array(np.diff(np.append(first, len(order))).astype(np.int32))], ["k1", "k2", "pair", "word", "n"])
+
+    mine = texts.dropDuplicates(["k1", "k2"]).mapInArrow(run, "k1 long, k2 long, pair long, word long, n int")
+    fast = mine.join(F.broadcast(model.common.withColumnsRenamed({"target_loss": "ct", "background_loss": "cb"})), "pair", "left")
+    fast = materialize(fast, "mine")
+    rest = fast.where("ct is null").drop("ct", "cb").join(model.losses, "pair", "left")
+    known = fast.where("ct is not null").select("k1", "k2", "word", "n", F.col("ct").alias("target_loss"), F.col("cb").alias("background_loss"))
+    unseen = F.when(F.col("target_loss").isNull(), F.struct("word", "n"))
+    sums = [F.sum("n").alias("n_words"), F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b")]
+    found = known.unionByName(rest.select(*known.columns)).groupBy("k1", "k2").agg(*sums, F.collect_list(unseen).alias("unseen"))
+    found = materialize(found, "sums")
+    # pairs that the background doesn't have: their words' estimates alone
+    new = found.select("k1", "k2", F.explode("unseen").alias("u")).select("k1", "k2", "u.word", "u.n").join(model.uni.select("word", F.col("t").alias("wt"), F.col("n").alias("wn")), "word", "left")
+    new = new.groupBy("k1", "k2").agg(*[F.sum(-F.col("n") * F.log2((1 - LAMBDA) * model.word_p(F.col(c), total))).alias(f"{c}_loss") for c, total in (("wt", model.target_total), ("wn", model.total))])
+    found = found.drop("unseen").join(new, ["k1", "k2"], "left")
+    mean = lambda c, more: (F.coalesce(F.col(c), F.lit(0.0)) + F.coalesce(F.col(more), F.lit(0.0))) / F.col("n_words")
+    found = found.select("k1", "k2", "n_words", mean("t", "wt_loss").alias("target_loss"), mean("b", "wn_loss").alias("background_loss"))
+    rows = docs.select(F.col(id_col).alias(id_col), F.when(F.col(text_col).isNotNull(), key[0]).alias("k1"), F.when(F.col(text_col).isNotNull(), key[1]).alias("k2"))
+    out = rows.join(found, ["k1", "k2"], "left")
+    return out.select(id_col, F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -246,6 +246,38 @@ def test_scores(spark, odd, none):
     assert lmscore.scores(none, lmscore.fit(none, good)).count() == 0
 
 
+def test_scores_equal_exact_counts(spark):
+    """Every pair of words has counts of its own alone."""
+    from collections import Counter
+
+    texts = ["a b a c", "b c d", "A b"] + [" ".join(f"w{(i * 7919 + k * k) % 300007}" for k in range(1000)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 43, 2)], "doc_id long")
+    pairs, uni, context = ([Counter(), Counter()] for _ in range(3))
+    split = [["", *t.lower().split()] for t in texts]
+    for i, w in enumerate(split):
+        for m in (0, 1) if i % 2 == 0 else (1,):
+            pairs[m].update(zip(w, w[1:], strict=False))
+            uni[m].update(w[1:])
+            context[m].update(w[:-1])
+
+    size = [x.total() + len(uni[1]) + 1 for x in uni]
+
+    def loss(m, w):
+        total = [0.6 * pairs[m][a, b] / max(context[m][a], 1) + 0.4 * (uni[m][b] + 1) / size[m] for a, b in zip(w, w[1:], strict=False)]
+        return -sum(np.log2(total)) / len(total)
+
+    model = lmscore.fit(df, good)
+    got = {r.doc_id: r for r in lmscore.scores(df, model).collect()}
+    assert len(got) == len(texts)
+    for i in (0, 1, 2, 3, 20, 42):
+        assert got[i].n_words == len(split[i]) - 1
+        assert abs(got[i].target_loss - loss(0, split[i])) < 1e-6 and abs(got[i].background_loss - loss(1, split[i])) < 1e-6
+    # texts that the background doesn't have
+    other = lmscore.scores(spark.createDataFrame([(1, "c b new a")], "doc_id long, text string"), model).first()
+    assert abs(other.score - loss(0, ["", "c", "b", "new", "a"]) + loss(1, ["", "c", "b", "new", "a"])) < 1e-6
+
+
 def test_languages(spark, odd, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
