@@ -7,7 +7,7 @@ similarity 0.8 a pair misses all tables with probability 2 * (1 - 0.64)**12 < 1e
 
 Links. Rows of one bucket become candidate pairs: all pairs in a bucket of up to STAR rows, and pairs
 with one leader in a larger one. Candidates are confirmed on the whole sets. What a star may miss is
-made up for exactly: the buckets over STAR rows tie their members into coarse clusters, and every
+made up for exactly: the buckets over STAR rows, in all or in one map part, tie their members into coarse clusters, and every
 member of a coarse cluster that is outside the cluster's largest component is compared with the
 members of other components there that it can be linked to at all: a pair shares no more shingles
 than either has in common with the rest of the cluster, which few pairs of stragglers outlive.
@@ -116,7 +116,7 @@ def _emit(route: np.ndarray, ids: np.ndarray, other: np.ndarray, sketch: np.ndar
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map side: rows (bucket key, id), and star edges of buckets that are large in the batch itself.
 
-    kind 0: a row of the bucket `route`. kind 1 and 2: an edge of a large bucket (sketches apart, or near).
+    kind 0: a row of the bucket `route`; kind 3: one that stands for a bucket that is large. kind 1 and 2: an edge of a large bucket (sketches apart, or near).
     """
     for batch in batches:
         for begin in range(0, batch.num_rows, 4096):
@@ -134,7 +134,8 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             large = size > STAR
             f, s = first[large], size[large]
             lead = _stars(key, ids[who], f, s)
-            keep = np.ones(len(key), bool)
+            keep, kind = np.ones(len(key), bool), np.zeros(len(key))
+            kind[np.repeat(large, size)] = 3
             if len(f):
                 rows = np.concatenate([np.arange(x, x + y) for x, y in zip(f, s, strict=True)])
                 head = np.repeat(lead, s)
@@ -148,7 +149,7 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = BITS - np.bitwise_count(sketch[x] ^ sketch[y]) >= AGREE
                 yield _emit(mix(ids[x].astype(np.uint64) * np.uint64(3) + ids[y].astype(np.uint64)), ids[x], ids[y], sketch[x], 1 + near)
             who = who[keep]
-            yield _emit(key[keep], ids[who], np.zeros(len(who)), sketch[who], np.zeros(len(who)))
+            yield _emit(key[keep], ids[who], np.zeros(len(who)), sketch[who], kind[keep])
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +159,14 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return
     route, ids, other, sketch, kind = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
-    edges = [(np.minimum(ids, other)[m], np.maximum(ids, other)[m], kind[m] == 2, np.ones(m.sum(), bool)) for m in [kind > 0]]
-    rows = kind == 0
-    key, ids, sketch = route[rows].view(np.uint64), ids[rows], sketch[rows].view(np.uint64)
+    edges = [(np.minimum(ids, other)[m], np.maximum(ids, other)[m], kind[m] == 2, np.ones(m.sum(), bool)) for m in [(kind == 1) | (kind == 2)]]
+    rows = (kind == 0) | (kind == 3)
+    cut, key, ids, sketch = kind[rows] == 3, route[rows].view(np.uint64), ids[rows], sketch[rows].view(np.uint64)
     order = np.lexsort((ids, key))
-    key, ids, sketch = key[order], ids[order], sketch[order]
+    cut, key, ids, sketch = cut[order], key[order], ids[order], sketch[order]
     first, size = _groups(key)
+    # few rows are left here of a bucket that was large in a map part: they tie its rows, as in a larger one
+    cut = np.logical_or.reduceat(cut, first) if len(first) else cut
 
     def add(x: np.ndarray, y: np.ndarray, big: bool) -> None:
         near = BITS - np.bitwise_count(sketch[x] ^ sketch[y]) >= AGREE
@@ -172,10 +175,11 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         edges.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), near, np.full(len(x), big)))
 
     for n in range(2, STAR + 1):
-        f = first[size == n]
-        if len(f):
-            i, j = np.triu_indices(n, 1)
-            add((f[:, None] + i).ravel(), (f[:, None] + j).ravel(), False)
+        for big in (False, True):
+            f = first[(size == n) & (cut == big)]
+            if len(f):
+                i, j = np.triu_indices(n, 1)
+                add((f[:, None] + i).ravel(), (f[:, None] + j).ravel(), big)
     large = size > STAR
     if large.any():
         f, s = first[large], size[large]

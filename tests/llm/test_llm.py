@@ -73,6 +73,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {i: (x.component_id, x.n_shingles) for i, x in got.items()} == {i: (find(i), len(sets[i])) for i in range(len(texts))}
 
 
+def test_bucket_that_is_large_in_one_part_ties_all(spark):
+    import pyarrow as pa
+
+    half = np.arange(24, dtype=np.uint64).tobytes()
+    spots = [(1, 0), (2, -1), (3, 0xFFFF), (4, 1), (5, 2), (6, 3)], [(7, 0x5555555555555555)]
+    parts = [pa.RecordBatch.from_pydict({"id": [i for i, _ in p], "halves": [half] * len(p), "sketch": pa.array([s for _, s in p], pa.int64())}) for p in spots]
+    rows = [x for p in parts for x in neardup._bucket_rows(iter([p]))]
+    edges = [e for b in neardup._bucket_edges(iter(rows)) for e in b.to_pylist()]
+    assert any(7 in (e["a"], e["b"]) and e["big"] for e in edges)
+
+
 def test_line_join_equals_brute_force(spark):
     r = random.Random(3)
     base = ["".join(r.choice("abc dé") for _ in range(r.randrange(6, 40))) for _ in range(20)]
