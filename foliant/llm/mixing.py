@@ -2,9 +2,9 @@
 
 Sources in code point order, null last, weigh 1, 2, 3, repeating. A source's target is its share of all
 words, at most CAP times its own size; what is cut off is shared again by weight among the others.
-Blocks of equal word counts go to sources by the highest quotients target / (2 * blocks + 1), then each
-source's blocks to its shards in the same way. Within a shard documents lie in a seeded order; a quota
-of more words than the shard has takes it whole once or more, and the rest are blocks in a seeded order,
+Words go to sources by the highest quotients target / (2 * words + 1), up to CAP times the source's size,
+then each source's words to its shards in the same way, so that sources of less than a block have theirs. Within a shard documents lie in a seeded order; a quota
+of more words than the shard has takes it whole once or more, and the rest are blocks of BLOCK_WORDS in a seeded order,
 the last of them cut, so that a shard gives exactly its quota.
 
 A source of many documents has many shards, so no group holds more than about SHARD_ROWS of them.
@@ -32,8 +32,8 @@ SHARD_ROWS = 50_000
 MAX_SOURCES = 1_000_000
 #: Up to so many are broadcast, so that a hot source's documents stay where they are; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Blocks have up to BLOCK_WORDS words, fewer where the corpus would not have BLOCKS of them.
-BLOCK_WORDS, BLOCKS = 256, 65_536
+#: A shard's words are taken in blocks of so many, the last of them cut.
+BLOCK_WORDS = 256
 #: A prime beyond any shard's number of blocks: multiplying by it permutes them.
 _STEP = 2_147_483_647
 
@@ -118,9 +118,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = sorted(found, key=lambda r: (r.key == "-", r.key))
     sizes = [r.source_size for r in rows]
     total = sum(sizes)
-    block = max(1, min(BLOCK_WORDS, total // BLOCKS))
+    block = BLOCK_WORDS
     want = targets(sizes, [1 + i % 3 for i in range(len(rows))])
-    quota = apportion([float(x) for x in want], round(Fraction(total, block)), [CAP * s // block for s in sizes])
+    quota = apportion([float(x) for x in want], total, [CAP * s for s in sizes])
     table = [(r.key, r.source_size, float(w), q, max(1, ceil(r.docs / SHARD_ROWS))) for r, w, q in zip(rows, want, quota, strict=True)]
     sources = spark.createDataFrame(table, "key string, source_size long, target double, quota long, shards long")
     if len(table) <= BROADCAST_SOURCES:
@@ -131,17 +131,16 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     def deal(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("shard", kind="stable")
         t = group["tokens"].tolist()
-        group["blocks"] = apportion([float(x) for x in t], int(group["quota"].iloc[0]), [CAP * x // block for x in t])
-        return group[["key", "shard", "tokens", "blocks"]]
+        group["give"] = apportion([float(x) for x in t], int(group["quota"].iloc[0]), [CAP * x for x in t])
+        return group[["key", "shard", "tokens", "give"]]
 
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("tokens"), F.first("quota").alias("quota"))
-    shards = shards.groupBy("key").applyInPandas(deal, "key string, shard long, tokens long, blocks long")
+    shards = shards.groupBy("key").applyInPandas(deal, "key string, shard long, tokens long, give long")
     place = Window.partitionBy("key", "shard").orderBy("order", "id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("end", F.sum("size").over(place)).join(shards, ["key", "shard"])
-    give = F.col("blocks") * block
     placed = placed.withColumn("begin", F.col("end") - F.col("size"))
-    placed = placed.withColumn("passes", F.when(F.col("tokens") > 0, F.expr(f"(blocks * {block}) div tokens")).otherwise(F.lit(0).cast("long")))
-    placed = placed.withColumn("rest", give - F.col("passes") * F.col("tokens")).withColumn("full", F.expr(f"tokens div {block}"))
+    placed = placed.withColumn("passes", F.when(F.col("tokens") > 0, F.expr("give div tokens")).otherwise(F.lit(0).cast("long")))
+    placed = placed.withColumn("rest", F.col("give") - F.col("passes") * F.col("tokens")).withColumn("full", F.expr(f"tokens div {block}"))
     placed = placed.withColumn("offset", F.when(F.col("full") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "key", "shard"), F.col("full"))).otherwise(F.lit(0).cast("long")))
 
     def span(b: Column) -> Column:

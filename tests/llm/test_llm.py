@@ -234,6 +234,16 @@ def test_mixing(spark, odd, none):
     assert mixing.apportion([53, 24, 23], 7, [9, 9, 9]) == [3, 2, 2]
 
 
+def test_small_sources_of_a_large_corpus_are_mixed(spark):
+    # 17,000,000 words beside sources of 20 and 100 words
+    rows = [(i, "word " * 10_000, "en", "a", 0) for i in range(1700)] + [(5000 + i, "word " * (20 if i % 2 else 100), "en", f"s{i}", 0) for i in range(12)]
+    taken = {}
+    for r in mixing.plan(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.taken <= 3 * r.size
+        taken.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert len(taken) == 13 and all(abs(a - b) <= 1 for a, b in taken.values())
+
+
 def test_pieces_equal_the_library(spark, odd, none):
     import sentencepiece
 
