@@ -3,8 +3,9 @@
 Base spans come from four patterns with checks (e-mail, IP, card with Luhn, phone). Beside them three
 high-recall generators propose spans that may overlap: disguised addresses, number-like runs and long
 mixed tokens. Every candidate has a few small-valued features of its format and context. The corpus
-teaches the model: a candidate that meets a base span, or a mixed token that follows a word such as
-`password`, is a positive, any other a negative. All candidates of all texts are counted by their feature
+teaches the model: a positive is a candidate that meets a base span, a mixed token that follows a word such as
+`password`, an address with a bracketed `at` or after a word such as `mail`, or a number of 8 to 15 digits after
+a word such as `call`; any other is a negative. All candidates of all texts are counted by their feature
 cells (the features' product bounds the number of cells, whatever the corpus); boosted regression trees
 are fitted to the cells' log odds, and each generator has the lowest score threshold above which its
 positives reach PRECISION. Candidates over it that meet no base span are added.
@@ -35,7 +36,7 @@ BASE = {
 GENERATORS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[(\[](?:at|At|AT)[)\]]|\x20(?:at|AT)\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[(\[](?:dot|Dot|DOT)[)\]]|\x20(?:dot|Dot|DOT)\x20)\x20?[A-Za-z0-9-]{2,63}+)++",
     "phone": r"(?<![A-Za-z0-9])[+(]?[0-9][0-9().\x20/-]{5,40}[0-9](?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{14,200}+(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{14,}+(?![A-Za-z0-9_/+-])",
 }
 # A text with no digit, no @ and none of these has no span and no candidate.
 DISGUISES = ("(at)", "[at]", "(AT)", "[AT]", "(At)", "[At]", " dot ", " DOT ", " Dot ")
@@ -48,7 +49,7 @@ WORDS = {
 CONTEXT = 24
 PRECISION = 0.95
 TREES, DEPTH, RATE = 24, 3, 0.3
-FEATURES = ("gen", "digits", "size", "plus", "paren", "marks", "at", "case", "word", "left", "right", "near")
+FEATURES = ("gen", "digits", "size", "plus", "paren", "marks", "at", "case", "word", "left", "right")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -108,8 +109,13 @@ def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
         after = F.substring(text, s["e"] + 1, F.lit(1))
         right = F.when(after == "", 0).when(after.rlike(r"[\s.,;)\]\"']"), 1).otherwise(2)
         hit = F.exists("_base", lambda b: (b["b"] < s["e"]) & (s["b"] < b["e"]))
-        label = hit | ((word == 4) & F.lit(gen == 2)) | (F.lit(gen == 2) & m.rlike(r"\AAKIA[A-Z0-9]{16}\z"))
-        values = [F.lit(gen), F.least(count("[0-9]"), F.lit(20)), F.least(F.floor((s["e"] - s["b"]) / 4), F.lit(16)).cast("int"), m.startswith("+").cast("int"), m.contains("(").cast("int"), F.least(count("[^A-Za-z0-9]"), F.lit(5)), m.contains("@").cast("int"), case, F.when(F.lit(gen == 2) & (word == 4), 0).otherwise(word), left, right, F.least(F.size("_base"), F.lit(2))]
+        sure = F.lit(False)
+        if gen == 0:
+            sure = m.rlike(r"[(\[](?i:at)[)\]]") | ((word == 1) & m.rlike(r"(?i)[a-z]{2}\z"))
+        if gen == 1:
+            sure = (word == 1) & count("[0-9]").between(8, 15)
+        label = hit | sure | ((word == 4) & F.lit(gen == 2)) | (F.lit(gen == 2) & m.rlike(r"\AAKIA[A-Z0-9]{16}\z"))
+        values = [F.lit(gen), F.least(count("[0-9]"), F.lit(20)), F.least(F.floor((s["e"] - s["b"]) / 4), F.lit(16)).cast("int"), m.startswith("+").cast("int"), m.contains("(").cast("int"), F.least(count("[^A-Za-z0-9]"), F.lit(5)), m.contains("@").cast("int"), case, F.when(F.lit(gen == 2) & (word == 4), 0).otherwise(word), left, right]
         return F.struct(*[v.alias(n) for n, v in zip(FEATURES, values, strict=True)], s["b"].alias("b"), s["e"].alias("e"), label.alias("y"), hit.alias("hit"))
 
     return rows.withColumn("_cand", F.concat(*[F.transform(f"_g_{k}", partial(features, i)) for i, k in enumerate(GENERATORS)]))

@@ -142,6 +142,16 @@ def test_pii_base_equals_plain_patterns(spark, odd, none):
     assert [r.text for r in cut] == ["é <EMAIL>, <IP>", None]
 
 
+def test_pii_adds_disguised_addresses_and_plain_numbers(spark):
+    texts = [f"write to bob{i} (at) mail{i % 7}x (dot) com today" for i in range(150)] + [f"call: 555-{100 + i}-{4000 + i} now" for i in range(150)] + [f"in {1000 + i} 20 30 we saw {i}" for i in range(150)]
+    texts.append("password: " + "aB3_" * 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.b : s.e]) for s in r.spans] for r in pii.find_spans(df, pii.fit(df)).collect()}
+    assert got[3] == [("email", "bob3 (at) mail3x (dot) com")] and got[153] == [("phone", "555-103-4003")] and got[303] == []
+    tokens = pii._with_spans(df.where("doc_id = 450"), "text").select(F.explode("_cand").alias("c")).where("c.gen = 2").select("c.b", "c.e", "c.y").collect()
+    assert [tuple(t) for t in tokens] == [(10, 250, True)]
+
+
 def test_passages(spark, odd, none):
     shared = words(70, 9)
     fuzzy = [*shared[:30], "other", *shared[31:]]
