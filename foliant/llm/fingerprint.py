@@ -206,8 +206,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each band is BAND_SAMPLES samples of a fingerprint, at its own level and the next coarser one. Texts
     with equal fingerprints are one text, that with the smallest id; copies(a fingerprint each) are not
-    expanded. Within a band's bucket every text is compared with the bucket's first text, so a group of
-    near texts comes out as a star. Null ids and texts take no part.
+    expanded. All pairs of a band's bucket are compared, so their number grows with the square of a group of
+    near texts. Null ids and texts take no part.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spots = np.random.default_rng(92).integers(0, SAMPLES // 2, (BANDS, BAND_SAMPLES))
@@ -236,7 +236,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     one = materialize(rows.mapInArrow(prints, "id long, print string").groupBy("print").agg(F.min("id").alias("id")).where(F.col("print") != _EMPTY), "prints")
     band = one.select("id", "print").mapInArrow(bands, "id long, band string")
-    first = band.groupBy("band").agg(F.min("id").alias("a"))
-    pairs = band.join(first, "band").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    band = materialize(band, "bands")
+    pairs = band.withColumnRenamed("id", "a").join(band.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
     named = pairs.join(one.select(F.col("id").alias("a"), F.col("print").alias("x")), "a").join(one.select(F.col("id").alias("b"), F.col("print").alias("y")), "b")
     return named.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, likeness double")

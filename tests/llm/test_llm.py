@@ -227,6 +227,18 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.fingerprinted(odd).count() == 8 and fingerprint.fingerprinted(none).count() == 0
 
 
+def test_near_texts_equal_brute_force(spark):
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefgh ") for _ in range(1500))
+    texts = [base[:i] + "#" + base[i + 1 :] for i in range(100, 1300, 100)] + ["".join(r.choice("abcdefgh ") for _ in range(1500)) for _ in range(4)]
+    prints = fingerprint.fingerprints(texts)
+    first = {p: i for i, p in reversed(list(enumerate(prints)))}
+    ids = sorted(first.values())
+    want = {(a, b) for a in ids for b in ids if a < b and fingerprint.likeness(prints[a], prints[b]) >= 0.9}
+    got = {(x.a, x.b) for x in fingerprint.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=0.9).collect()}
+    assert got == want and any(a > 0 for a, _ in want)
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, " ".join(words(5 + i % 40, i)), "en", None if i % 7 == 0 else f"s{i % 4}", 0) for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
