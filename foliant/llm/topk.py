@@ -4,8 +4,8 @@ Vectors are quantised to integers, floor(SCALE * x). Candidates fall into shards
 each shard has a KD-tree by median splits of the widest dimension, down to LEAF rows, with the tight
 bounding box and the smallest id of every node. A query visits nodes in order of the highest inner
 product that their box allows; it ends when that is below its kth score, or equal with no smaller id
-left. The kth score carries over from shard to shard within a task, and a first pass over a query's
-nearest leaf gives it a start.
+left. The kth score bounds the search within one shard's tree alone: every shard starts without one, which
+costs time but no result.
 
 Queries come in blocks of BLOCK rows against shards of SHARD rows: each task holds one block and one
 shard at a time, whatever the tables' sizes. Every candidate that could enter a result is scored exactly;
