@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import clean, strip
+from foliant.functions.text import clean, let, strip
 
 # The word lists and patterns of the rules.
 BAD_ENDINGS = ("and", "or", "the", "of", "to", "for", "with", "a", "an", "by", "from", "in", "on", "using", "that")
@@ -18,6 +20,8 @@ CORRESPONDENCE = ("correspondence:", "corresponding author", "email:", "e-mail:"
 CHART_TERMS = ("accuracy", "precision", "recall", "sensitivity", "specificity", "parameters", "top-1", "top1", "f1", "auc", "epoch", "epochs")
 AFFILIATION = ("department", "university", "school of", "faculty", "college", "institute", "email:", "@")
 BLOCK_AFFILIATION = ("department", "university", "school of", "faculty", "institute", "college", "email", "@")
+PERSON_LINE_STOPS = ("@", "department", "university")
+AUTHOR_SKIPS = ("department", "university", "school of", "faculty", "email", "@")
 METADATA_LINES = ("proceeding paper", "open", "open access")
 TEXT_METADATA = ("scientific reports", "www.nature.com", "doi.org", "open access", "eng. proc.")
 CHUNK_METADATA = ("scientific reports", "eng. proc.", "www.nature.com", "doi.org")
@@ -40,19 +44,36 @@ def is_header_footer(c: Column, y0: Column | None = None, y1: Column | None = No
 
 
 def looks_like_running_text(c: Column) -> Column:
-    return F.lower(c).rlike("(?d)" + "|".join(f"(?:{p})" for p in RUNNING_TEXT))
+    return lower_running_text(F.lower(c))
+
+
+def lower_running_text(low: Column) -> Column:
+    """looks_like_running_text() of a text in lower case. Whole-line patterns can match short texts alone; the others
+    are looked for where a text has the words that they begin with."""
+    whole = [p for p in RUNNING_TEXT if p.startswith("^")]
+    inside = [p for p in RUNNING_TEXT if not p.startswith("^")]
+    begins = tuple(re.match(r"[\w ©]+", p)[0].strip() for p in inside)
+    return low.rlike("(?d)\\A(?:" + "|".join(f"(?:{p[1:]})" for p in whole) + ")") | (has_any(low, begins) & low.rlike("(?d)" + "|".join(f"(?:{p})" for p in inside)))
 
 
 def looks_like_email_block(c: Column) -> Column:
-    n = F.regexp_count(c, F.lit(EMAIL))
-    return (n >= 2) | ((n >= 1) & has_any(F.lower(c), CORRESPONDENCE))
+    n = F.when(c.contains("@"), F.regexp_count(c, F.lit(EMAIL))).otherwise(0)
+    return let(n, lambda n: (n >= 2) | ((n >= 1) & has_any(F.lower(c), CORRESPONDENCE)))
 
 
 def looks_like_chart_text(c: Column) -> Column:
     """Twelve words or more, a quarter of them numbers, and a chart term."""
-    parts = F.filter(F.split(clean(c), " "), lambda x: x != "")
-    number = F.filter(parts, lambda x: strip(x, r"[,.;:()\[\]]").rlike(r"(?U)\A[-+]?\d+(?:\.\d+)?%?\z"))
-    return (F.size(parts) >= 12) & (F.size(number) / F.greatest(F.size(parts), F.lit(1)) >= 0.25) & has_any(F.lower(c), CHART_TERMS)
+    return clean_chart_text(clean(c), F.lower(c))
+
+
+def clean_chart_text(c: Column, low: Column) -> Column:
+    """looks_like_chart_text() of a text that is clean(), and its lower case."""
+    number = r"(?U)(?<![^ ])[,.;:()\[\]]*+[-+]?\d+(?:\.\d+)?%?[,.;:()\[\]]*+(?![^ ])"
+
+    def enough(words: Column) -> Column:
+        return (words >= 12) & (F.regexp_count(c, F.lit(number)) / F.greatest(words, F.lit(1)) >= 0.25)
+
+    return F.when(has_any(low, CHART_TERMS) & c.rlike(r"(?U)\d"), let(F.size(F.split(c, " ")), enough)).otherwise(False)
 
 
 def _formula_like(text: Column) -> Column:
@@ -93,7 +114,8 @@ def looks_like_affiliation(c: Column) -> Column:
 
 
 def is_correspondence(c: Column) -> Column:
-    return c.rlike(EMAIL) | F.lower(c).contains("correspondence") | c.contains("*")
+    low = F.lower(c)
+    return low.contains("email") | low.contains("correspondence") | c.contains("*")
 
 
 def looks_like_person_name(c: Column) -> Column:
@@ -102,7 +124,7 @@ def looks_like_person_name(c: Column) -> Column:
 
 
 def looks_like_person_line(c: Column) -> Column:
-    return (F.length(c) <= 250) & ~looks_like_affiliation(c) & (c.contains(" & ") | c.rlike(r"\b[A-Z][a-z]+\d"))
+    return (F.length(c) <= 250) & ~has_any(F.lower(c), PERSON_LINE_STOPS) & (c.contains(" & ") | c.rlike(r"\b[A-Z][a-z]+\d"))
 
 
 def looks_like_author_block(c: Column) -> Column:
@@ -153,6 +175,17 @@ def valid_coord(s: Column) -> Column:
     return F.coalesce(s["page"].isNotNull() & (s["x"] >= 0) & (s["y"] >= 0) & (s["w"] > 0) & (s["h"] > 0), F.lit(False))
 
 
+def coord_record(m: Column) -> Column:
+    """valid_coord()'s struct of a map of texts, whose keys may also be page_no, width and height."""
+    number = lambda *names: F.coalesce(*[m[n] for n in names]).try_cast("double")
+    return F.struct(number("page", "page_no").cast("int").alias("page"), number("x").alias("x"), number("y").alias("y"), number("w", "width").alias("w"), number("h", "height").alias("h"))
+
+
+def valid_provenance(s: Column) -> Column:
+    """A struct page_no, bbox (l, t, r, b) with a page and a box that has an area."""
+    return F.coalesce(s["page_no"].isNotNull() & valid_box(s["bbox"]), F.lit(False))
+
+
 def valid_box(s: Column) -> Column:
     """A struct l, t, r, b with r over l and t over b."""
     return F.coalesce((s["r"] > s["l"]) & (s["t"] > s["b"]), F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once: the optimizer copies an alias into each place, a lambda's variable not."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def strip(c: Column | str, chars: str = WS) -> Column:
     """Without leading and trailing characters of a class."""
     return F.regexp_replace(_col(c), rf"\A{chars}+|{chars}+\z", "")
@@ -97,6 +104,13 @@ def pdf_year(c: Column | str) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+def metadata_year(c: Column | str) -> Column:
+    """Year of a metadata value: that of a PDF date, else the first number that reads as one; a falsy value has none."""
+    text = _col(c).cast("string")
+    found = F.regexp_extract(text, rf"\b({YEAR})\b", 1)
+    return F.coalesce(pdf_year(text), F.when(found != "", found.cast("int")))
+
+
 def stated_year(c: Column | str) -> Column:
     """Year after Published, Accepted or Received."""
     found = F.regexp_extract(_col(c), rf"(?i)\b(?:Published|Accepted|Received)[^0-9]{{0,30}}({YEAR})", 1)
@@ -146,7 +160,7 @@ def authors(c: Column | str) -> Column:
 
 def metadata_authors(c: Column | str) -> Column:
     """Names in a PDF's author field."""
-    return ordered_distinct(F.transform(F.split(clean(c), r"(?i),\s*|\s+and\s+|\s*&\s*"), strip))
+    return ordered_distinct(F.transform(F.split(clean(c), r",\s*|\s+and\s+|\s*&\s*"), strip))
 
 
 def clean_authors(items: Column | str) -> Column:
@@ -155,7 +169,12 @@ def clean_authors(items: Column | str) -> Column:
 
 def last_word(c: Column | str) -> Column:
     """Last word in lower case, after what isn't an ASCII letter at the end is cut."""
-    return F.lower(F.regexp_extract(F.regexp_replace(clean(c), r"[^a-zA-Z]+\z", ""), r"(\S+)\z", 1))
+    return last_clean_word(clean(c))
+
+
+def last_clean_word(c: Column) -> Column:
+    """last_word() of a text that is clean(): the end alone is looked at."""
+    return F.lower(F.element_at(F.split(F.regexp_replace(c, r"[^a-zA-Z]++\z", ""), " "), -1))
 
 
 def length_score(n: Column) -> Column:

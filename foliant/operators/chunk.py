@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.classify import is_chunk_metadata
-from foliant.functions.text import clean, heading_text, sentences, strip
+from foliant.functions.text import clean, heading_text, let, sentences, strip
 
 MAX_TOKENS, OVERLAP = 450, 60
 HEADING = r"\A\s*[0-9]+(?:\.[0-9]+)*\.?\s+.+?\s*\z"
@@ -17,13 +17,18 @@ def sections(lines: DataFrame, by: str = "paper_id") -> DataFrame:
 
     Text before the first heading is Introduction; metadata lines and empty sections go.
     """
-    line = strip("line")
-    rows = lines.where((line != "") & ~is_chunk_metadata(F.col("line"))).withColumn("line", line)
-    opens = F.col("line").rlike(HEADING)
+
+    def judged(line: Column) -> Column:
+        """Everything that is known of a line, from the stripped text; what isn't a line of the text is null."""
+        use = (line != "") & ~is_chunk_metadata(line)
+        opens = line.rlike(r"\A[0-9]") & line.rlike(HEADING)
+        return let(F.when(use, opens).otherwise(False), lambda o: F.struct(F.when(use & ~o, line).alias("line"), o.cast("int").alias("opens"), F.when(o, heading_text(line)).alias("heading")))
+
+    rows = lines.select(by, "ord", let(strip("line"), judged).alias("_l")).select(by, "ord", "_l.*")
     w = Window.partitionBy(by).orderBy("ord")
-    rows = rows.withColumn("section_no", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    own = F.when(~opens, F.struct("ord", "line"))
-    grouped = rows.groupBy(by, "section_no").agg(F.max(F.when(opens, heading_text("line"))).alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["line"]), " ").alias("text"))
+    rows = rows.withColumn("section_no", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.when(F.col("line").isNotNull(), F.struct("ord", "line"))
+    grouped = rows.groupBy(by, "section_no").agg(F.max("heading").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["line"]), " ").alias("text"))
     return grouped.where("text <> ''").select(by, "section_no", F.coalesce("heading", F.lit("Introduction")).alias("section"), "text")
 
 

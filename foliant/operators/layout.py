@@ -45,7 +45,8 @@ def without_headers(blocks: DataFrame) -> DataFrame:
 
 def distinct_blocks(blocks: DataFrame, by: tuple[str, ...] = ("paper_id", "page_no")) -> DataFrame:
     """The first block of each key on a page; blocks without a key go."""
-    keyed = blocks.withColumn("_key", block_key("text")).where("_key <> ''")
+    # equal keys are told apart by a digest, so the window's keys stay short
+    keyed = blocks.withColumn("_key", F.md5(F.nullif(block_key("text"), F.lit("")))).where("_key is not null")
     return first_wins(keyed, [*by, "_key"], ["ord"]).drop("_key")
 
 

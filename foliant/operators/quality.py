@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import classify
-from foliant.functions.text import clean, last_word, length_score, normalize, numbers, tokens
+from foliant.functions.text import clean, last_clean_word, length_score, let, normalize, numbers, strip, tokens
 
 # Weights in the order of the report, and issue bounds in the order of issues.
 WEIGHTS = {"coordinate_integrity": 0.03, "reference_integrity": 0.03, "abstract_integrity": 0.06, "duplication_integrity": 0.06, "contamination_integrity": 0.06, "numeric_consistency": 0.11, "structure_integrity": 0.13, "metadata_integrity": 0.14, "truncation_integrity": 0.16, "cross_parser_consistency": 0.22}
@@ -21,33 +21,41 @@ LOW_WEIGHT, HIGH_STD, FEW_PAPERS = 0.06, 0.02, 15
 
 
 def is_truncated(text: Column) -> Column:
-    c = clean(text)
+    return _truncated(clean(text))
+
+
+def _truncated(c: Column) -> Column:
     ends = F.lit(False)
     for mark in classify.BAD_MARKS:
         ends = ends | c.endswith(mark)
-    return last_word(text).isin(*classify.BAD_ENDINGS) | ends
+    return ends | last_clean_word(c).isin(*classify.BAD_ENDINGS)
 
 
 def is_contaminated(text: Column, repeats: Column) -> Column:
     """repeats: how often the paper has the normalised text."""
-    c = clean(text)
-    return ((F.length(c) < 180) & (repeats >= 3)) | classify.looks_like_running_text(c) | classify.looks_like_email_block(c) | classify.looks_like_chart_text(c)
+    return let(clean(text), lambda c: _contaminated(c, F.lower(c), repeats))
+
+
+def _contaminated(c: Column, low: Column, repeats: Column) -> Column:
+    return ((F.length(c) < 180) & (repeats >= 3)) | classify.lower_running_text(low) | classify.looks_like_email_block(c) | classify.clean_chart_text(c, low)
 
 
 def paragraph_metrics(paragraphs: DataFrame, by: str = "paper_id") -> DataFrame:
     """duplication_integrity, truncation_integrity, contamination_integrity, orphan_paragraph_ratio by paper."""
-    c, key = clean("text"), normalize("text")
-    n = F.length(c)
+    # texts are cleaned and put in lower case once
+    cleaned = paragraphs.select(by, "section", clean("text").alias("c"))
+    judged = lambda c: let(F.lower(c), lambda low: F.struct(c.alias("c"), low.alias("low"), _truncated(c).alias("truncated"), _contaminated(c, low, F.lit(0)).alias("bad")))
+    rows = cleaned.select(by, "section", judged(F.col("c")).alias("j"))
     # a paper's equal texts are told apart by a digest, so the window's keys stay short
-    marked = paragraphs.select(by, "section", "text", F.sha2(key, 256).alias("key"), F.length(key).alias("key_n"), n.alias("n"))
+    marked = rows.select(by, "section", F.md5("j.low").alias("key"), F.length("j.low").alias("key_n"), F.length("j.c").alias("n"), "j.truncated", "j.bad")
     marked = marked.withColumn("repeats", F.count(F.when(F.col("n") >= 20, 1)).over(Window.partitionBy(by, "key")))
     share = lambda bad, of: F.coalesce(1 - F.sum(F.when(of, bad.cast("int"))) / F.count(F.when(of, 1)), F.lit(0.0))
     assigned = F.coalesce(F.col("section"), F.lit("")) != ""
     long = F.col("key_n") >= 40
     return marked.groupBy(by).agg(
         F.coalesce(F.count_distinct(F.when(long, F.col("key"))) / F.nullif(F.count(F.when(long, 1)), F.lit(0)), F.lit(0.0)).alias("duplication_integrity"),
-        share(is_truncated(F.col("text")), F.col("n") >= 50).alias("truncation_integrity"),
-        share(is_contaminated(F.col("text"), F.col("repeats")), F.col("n") >= 20).alias("contamination_integrity"),
+        share(F.col("truncated"), F.col("n") >= 50).alias("truncation_integrity"),
+        share(F.col("bad") | ((F.col("n") < 180) & (F.col("repeats") >= 3)), F.col("n") >= 20).alias("contamination_integrity"),
         F.avg((~assigned).cast("int")).alias("orphan_paragraph_ratio"),
     )
 
@@ -76,7 +84,7 @@ def coordinate_integrity(blocks: DataFrame, by: str = "paper_id") -> DataFrame:
     return blocks.groupBy(by).agg(F.avg(F.coalesce(F.exists("coords", classify.valid_coord), F.lit(False)).cast("int")).alias("coordinate_integrity"))
 
 
-def _counted(df: DataFrame, by: str, items: Column, name: str) -> DataFrame:
+def counted(df: DataFrame, by: str, items: Column, name: str) -> DataFrame:
     return df.select(by, F.explode(items).alias("item")).groupBy(by, "item").agg(F.count("*").alias(name))
 
 
@@ -85,7 +93,7 @@ def numeric_consistency(pairs: DataFrame, by: str = "paper_id") -> DataFrame:
 
     0 if a text is empty, 0.5 if the TEI has no number.
     """
-    left, right = _counted(pairs, by, numbers("tei"), "a"), _counted(pairs, by, numbers(F.lower("pdf")), "b")
+    left, right = counted(pairs, by, numbers("tei"), "a"), counted(pairs, by, numbers(F.lower("pdf")), "b")
     hit = left.join(right, [by, "item"], "left").groupBy(by).agg((F.sum(F.least("a", F.coalesce("b", F.lit(0)))) / F.sum("a")).alias("hit"))
     empty = (clean("tei") == "") | (clean("pdf") == "")
     return pairs.join(hit, by, "left").select(by, F.when(empty, 0.0).otherwise(F.coalesce("hit", F.lit(0.5))).alias("numeric_consistency"))
@@ -93,17 +101,23 @@ def numeric_consistency(pairs: DataFrame, by: str = "paper_id") -> DataFrame:
 
 def cross_parser_consistency(pairs: DataFrame, by: str = "paper_id") -> DataFrame:
     """Multiset token F1 of the two texts; 0 if either has no token."""
-    left, right = _counted(pairs, by, tokens("tei"), "a"), _counted(pairs, by, tokens("pdf"), "b")
+    left, right = counted(pairs, by, tokens("tei"), "a"), counted(pairs, by, tokens("pdf"), "b")
     both = left.join(right, [by, "item"], "full").groupBy(by).agg(F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("o"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     f1 = F.coalesce(2 * F.col("o") / (F.col("a") + F.col("b")), F.lit(0.0))
     return pairs.select(by).join(both, by, "left").select(by, F.coalesce(f1, F.lit(0.0)).alias("cross_parser_consistency"))
 
 
+def covered(counts: DataFrame, known: DataFrame, by: str, on: tuple[str, ...]) -> DataFrame:
+    """(by, coverage, n_tokens) of counts(by, item, n): the share of items, with repeats, that known has. on: the columns
+    that known, distinct in them, is told apart by."""
+    found = counts.join(known.select(*on, F.lit(1).alias("in")), list(on), "left").groupBy(by)
+    return found.agg((F.sum(F.when(F.col("in") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"), F.sum("n").alias("n_tokens"))
+
+
 def coverage(pairs: DataFrame, source: str, target: str, by: str) -> DataFrame:
     """Share of the source's tokens, with repeats, that occur in the target; 0 without any."""
-    left = _counted(pairs, by, tokens(source), "n")
-    right = pairs.select(by, F.explode(F.array_distinct(tokens(target))).alias("item"), F.lit(1).alias("in"))
-    hit = left.join(right, [by, "item"], "left").groupBy(by).agg((F.sum(F.when(F.col("in") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
+    right = pairs.select(by, F.explode(F.array_distinct(tokens(target))).alias("item"))
+    hit = covered(counted(pairs, by, tokens(source), "n"), right, by, (by, "item"))
     return pairs.select(by).join(hit, by, "left").select(by, F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
@@ -136,6 +150,49 @@ def report(metrics: DataFrame, names: tuple[str, ...] = tuple(WEIGHTS)) -> DataF
     return scored.withColumns({"status": status(F.col("integrity_score")), "issues": issues(names)}).withColumn("integrity_score", F.round("integrity_score", 4))
 
 
+def _listed(records: DataFrame, by: str, items: str, *fields: str) -> DataFrame:
+    """(by, ord, fields) of an array of structs."""
+    return records.select(by, F.posexplode(items).alias("ord", "_r")).select(by, "ord", *[F.col(f"_r.{f}").alias(f) for f in fields])
+
+
+def body_text(abstract: Column, paragraphs: Column) -> Column:
+    """The abstract and the paragraphs' texts (an array of structs), stripped, by line; empty ones go."""
+    texts = F.concat(F.array(abstract), F.coalesce(F.transform(paragraphs, lambda p: p["text"]), F.array().cast("array<string>")))
+    return F.array_join(F.filter(F.transform(texts, lambda t: strip(F.coalesce(t, F.lit("")))), lambda t: t != ""), "\n")
+
+
+def evaluate(records: DataFrame, by: str = "paper_id") -> DataFrame:
+    """The quality report of each of records(by, tei, pdf_text, artifacts): integrity_score, status, issues, the ten metrics,
+    orphan_paragraph_ratio, artifact_counts and extraction_counts, rounded to 4 places.
+
+    tei is a struct as parsed_tei() gives it, artifacts one of the arrays that layout_artifacts() gives. A list that is null
+    or empty makes its metric 0 (orphan_paragraph_ratio 1); ids are taken to be distinct.
+    """
+    pairs = records.select(by, body_text(F.col("tei.abstract"), F.col("tei.paragraphs")).alias("tei"), F.coalesce("tei.abstract", F.lit("")).alias("abstract"), F.coalesce("pdf_text", F.lit("")).alias("pdf"))
+    paragraphs = _listed(records, by, "tei.paragraphs", "text", "section")
+    sections = _listed(records, by, "tei.sections", "heading")
+    references = _listed(records, by, "tei.references", "title", "authors", "raw")
+    blocks = _listed(records, by, "artifacts.text_blocks", "coords")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    kind = F.col("tei.figures")
+    own = records.select(
+        by,
+        metadata_integrity(F.col("tei.title"), F.col("tei.authors"), F.col("tei.year"), F.col("tei.doi")).alias("metadata_integrity"),
+        F.struct(*[size(F.col(f"artifacts.{c}")).alias(c) for c in ("figures", "tables", "formulas", "text_blocks")]).alias("artifact_counts"),
+        F.struct(
+            *[size(F.col(f"tei.{c}")).alias(c) for c in ("sections", "paragraphs", "references")],
+            F.when(kind.isNull(), 0).otherwise(F.size(F.filter(kind, lambda f: f["type"] != "table"))).alias("figures"),
+            F.when(kind.isNull(), 0).otherwise(F.size(F.filter(kind, lambda f: f["type"] == "table"))).alias("tables"),
+            size(F.col("artifacts.formulas")).alias("formulas"),
+        ).alias("extraction_counts"),
+    )
+    found = [paragraph_metrics(paragraphs, by), structure_integrity(sections, paragraphs, by), reference_integrity(references, by), coordinate_integrity(blocks, by), numeric_consistency(pairs.select(by, "tei", "pdf"), by), cross_parser_consistency(pairs.select(by, "tei", "pdf"), by), abstract_integrity(pairs.select(by, "abstract", "pdf"), by)]
+    for table in found:
+        own = own.join(table, by, "left")
+    own = own.withColumns({m: F.coalesce(m, F.lit(0.0)) for m in WEIGHTS} | {"orphan_paragraph_ratio": F.coalesce("orphan_paragraph_ratio", F.lit(1.0))})
+    return report(own).withColumns({m: F.round(m, 4) for m in (*WEIGHTS, "orphan_paragraph_ratio")})
+
+
 def variance_report(metrics: DataFrame, by: str = "paper_id", names: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
     """metric, weight, mean, population std, min, worst paper, n, flagged, few: a row for each metric, by weight."""
     long = metrics.unpivot([by], list(names), "metric", "value").where("value is not null")

@@ -127,7 +127,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT page_id, round(CASE WHEN tei = '' OR pdf = '' THEN 0.0 ELSE coalesce(h, 0.5) END, 6)::DOUBLE AS numeric_consistency FROM pairs LEFT JOIN hit USING (page_id)""",
         "page_token_f1": _multiset(_tokens("tei"), _tokens("pdf")) + """, f AS (SELECT page_id, sum(least(coalesce(a, 0), coalesce(b, 0))) AS o, sum(a) AS a, sum(b) AS b FROM a FULL JOIN b USING (page_id, item) GROUP BY page_id)
           SELECT page_id, round(coalesce(2 * o / (a + b), 0.0), 6)::DOUBLE AS cross_parser_consistency FROM pairs LEFT JOIN f USING (page_id)""",
-        "page_metadata": rf"""SELECT *, round(((title <> '')::INT + (heading <> '')::INT + (lang <> '')::INT) / 3, 6) AS completeness FROM (SELECT page_id,
+        "page_metadata": rf"""SELECT *, ((title <> '')::INT + (heading <> '')::INT + (lang <> '')::INT) / 4 AS completeness FROM (SELECT page_id,
           {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {_clean("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading, {_clean("regexp_extract(html, '<html lang=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS lang FROM pages)""",
         "publisher_text_truncation": f"WITH {LINES} SELECT doc_id, sum(length(text))::BIGINT AS n_chars, sum(length({_publisher('text')}))::BIGINT AS n_left FROM lines GROUP BY doc_id",
         "author_and_person_filters": rf"""WITH {LINES} SELECT doc_id, count(*) FILTER (length(text) <= 300 AND regexp_matches(text, '[A-Z][a-z]+\d')) AS author_blocks, count(*) FILTER ({_any("lower(text)", classify.AFFILIATION)}) AS affiliations,

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions import classify
 from foliant.functions.similarity import without_near_sentences
-from foliant.functions.text import block_key, block_text, clean, normalize, numbers, sentence_key, sentences, tokens, without_publisher_text
+from foliant.functions.text import block_key, block_text, clean, let, normalize, numbers, sentence_key, sentences, tokens, without_publisher_text
 from foliant.operators import benchmark, chunk, dedup, layout, quality
 from foliant.operators.regions import carry_forward, folded_references
-from foliant.sources.tables import read_table
+from foliant.sources import sinks
+from foliant.sources.tables import read_spread as read_table
 
 METRICS = ("duplication_integrity", "contamination_integrity", "truncation_integrity")
 
@@ -34,8 +35,8 @@ def dedup_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
-    keyed = _paragraphs(spark, d).withColumn("key", block_key("text")).where("key <> ''")
-    return dedup.first_wins(keyed, ["doc_id", "key"], ["ord"]).select("doc_id", "ord", "key")
+    out = layout.distinct_blocks(_paragraphs(spark, d), ("doc_id",))
+    return out.select("doc_id", "ord", block_key("text").alias("key"))
 
 
 def paragraph_integrity(spark: SparkSession, d: str) -> DataFrame:
@@ -79,11 +80,12 @@ def page_token_f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """A page's title, heading as author, language, and no year."""
     pages = read_table(spark, d, "pages")
     pick = lambda p: clean(F.regexp_extract("html", p, 1))
     out = pages.select("page_id", pick("<title>([^<]*)</title>").alias("title"), pick("<h1>([^<]*)</h1>").alias("heading"), pick('<html lang="([^"]*)"').alias("lang"))
-    have = sum((F.when(F.col(c) != "", 1).otherwise(0) for c in ("title", "heading", "lang")), F.lit(0))
-    return out.withColumn("completeness", F.round(have / 3, 6))
+    authors = F.filter(F.array("heading"), lambda x: x != "")
+    return out.withColumn("completeness", quality.metadata_integrity(F.col("title"), authors, F.lit(0), F.col("lang")))
 
 
 def publisher_text_truncation(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +121,8 @@ def conversation_carry_forward(spark: SparkSession, d: str) -> DataFrame:
 def section_segmentation(spark: SparkSession, d: str) -> DataFrame:
     """Sections of documents; a line of up to 60 characters opens one, and is numbered by its place."""
     rows = _paragraphs(spark, d)
-    line = F.when((F.length("text") <= 60) & (clean("text") != ""), F.concat(F.col("ord") + 1, F.lit(". "), clean("text"))).otherwise(clean("text"))
-    out = chunk.sections(rows.select("doc_id", "ord", line.alias("line")), "doc_id")
+    numbered = let(clean("text"), lambda c: F.when((F.length("text") <= 60) & (c != ""), F.concat(F.col("ord") + 1, F.lit(". "), c)).otherwise(c))
+    out = chunk.sections(rows.select("doc_id", "ord", numbered.alias("line")), "doc_id")
     return out.select("doc_id", F.col("section_no").cast("long").alias("section_no"), "section", F.length("text").alias("n_chars"))
 
 
@@ -140,7 +142,8 @@ def metric_variance_report(spark: SparkSession, d: str) -> DataFrame:
 
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
     """Papers by outcome of the report."""
-    return quality_report(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+    outcomes = quality_report(spark, d).select(F.col("status").alias("outcome"))
+    return sinks.outcome_counts(outcomes).select(F.col("outcome").alias("status"), F.col("count").alias("n"))
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
@@ -162,16 +165,17 @@ def near_duplicate_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def normalized_text(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    md = lambda c: F.md5(c)
-    return docs.select("doc_id", md(clean("text")).alias("cleaned"), md(normalize("text")).alias("normalized"), md(block_text("text")).alias("block"), md(sentence_key(F.col("text"))).alias("sentence_key"))
+    once = let(clean("text"), lambda c: F.struct(F.md5(c).alias("cleaned"), F.md5(F.lower(c)).alias("normalized")))
+    rows = docs.select("doc_id", once.alias("c"), F.md5(block_text("text")).alias("block"), F.md5(sentence_key(F.col("text"))).alias("sentence_key"))
+    return rows.select("doc_id", "c.*", "block", "sentence_key")
 
 
 def benchmark_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of each benchmark item's tokens, with repeats, that the corpus has."""
-    items = read_table(spark, d, "benchmark").select("item_id", F.explode(tokens("text")).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("n"))
-    known = read_table(spark, d, "documents").select(F.explode(tokens("text")).alias("token")).distinct().withColumn("known", F.lit(1))
-    out = items.join(known, "token", "left").groupBy("item_id")
-    return out.agg(F.round(F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"), F.sum("n").alias("n_tokens"))
+    items = quality.counted(read_table(spark, d, "benchmark"), "item_id", tokens("text"), "n")
+    known = read_table(spark, d, "documents").select(F.explode(tokens("text")).alias("item")).distinct()
+    out = quality.covered(items, known, "item_id", ("item",))
+    return out.select("item_id", F.round("coverage", 6).alias("coverage"), "n_tokens")
 
 
 def greedy_list_f1(spark: SparkSession, d: str) -> DataFrame:
