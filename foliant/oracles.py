@@ -105,6 +105,103 @@ def _packing() -> str:
       NULL::INTEGER AS page_no, sha256(text) AS text_sha256 FROM texts"""
 
 
+def _made() -> dict[str, str]:
+    """SQL of the queries whose papers are made of the tables' texts."""
+    c = _clean("text")
+    affiliation = _any("lower(text)", classify.AFFILIATION)
+    person = f"(length(text) <= 250 AND NOT {_any('lower(text)', classify.PERSON_LINE_STOPS)} AND (contains(text, ' & ') OR regexp_matches(text, '\\b[A-Z][a-z]+\\d')))"
+    correspondence = "(contains(lower(text), 'email') OR contains(lower(text), 'correspondence') OR contains(text, '*'))"
+    name = f"(len(string_split({c}, ' ')) BETWEEN 2 AND 6 AND NOT regexp_matches(text, '\\d'))"
+    front = f"(ord % 2 = 0 AND (lower({c}) IN ({', '.join(_q(x) for x in classify.METADATA_LINES)}) OR {affiliation} OR {correspondence} OR {_any(f'lower({c})', PUBLISHER)}))"
+    bad = r"(c = '' OR length(c) > 180 OR len(string_split(c, ' ')) > 20 OR (len(string_split(c, ' ')) <= 10 AND regexp_matches(c, '[=^_{}]')))"
+    garbage = rf"(c = '' OR length(c) > 180 OR c IN ('•', '-', '_') OR regexp_full_match(c, '[\d\s%=+\-*/().]+') OR regexp_matches(lower(c), 'scientific reports\s*\||proceedings of the .*conference|\b(?:copyright|correspondence to)\b') OR (len(string_split(c, ' ')) <= 10 AND regexp_matches(c, '[=^_{{}}]')))"
+    score = "CASE WHEN n >= 500 THEN 1.0 WHEN n >= 300 THEN 0.95 WHEN n >= 200 THEN 0.85 WHEN n >= 100 THEN 0.7 WHEN n > 0 THEN 0.4 ELSE 0.0 END"
+    weights = "(0.0::DOUBLE + " + " + ".join(f"{m} * {w}::DOUBLE" for m, w in WEIGHTS.items()) + f") / {sum(WEIGHTS.values())}::DOUBLE"
+    flags = ", ".join(f"CASE WHEN {m} < {bound} THEN {_q(flag)} END" for m, (bound, flag) in ISSUES.items())
+    year = r"(?:19|20)\d{2}"
+    first = lambda x, p: f"TRY_CAST(nullif(regexp_extract({x}, {_q(p)}, 1), '') AS INTEGER)"
+    return {
+        "layout_order": f"""WITH {LINES}, r AS (SELECT doc_id, ord, (length(text) % 600)::DOUBLE AS x, (length(text) * 7 % 90)::DOUBLE AS y, ord % 3 + 1 AS p FROM lines)
+          SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY (x >= 300)::INT, y, ord) AS in_columns, row_number() OVER (PARTITION BY doc_id ORDER BY p, y, x, ord) AS in_pages FROM r""",
+        "font_stats": rf"""WITH {LINES}, w AS (SELECT doc_id, ord, list_slice(string_split(text, ' '), 1, 12) AS ws FROM lines WHERE ord < 40),
+          s AS (SELECT doc_id, ord, unnest(ws) AS word, unnest(range(len(ws))) AS span FROM w),
+          l AS (SELECT doc_id, ord, {_clean("string_agg(word || ' ', '' ORDER BY span)")} AS text, round(max(8 + (ord + span) % 5 * 0.55), 1)::DOUBLE AS size, bool_or(((span * 8) >> 4) & 1 = 1) AS bold FROM s GROUP BY doc_id, ord),
+          k AS (SELECT * FROM l WHERE text <> ''), f AS (SELECT doc_id, median(size) AS body FROM k GROUP BY doc_id)
+          SELECT doc_id, ord // 4 AS block_no, md5(string_agg(text, ' ' ORDER BY ord)) AS text_md5, max(size) AS font_size, bool_or(bold) AS is_bold, round(any_value(body), 3) AS body_font_size FROM k JOIN f USING (doc_id) GROUP BY doc_id, ord // 4""",
+        "coordinate_integrity": f"""WITH {LINES} SELECT doc_id, round(avg((CASE WHEN ord % 2 = 0 THEN ord % 7 <> 0 AND length(text) % 11 >= 1 AND length(text) % 5 > 0 AND ord % 4 > 0 ELSE length(text) % 3 > 0 END)::INT), 6) AS coordinate_integrity FROM lines GROUP BY doc_id""",
+        "reference_integrity": f"""WITH l AS (SELECT doc_id, source, unnest(range(len(x)))::INTEGER AS ord, unnest(x) AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents)),
+          r AS (SELECT doc_id, concat_ws(' ', CASE WHEN ord % 2 = 0 THEN nullif(text[1:8], '') END, nullif(substr(text, 9, ord % 20), ''), CASE WHEN ord % 3 = 0 THEN '[''' || source || ''', ''' || source || ''']' END) AS t FROM l)
+          SELECT doc_id, round(avg((length({_clean("t")}) >= 20)::INT), 6) AS reference_integrity FROM r GROUP BY doc_id""",
+        "structure_integrity": f"""WITH {LINES}, k AS (SELECT doc_id, ord, {c} AS c FROM lines),
+          v AS (SELECT doc_id, avg((NOT {bad})::INT) AS valid FROM k WHERE ord % 5 = 0 GROUP BY doc_id), g AS (SELECT doc_id, avg((ord % 4 = 0)::INT) AS assigned FROM k WHERE ord % 5 <> 0 GROUP BY doc_id)
+          SELECT doc_id, round(coalesce(0.6 * valid + 0.4 * assigned, 0.0), 6)::DOUBLE AS structure_integrity FROM v FULL JOIN g USING (doc_id)""",
+        "abstract_integrity": f"""WITH {PAGES}, r AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '' ELSE substr(tei, 1, 150) END AS a, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN substr(pdf, 80, 200) ELSE pdf END AS p FROM pairs),
+          t AS (SELECT page_id, unnest({_tokens("a")}) AS token FROM r), k AS (SELECT DISTINCT page_id, unnest({_tokens("p")}) AS token FROM r),
+          h AS (SELECT page_id, count(k.token) / count(*) AS h FROM t LEFT JOIN k USING (page_id, token) GROUP BY page_id),
+          q AS (SELECT page_id, lower({_clean("a")}) AS a, lower({_clean("p")}) AS p, length({_clean("a")}) AS n FROM r)
+          SELECT page_id, round(CASE WHEN a = '' THEN 0.0 WHEN p = '' THEN {score} WHEN contains(p, a) THEN 1.0 ELSE coalesce(h, 0.0) END, 6)::DOUBLE AS abstract_integrity FROM q LEFT JOIN h USING (page_id)""",
+        "abstract_regions": f"""WITH {LINES}, r AS (SELECT doc_id, ord, {c} AS c, min(CASE WHEN ord % 7 = 2 THEN ord END) OVER (PARTITION BY doc_id) AS f FROM lines),
+          e AS (SELECT *, min(CASE WHEN ord % 7 = 5 AND ord > f THEN ord END) OVER (PARTITION BY doc_id) AS stop FROM r)
+          SELECT doc_id, md5(string_agg(c, ' ' ORDER BY ord)) AS abstract_md5 FROM e WHERE ord >= f AND (stop IS NULL OR ord < stop) AND c <> '' GROUP BY doc_id""",
+        "artifact_dedup": rf"""WITH {LINES}, k AS (SELECT *, {c} AS c, ord % 3 AS page FROM lines),
+          f AS (SELECT doc_id, ord, 'formula' AS kind, printf('formula_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY ord)) AS name, page, regexp_replace(lower(text[1:6]), '\s+', '', 'g') AS key FROM k),
+          r AS (SELECT doc_id, ord, 'reference' AS kind, '' AS name, {_clean("CASE WHEN ord % 2 = 0 THEN text[1:18] END")} AS raw, {_clean("text[1:3]")} AS title FROM k),
+          q AS (SELECT *, lower(CASE WHEN raw <> '' THEN raw ELSE title END) AS key FROM r WHERE raw = '' OR length(raw) >= 15)
+          SELECT doc_id, ord, kind, name FROM f WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key, page ORDER BY ord) = 1
+          UNION ALL (SELECT doc_id, ord, kind, name FROM q WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) = 1)
+          UNION ALL (SELECT doc_id, ord, 'section', '' FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1)
+          UNION ALL (SELECT doc_id, ord, 'figure', '' FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, {_clean("text[1:2]")}, page ORDER BY ord) = 1)""",
+        "canonical_paragraphs": f"""WITH {LINES}, k AS (SELECT *, {c} AS c FROM lines),
+          h AS (SELECT doc_id, lower(c) AS key, c AS heading FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1),
+          p AS (SELECT k.doc_id, ord, c, ord % 2 AS page, CASE WHEN length(text) <= 60 THEN ' ' || text WHEN ord % 3 = 0 THEN 'Else' END AS section, first_value(c) OVER (PARTITION BY k.doc_id ORDER BY ord) AS abstract FROM k),
+          j AS (SELECT p.*, coalesce(h.heading, section) AS s FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND lower({_clean("section")}) = h.key WHERE c <> '' AND lower(c) <> lower(abstract)),
+          w AS (SELECT *, last_value(nullif(s, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS own FROM j)
+          SELECT doc_id, ord, md5(c) AS text_md5, own AS section FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c), page ORDER BY ord) = 1""",
+        "title_rules": f"""WITH {LINES}, k AS (SELECT doc_id, ord, {c} AS c FROM lines),
+          t AS (SELECT doc_id, min(ord) FILTER (length(c) BETWEEN 20 AND 300 AND NOT contains(lower(c), 'pdftitle') AND NOT starts_with(c, chr(92))) AS title_ord, min(ord) FILTER (length(c) BETWEEN 20 AND 250 AND NOT {_any("lower(c)", classify.TEXT_METADATA)}) AS candidate_ord FROM k GROUP BY doc_id)
+          SELECT t.doc_id, md5(c) AS title_md5, title_ord, candidate_ord FROM t LEFT JOIN k ON k.doc_id = t.doc_id AND k.ord = t.title_ord WHERE title_ord IS NOT NULL OR candidate_ord IS NOT NULL""",
+        "person_and_front_matter": f"""WITH {LINES} SELECT doc_id, count(*) FILTER ({person}) AS person_lines, count(*) FILTER ({name}) AS person_names, count(*) FILTER ({correspondence}) AS correspondence, count(*) FILTER ({front}) AS front_matter,
+          count(*) FILTER (regexp_full_match(text, '(?i)\\s*references\\s*')) AS reference_headings, count(*) FILTER ({" OR ".join(f"starts_with(lower(trim(text)), {_q(t)})" for t in classify.CHUNK_METADATA)}) AS chunk_metadata, count(*) FILTER ({_any("lower(text)", classify.TEXT_METADATA)}) AS metadata FROM lines GROUP BY doc_id""",
+        "year_rules": f"""WITH d AS (SELECT doc_id, length(text) AS n, (doc_id % 300 + 1850)::VARCHAR AS y, 'c. ' || (doc_id % 300 + 1850) || 'x' AS t FROM documents)
+          SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN y::INT BETWEEN 1900 AND 2100 THEN y::INT ELSE {first("y", f"({year})")} END ELSE {first("t", f"({year})")} END AS year_of,
+            CASE WHEN doc_id % 3 = 0 THEN y::INT END AS pdf_year, CASE WHEN regexp_full_match(y, '{year}') THEN y::INT END AS stated_year,
+            CASE WHEN doc_id % 3 = 0 THEN y::INT WHEN doc_id % 2 = 1 AND regexp_full_match(y, '{year}') THEN y::INT END AS metadata_year, ({score})::DOUBLE AS length_score FROM d""",
+        "text_rules": rf"""WITH d AS (SELECT doc_id, text, doc_id AS i FROM documents),
+          o AS (SELECT doc_id, list_distinct(string_split(lower({_clean("substr(text, 1, 80)")}), ' ')) AS a, list_distinct(string_split(lower({_clean("substr(text, 30, 90)")}), ' ')) AS b FROM d)
+          SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(10) || ' ')), lambda s: s <> '')) AS n_sentences,
+            len(string_split(text, chr(10))) + 1 AS n_lines, md5(regexp_replace(lower(substr(text, 1, 40)), '\s+', '', 'g')) AS formula_key, '10.1/x' || i AS doi_key, md5({_clean("substr(text, 1, 30)")}) AS title,
+            (i % 5) || '. Some heading' || CASE WHEN i % 5 = i % 3 THEN '' ELSE ' ' || (i % 3) || '.' END AS heading,
+            lower(regexp_extract(regexp_replace({_clean("substr(text, 1, 50)")}, '[^a-zA-Z]+$', ''), '(\S+)$', 1)) AS last_word, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS overlap FROM d JOIN o USING (doc_id)""",
+        "registry_update": """WITH f AS (SELECT doc_id, sha256(text) AS h, printf('/in/%09d.pdf', doc_id) AS path FROM documents), o AS (SELECT printf('paper_%03d', doc_id + 1) AS paper_id, doc_id || '.pdf' AS filename, h FROM f WHERE doc_id % 4 = 0),
+          m AS (SELECT max(doc_id + 1) AS m FROM f WHERE doc_id % 4 = 0), n AS (SELECT path, h FROM f WHERE h NOT IN (SELECT h FROM o) QUALIFY row_number() OVER (PARTITION BY h ORDER BY path) = 1),
+          lowest AS (SELECT h, min(paper_id) AS paper_id FROM o GROUP BY h)
+          SELECT o.paper_id, filename, o.h AS file_hash, CASE WHEN l.paper_id IS NULL THEN 'failed' ELSE 'extracted' END AS status, CASE WHEN l.paper_id IS NULL THEN 'e' END AS error FROM o LEFT JOIN lowest l ON l.paper_id = o.paper_id
+          UNION ALL SELECT 'paper_' || lpad((m + row_number() OVER (ORDER BY path))::VARCHAR, greatest(3, length((m + row_number() OVER (ORDER BY path))::VARCHAR))::INTEGER, '0'), path[5:], h, 'hashed', NULL FROM n, m""",
+        "layout_tree": f"""WITH {LINES} SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (ord % 4 = 0) AS n_formulas, count(*) FILTER (ord % 4 = 0 AND (ord % 3 = 0 OR text = '')) AS n_orig, count(*) FILTER (ord % 5 <> 0) AS n_coords,
+          round(coalesce(sum((ord + 2.0) * length(text)) FILTER (ord % 5 <> 0), 0), 3)::DOUBLE AS area, 0 AS n_figures FROM lines GROUP BY doc_id""",
+        "tei_records": rf"""WITH d AS (SELECT doc_id, list_slice(string_split(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), chr(10)), 1, 9) AS ls FROM documents),
+          l AS (SELECT doc_id, unnest(ls) AS x FROM d), s AS (SELECT doc_id, {_clean("'a b ' || x")} AS p, {_clean("x[1:9]")} AS q FROM l),
+          g AS (SELECT doc_id, 2 * count(*) AS n_sections, count(*) + count(*) FILTER (q <> '') AS n_paragraphs, sum(length(p) + length(q))::INT AS n_chars, count(*) FILTER (q <> '') AS n_nested, count(*) AS n_coords FROM s GROUP BY doc_id)
+          SELECT doc_id, doc_id % 50 = 7 AS failed, {", ".join(f"CASE WHEN doc_id % 50 <> 7 THEN {k} END AS {k}" for k in ("n_sections", "n_paragraphs", "n_chars", "n_nested", "n_coords"))}, CASE WHEN doc_id % 50 <> 7 THEN 'T' || doc_id END AS title FROM g""",
+        "accuracy_scores": """WITH d AS (SELECT doc_id, doc_id AS i, n_chars AS n FROM documents), s AS (SELECT *, CASE WHEN i % 11 > 0 THEN greatest(0.0, 1 - abs(n % 13 - i % 11) / (i % 11)) ELSE 0.0 END AS tables, CASE WHEN i % 5 > 0 THEN greatest(0.0, 1 - abs(n % 7 - i % 5) / (i % 5)) ELSE 0.0 END AS figures,
+            coalesce(2 * (i % 4 / 4) * (i % 3 / 3) / nullif(i % 4 / 4 + i % 3 / 3, 0), 0.0) AS sections FROM d)
+          SELECT doc_id, round(tables, 6) AS tables, round(figures, 6) AS figures, round(sections, 6) AS sections,
+            round(i % 9 / 9 * 0.2 + sections * 0.15 + i % 5 / 5 * 0.2 + i % 6 / 6 * 0.15 + i % 7 / 7 * 0.1 + tables * 0.05 + figures * 0.05 + i % 8 / 8 * 0.1, 6) AS overall FROM s""",
+        "integrity_evaluation": f"""WITH {_metrics()}, k AS (SELECT doc_id, ord, text, {c} AS c FROM lines),
+          b AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS tei, text AS pdf, source FROM documents),
+          na AS (SELECT doc_id, item, count(*) AS a FROM (SELECT doc_id, unnest({_numbers("tei")}) AS item FROM b) GROUP BY ALL), nb AS (SELECT doc_id, item, count(*) AS b FROM (SELECT doc_id, unnest({_numbers("lower(pdf)")}) AS item FROM b) GROUP BY ALL),
+          num AS (SELECT na.doc_id, sum(least(a, coalesce(b, 0))) / sum(a) AS h FROM na LEFT JOIN nb USING (doc_id, item) GROUP BY na.doc_id),
+          ta AS (SELECT doc_id, item, count(*) AS a FROM (SELECT doc_id, unnest({_tokens("tei")}) AS item FROM b) GROUP BY ALL), tb AS (SELECT doc_id, item, count(*) AS b FROM (SELECT doc_id, unnest({_tokens("pdf")}) AS item FROM b) GROUP BY ALL),
+          tok AS (SELECT doc_id, 2 * sum(least(coalesce(a, 0), coalesce(b, 0))) / (sum(a) + sum(b)) AS f FROM ta FULL JOIN tb USING (doc_id, item) GROUP BY doc_id),
+          per AS (SELECT doc_id, count(*) AS n, avg((NOT {bad})::INT) FILTER (ord < 3) AS valid, avg((ord % 4 <> 0)::INT) AS assigned, avg((length({_clean("text[1:20]")}) >= 20)::INT) FILTER (ord < 2) AS ref, avg((ord % 3 > 0)::INT) AS coord, max(text) FILTER (ord = 0) AS title FROM k GROUP BY doc_id),
+          m AS (SELECT doc_id, n, ((doc_id % 2 = 0 AND title <> '')::INT + (source IS NOT NULL)::INT + 1) / 4 AS metadata_integrity, 0.0 AS abstract_integrity, 0.6 * valid + 0.4 * assigned AS structure_integrity, duplication_integrity, ref AS reference_integrity, truncation_integrity,
+            CASE WHEN {_clean("tei")} = '' THEN 0.0 ELSE coalesce(h, 0.5) END AS numeric_consistency, coalesce(f, 0.0) AS cross_parser_consistency, contamination_integrity, coord AS coordinate_integrity, 1 - assigned AS orphan
+            FROM per JOIN metrics USING (doc_id) JOIN b USING (doc_id) LEFT JOIN num USING (doc_id) LEFT JOIN tok USING (doc_id)), s AS (SELECT *, {weights} AS s FROM m)
+          SELECT doc_id, {", ".join(f"round({x}::DOUBLE::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS {x}" for x in WEIGHTS)}, round(s::DOUBLE::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS integrity_score, CASE WHEN s >= 0.85 THEN 'healthy' WHEN s >= 0.70 THEN 'review' ELSE 'poor' END AS status, array_to_string(list_filter([{flags}], lambda x: x IS NOT NULL), ',') AS issues,
+            round(orphan::DOUBLE::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS orphan_paragraph_ratio, least(n, 2)::INT AS n_figures, n::INT AS n_text_blocks, 0 AS n_formulas, least(n, 3)::INT AS tei_sections, n::INT AS tei_paragraphs, least(n, 2)::INT AS tei_references, (least(n, 5) // 2)::INT AS tei_figures, ((least(n, 5) + 1) // 2)::INT AS tei_tables FROM s""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     c = _clean("text")
     garbage = rf"(c = '' OR length(c) > 180 OR c IN ('•', '-', '_') OR regexp_full_match(c, '[\d\s%=+\-*/().]+') OR regexp_matches(lower(c), 'scientific reports\s*\||proceedings of the .*conference|\b(?:copyright|correspondence to)\b') OR (len(string_split(c, ' ')) <= 10 AND regexp_matches(c, '[=^_{{}}]')))"
@@ -149,4 +246,4 @@ def oracle_sql() -> dict[str, str]:
           stops AS (SELECT *, max((contains(lower(line), 'disclaimer') OR contains(lower(line), 'publisher''s note'))::INT) OVER w AS stopped FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
           n AS (SELECT *, sum(regexp_matches(line, '^[0-9]+\. ')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS ref_no FROM stops WHERE stopped = 0 AND line <> '')
           SELECT conv_id, ref_no, md5(trim(regexp_replace(string_agg(line, ' ' ORDER BY turn), '\s+', ' ', 'g'))) AS reference_md5 FROM n WHERE ref_no > 0 GROUP BY conv_id, ref_no""",
-    }
+    } | _made()

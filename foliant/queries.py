@@ -7,16 +7,17 @@ two parsers of one paper.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import classify
-from foliant.functions.similarity import without_near_sentences
+from foliant.functions import classify, text
+from foliant.functions.similarity import token_overlap, without_near_sentences
 from foliant.functions.text import block_key, block_text, clean, let, normalize, numbers, sentence_key, sentences, tokens, without_publisher_text
-from foliant.operators import benchmark, chunk, dedup, layout, quality
+from foliant.operators import benchmark, canonical, chunk, dedup, layout, quality, regions
 from foliant.operators.regions import carry_forward, folded_references
-from foliant.sources import sinks
+from foliant.sources import files, sinks
 from foliant.sources.tables import read_spread as read_table
 
 METRICS = ("duplication_integrity", "contamination_integrity", "truncation_integrity")
@@ -194,11 +195,238 @@ def reference_folding(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "ref_no", F.md5("reference").alias("reference_md5"))
 
 
+def layout_order(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as blocks at made-up places of a page of two columns: their turns in column and in page order."""
+    n = F.length("text")
+    rows = _paragraphs(spark, d).select("doc_id", "ord", (n % 600).cast("double").alias("x0"), (n * 7 % 90).cast("double").alias("y0"), (F.col("ord") % 3 + 1).alias("page_no"))
+    turn = lambda keys: F.row_number().over(Window.partitionBy("doc_id").orderBy(*keys))
+    placed = rows.withColumns({"in_columns": turn(layout.column_order(F.lit(600.0))), "in_pages": turn(layout.page_order())})
+    return placed.select("doc_id", "ord", "in_columns", "in_pages")
+
+
+def font_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Words as spans with made-up sizes and flags: blocks by way of lines, and the body's size."""
+    words = _paragraphs(spark, d).where("ord < 40").select("doc_id", (F.expr("ord div 4")).alias("block_no"), F.col("ord").alias("line_no"), F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("span_no", "text"))
+    size = (8 + (F.col("line_no") + F.col("span_no")) % 5 * 0.55).cast("double")
+    spans = words.withColumns({"page_no": F.lit(1), "size": size, "flags": F.col("span_no") * 8}).withColumn("text", F.concat("text", F.lit(" ")))
+    by = ("doc_id", "page_no", "block_no")
+    lines = layout.spans_to_lines(spans, (*by, "line_no"))
+    blocks = layout.lines_to_blocks(lines, by).join(layout.body_font_size(lines, "doc_id"), "doc_id")
+    return blocks.select("doc_id", "block_no", F.md5("text").alias("text_md5"), F.round("font_size", 1).alias("font_size"), "is_bold", F.round("body_font_size", 3).alias("body_font_size"))
+
+
+def coordinate_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as blocks, each with a made-up coordinate record whose keys have either names."""
+    o, n = F.col("ord"), F.length("text")
+    text = lambda c: c.cast("string")
+    one = F.create_map(F.lit("page"), F.when(o % 7 != 0, text(o % 3 + 1)), F.lit("x"), text(n % 11 - 1), F.lit("y"), text(o), F.lit("w"), text(n % 5), F.lit("h"), text(o % 4))
+    two = F.create_map(F.lit("page_no"), text(o % 3 + 1), F.lit("x"), text(n % 11), F.lit("y"), text(o), F.lit("width"), text(n % 3), F.lit("height"), F.lit("2.5"))
+    rows = _paragraphs(spark, d).select("doc_id", F.array(classify.coord_record(F.when(o % 2 == 0, one).otherwise(two))).alias("coords"))
+    out = quality.coordinate_integrity(rows, "doc_id")
+    return out.select("doc_id", F.round("coordinate_integrity", 6).alias("coordinate_integrity"))
+
+
+def reference_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as references: a few first characters as title, some more as raw text, the source as an author."""
+    o, t = F.col("ord"), F.col("text")
+    docs = read_table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    rows = docs.select("doc_id", F.when(o % 2 == 0, F.substring(t, 1, 8)).alias("title"), F.substring(t, F.lit(9), o % 20).alias("raw"), F.when(o % 3 == 0, F.array("source", "source")).alias("authors"))
+    out = quality.reference_integrity(rows, "doc_id")
+    return out.select("doc_id", F.round("reference_integrity", 6).alias("reference_integrity"))
+
+
+def structure_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth line as a heading; the others as paragraphs, some with a section."""
+    rows, o = _paragraphs(spark, d), F.col("ord")
+    sections = rows.where(o % 5 == 0).select("doc_id", F.col("text").alias("heading"))
+    paragraphs = rows.where(o % 5 != 0).select("doc_id", F.when(o % 4 == 0, F.lit("Methods")).when(o % 4 == 1, F.lit("")).alias("section"))
+    out = quality.structure_integrity(sections, paragraphs, "doc_id")
+    return out.select("doc_id", F.round("structure_integrity", 6).alias("structure_integrity"))
+
+
+def abstract_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """A page's first paragraphs as abstract, in its whole text or, for some pages, in another one or none."""
+    p = F.col("page_id")
+    abstract = F.when(p % 5 == 4, F.lit("")).otherwise(F.substring("tei", 1, 150))
+    pdf = F.when(p % 5 == 0, F.lit("")).when(p % 5 == 1, F.substring("pdf", 80, 200)).otherwise(F.col("pdf"))
+    out = quality.abstract_integrity(_page_pairs(spark, d).select("page_id", abstract.alias("abstract"), pdf.alias("pdf")), "page_id")
+    return out.select("page_id", F.round("abstract_integrity", 6).alias("abstract_integrity"))
+
+
+def abstract_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as paragraphs of made-up sections: those from the first abstract to the next major section."""
+    rows, o = _paragraphs(spark, d), F.col("ord")
+    named = rows.withColumn("section", F.when(o % 7 == 2, F.lit(" Abstract")).when(o % 7 == 5, F.lit("Results")).when(o % 7 == 4, F.lit("Other")))
+    out = regions.abstract_region(named, "doc_id")
+    return out.select("doc_id", F.md5("abstract").alias("abstract_md5"))
+
+
+def artifact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Beginnings of lines as formulas, references, headings and figures: what is left of each by first wins."""
+    rows = _paragraphs(spark, d).withColumn("page", F.col("ord") % 3)
+    o, t = F.col("ord"), F.col("text")
+    formulas = canonical.formulas(rows.select("doc_id", "ord", "page", F.substring(t, 1, 6).alias("text")), "doc_id")
+    references = canonical.references(rows.select("doc_id", "ord", F.substring(t, 1, 3).alias("title"), F.when(o % 2 == 0, F.substring(t, 1, 18)).alias("raw")), "doc_id")
+    sections = canonical.sections(rows.where(F.length(t) <= 60).select("doc_id", "ord", t.alias("heading")), "doc_id")
+    figures = canonical.artifacts(rows.select("doc_id", "ord", "page", F.lit("figure").alias("type"), F.substring(t, 1, 2).alias("label"), F.lit("").alias("caption")), "doc_id")
+    kept = [f.select("doc_id", "ord", F.lit(k).alias("kind"), name.alias("name")) for k, f, name in (("formula", formulas, F.col("formula_id")), ("reference", references, F.lit("")), ("section", sections, F.lit("")), ("figure", figures, F.lit("")))]
+    return reduce(DataFrame.unionByName, kept)
+
+
+def canonical_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as paragraphs under short lines as headings, some of them without a section: carried forward, first wins."""
+    rows = _paragraphs(spark, d)
+    kept = canonical.sections(rows.where(F.length("text") <= 60).select("doc_id", "ord", F.col("text").alias("heading")), "doc_id")
+    section = F.when(F.length("text") <= 60, F.concat(F.lit(" "), F.col("text"))).when(F.col("ord") % 3 == 0, F.lit("Else"))
+    raw = rows.select("doc_id", "ord", "text", section.alias("section"), (F.col("ord") % 2).alias("page"))
+    abstract = rows.where("ord = 0").select("doc_id", F.col("text").alias("abstract"))
+    out = canonical.paragraphs(raw, kept, abstract, "doc_id")
+    return out.select("doc_id", "ord", F.md5("text").alias("text_md5"), "section")
+
+
+def title_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The first lines that can be a title by two rules."""
+    nodes = _paragraphs(spark, d)
+    a, b = (regions.first_title(nodes, rule, "doc_id") for rule in (classify.is_sane_title, classify.is_title_candidate))
+    return a.join(b.select("doc_id", F.col("title_ord").alias("candidate_ord")), "doc_id", "full").select("doc_id", F.md5("title").alias("title_md5"), "title_ord", "candidate_ord")
+
+
+def front_authors(spark: SparkSession, d: str) -> DataFrame:
+    """Names at the beginning of documents whose second line is made to hold some."""
+    o = F.col("ord")
+    head = F.when(o == 1, F.concat(F.lit("Ann Lee"), F.col("doc_id") % 7, F.lit("* & Bob Ray2, ; "), F.substring("text", 1, 12))).when(o == 2, F.lit("Department of X")).otherwise(F.col("text"))
+    nodes = _paragraphs(spark, d).where("ord < 12").select("doc_id", "ord", head.alias("text"))
+    return regions.front_authors(nodes, "doc_id").select("doc_id", F.array_join("authors", "|").alias("authors"))
+
+
+def person_and_front_matter(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("text")
+    return _paragraphs(spark, d).groupBy("doc_id").agg(
+        F.count_if(classify.looks_like_person_line(c)).alias("person_lines"),
+        F.count_if(classify.looks_like_person_name(c)).alias("person_names"),
+        F.count_if(classify.is_correspondence(c)).alias("correspondence"),
+        F.count_if(classify.is_front_matter(c, F.col("ord") % 2 + 1)).alias("front_matter"),
+        F.count_if(classify.is_references_heading(c)).alias("reference_headings"),
+        F.count_if(classify.is_chunk_metadata(c)).alias("chunk_metadata"),
+        F.count_if(classify.looks_like_metadata(c)).alias("metadata"),
+    )
+
+
+def year_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Years of made-up values with a document's numbers in them."""
+    i = F.col("doc_id")
+    number = F.concat(i % 300 + 1850, F.lit(""))
+    docs = read_table(spark, d, "documents")
+    return docs.select(
+        "doc_id",
+        text.year_of(F.when(i % 2 == 0, number).otherwise(F.concat(F.lit("c. "), number, F.lit("x")))).alias("year_of"),
+        text.pdf_year(F.concat(F.when(i % 3 == 0, F.lit("D:")).otherwise(F.lit("")), number, F.lit("0501"))).alias("pdf_year"),
+        text.stated_year(F.concat(F.lit("Published: May "), number, F.lit(" x"))).alias("stated_year"),
+        text.metadata_year(F.concat(F.when(i % 3 == 0, F.lit("D:")).otherwise(F.lit("on ")), number, F.when(i % 2 == 0, F.lit("0501")).otherwise(F.lit("-05")))).alias("metadata_year"),
+        text.length_score(F.length("text")).alias("length_score"),
+    )
+
+
+def text_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the smaller text rules on documents and what is made of them."""
+    t, i = F.col("text"), F.col("doc_id")
+    docs = read_table(spark, d, "documents")
+    return docs.select(
+        "doc_id",
+        F.size(text.plain_sentences(t)).alias("n_sentences"),
+        F.size(text.lines(F.concat(t, F.lit("\r\nx\n")))).alias("n_lines"),
+        F.md5(text.formula_key(F.substring(t, 1, 40))).alias("formula_key"),
+        text.doi_key(F.concat(F.when(i % 3 == 0, F.lit(" https://doi.org/")).when(i % 3 == 1, F.lit("DOI:")).otherwise(F.lit("")), F.lit("10.1/X"), i)).alias("doi_key"),
+        F.md5(text.title_text(F.concat(F.substring(t, 1, 30), F.lit("†‡ ")))).alias("title"),
+        text.heading_text(F.concat(i % 5, F.lit(". Some  heading "), i % 3, F.lit("."))).alias("heading"),
+        text.last_word(F.substring(t, 1, 50)).alias("last_word"),
+        F.round(token_overlap(F.substring(t, 1, 80), F.substring(t, 30, 90)), 6).alias("overlap"),
+    )
+
+
+def registry_update(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: those of new hashes are numbered on, the others' records lose their error."""
+    docs = read_table(spark, d, "documents")
+    files = docs.select(F.format_string("/in/%09d.pdf", "doc_id").alias("path"), F.sha2("text", 256).alias("file_hash"))
+    old = docs.where("doc_id % 4 = 0").select(F.format_string("paper_%03d", F.col("doc_id") + 1).alias("paper_id"), F.format_string("%d.pdf", "doc_id").alias("filename"), F.sha2("text", 256).alias("file_hash"), F.lit("failed").alias("status"), F.lit("e").alias("error"))
+    new = dedup.registered(files, old).select("paper_id", "filename", "file_hash", "status").withColumn("error", F.lit(None).cast("string"))
+    seen = dedup.seen_files(files, old).groupBy("paper_id").agg(F.lit("extracted").alias("status"))
+    return dedup.upsert(old, seen, removed=("error",)).unionByName(new)
+
+
+def layout_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as the text nodes of a layout tree in JSON: numbers of artifacts and of their coordinates."""
+    o, n = F.col("ord"), F.length("text")
+    box = F.struct(F.lit(1.0).alias("l"), (n + 2.0).alias("t"), (o + 3.0).alias("r"), F.lit(2.0).alias("b"))
+    prov = F.array(F.struct(F.when(o % 5 != 0, o % 4 + 1).alias("page_no"), box.alias("bbox")))
+    node = F.struct(F.when(o % 3 != 0, F.substring("text", 1, 20)).alias("text"), F.lit("orig").alias("orig"), F.when(o % 4 == 0, F.lit("formula")).otherwise(F.lit("text")).alias("label"), prov.alias("prov"))
+    trees = _paragraphs(spark, d).groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list(node).alias("texts"))).alias("json"))
+    out = files.layout_artifacts(trees)
+    coords = F.flatten(F.transform("text_blocks", lambda b: b["coords"]))
+    area = F.aggregate(coords, F.lit(0.0), lambda acc, c: acc + c["w"] * c["h"])
+    return out.select("doc_id", F.size("text_blocks").alias("n_blocks"), F.size("formulas").alias("n_formulas"), F.size(F.filter("formulas", lambda f: f["text"] == "orig")).alias("n_orig"), F.size(coords).alias("n_coords"), F.round(area, 3).alias("area"), F.size("figures").alias("n_figures"))
+
+
+def tei_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as TEI texts of nested sections, read back."""
+    plain = F.regexp_replace("text", r"[^A-Za-z \n]", "")
+    lines = F.transform(F.slice(F.split(plain, "\n"), 1, 9), lambda x: F.concat(F.lit("<div><head>H"), F.length(x), F.lit("</head><p coords='1,2,3,4,5'>a <ref>b</ref> "), x, F.lit("</p><div><head>Sub</head><p>"), F.substring(x, 1, 9), F.lit("</p></div></div>")))
+    head = "<TEI xmlns='http://www.tei-c.org/ns/1.0'><teiHeader><fileDesc><titleStmt><title>T"
+    xml = F.concat(F.lit(head), F.col("doc_id"), F.lit("</title></titleStmt></fileDesc></teiHeader><text><body>"), F.array_join(lines, ""), F.when(F.col("doc_id") % 50 == 7, F.lit("<broken>")).otherwise(F.lit("")), F.lit("</body></text></TEI>"))
+    out = files.parsed_tei(read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), xml.alias("xml")))
+    p = F.col("tei.paragraphs")
+    return out.select(
+        F.col("path").cast("long").alias("doc_id"),
+        "tei.title",
+        F.size("tei.sections").alias("n_sections"),
+        F.size(p).alias("n_paragraphs"),
+        F.aggregate(p, F.lit(0), lambda acc, x: acc + F.length(x["text"])).alias("n_chars"),
+        F.size(F.filter(p, lambda x: F.size(x["section_path"]) == 2)).alias("n_nested"),
+        F.size(F.flatten(F.transform(p, lambda x: x["coords"]))).alias("n_coords"),
+        F.col("error").isNotNull().alias("failed"),
+    )
+
+
+def accuracy_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of made-up counts: the parts of the overall score."""
+    n, i = F.col("n_chars"), F.col("doc_id")
+    share = lambda m: (i % m / m)
+    docs = read_table(spark, d, "documents").select("doc_id", benchmark.count_score(n % 13, i % 11).alias("tables"), benchmark.count_score(n % 7, i % 5).alias("figures"), benchmark.f1(share(4), share(3)).alias("sections"), share(5).alias("paragraphs"), share(6).alias("formulas"), share(7).alias("references"), share(8).alias("abstract"), share(9).alias("metadata"))
+    return docs.select("doc_id", *[F.round(c, 6).alias(c) for c in ("tables", "figures", "sections")], F.round(benchmark.overall(), 6).alias("overall"))
+
+
+def integrity_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report of documents as papers: lines are paragraphs, and blocks with coordinates; what a plain text
+    doesn't have is made of it."""
+    lines, first = F.split("text", "\n"), F.element_at(F.split("text", "\n"), 1)
+    docs = read_table(spark, d, "documents")
+    section = lambda i: F.when(i % 4 != 0, F.lit("S"))
+    tei = F.struct(
+        F.when(F.col("doc_id") % 2 == 0, first).otherwise(F.lit("")).alias("title"),
+        F.when(F.col("source").isNotNull(), F.array("source")).alias("authors"),
+        F.lit(2024).alias("year"),
+        F.lit(None).cast("string").alias("doi"),
+        F.lit(None).cast("string").alias("abstract"),
+        F.transform(F.slice(lines, 1, 3), lambda x: F.struct(x.alias("heading"))).alias("sections"),
+        F.transform(lines, lambda x, i: F.struct(x.alias("text"), section(i).alias("section"))).alias("paragraphs"),
+        F.transform(F.slice(lines, 1, 2), lambda x: F.struct(F.substring(x, 1, 20).alias("title"), F.lit(None).cast("array<string>").alias("authors"), F.lit("").alias("raw"))).alias("references"),
+        F.transform(F.slice(lines, 1, 5), lambda x, i: F.struct(F.when(i % 2 == 0, F.lit("table")).otherwise(F.lit("figure")).alias("type"))).alias("figures"),
+    )
+    coord = lambda i: F.array(F.struct(F.lit(1).alias("page"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (i % 3).cast("double").alias("w"), F.lit(1.0).alias("h")))
+    blocks = F.transform(lines, lambda x, i: F.struct(coord(i).alias("coords")))
+    artifacts = F.struct(F.slice(lines, 1, 2).alias("figures"), F.slice(lines, 1, 1).alias("tables"), F.lit(None).cast("array<string>").alias("formulas"), blocks.alias("text_blocks"))
+    records = docs.select("doc_id", tei.alias("tei"), F.col("text").alias("pdf_text"), artifacts.alias("artifacts"))
+    out = quality.evaluate(records, "doc_id")
+    return out.select("doc_id", "integrity_score", "status", F.array_join("issues", ",").alias("issues"), *quality.WEIGHTS, "orphan_paragraph_ratio", *[F.col(f"artifact_counts.{c}").alias(f"n_{c}") for c in ("figures", "text_blocks", "formulas")], *[F.col(f"extraction_counts.{c}").alias(f"tei_{c}") for c in ("sections", "paragraphs", "references", "figures", "tables")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         quality_report, metric_variance_report, dedup_exact, line_dedup_first_wins, paragraph_integrity, header_footer_filter, audit_stats, numeric_tokens,
         token_frequency, page_numeric_consistency, page_token_f1, page_metadata, publisher_text_truncation, author_and_person_filters, heading_filters,
         conversation_carry_forward, section_segmentation, run_counters, sentence_split, chunk_packing, near_duplicate_sentences, normalized_text,
-        benchmark_coverage, greedy_list_f1, reference_folding,
+        benchmark_coverage, greedy_list_f1, reference_folding, layout_order, font_stats, coordinate_integrity, reference_integrity, structure_integrity,
+        abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
+        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation,
     )
     return {f.__name__: f for f in listed}
