@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.arrowtext import slices
+from foliant.llm.arrowtext import grouped, slices
 
 DIMS = 4096
 CENTROIDS = 4
@@ -28,10 +28,12 @@ ROUNDS = 12
 REJECT = 0.35
 UNDECIDED = "und"
 
-_FOLD = np.full(256, 0x20, np.uint8)
-_FOLD[0x80:] = np.arange(0x80, 0x100)
-_FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
-_FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+#: More languages than this are refused: each is some rows on the driver.
+MAX_LANGS = 10_000
+#: Texts, and bytes of them, whose vectors are made together, so that they stay in a core's cache.
+ROWS, SLICE_BYTES = 16, 1 << 16
+_FOLD = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
+_LOG = np.log1p(np.arange(4096, dtype=np.float32))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -43,32 +45,34 @@ def _counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram counts by text and dimension, whether a text has a letter)."""
     raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
     n = len(raw)
-    data = _FOLD[np.frombuffer(b"  ".join([b"", *raw, b"  "]), np.uint8)]
+    data = np.frombuffer(b"  ".join([b"", *raw, b"  "]).translate(_FOLD), np.uint8)
     begins = np.cumsum([2, *(len(x) + 2 for x in raw)])
-    doc = np.repeat(np.arange(n), np.diff(begins))
     # windows start at the space before each text and end in the two spaces behind it
-    a, b, c = (data[k : k + len(doc)].astype(np.uint32) for k in (1, 2, 3))
+    m = begins[-1] - begins[0]
+    a, b, c = (data[k : k + m].astype(np.uint32) for k in (1, 2, 3))
+    at = np.repeat(np.arange(0, n * DIMS, DIMS), np.diff(begins))
     pair = (a << np.uint32(8)) | b
-    use = (a != 0x20) | (b != 0x20)  # runs of spaces say nothing
-    two = ((pair * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int64)
-    three = ((((pair << np.uint32(8)) | c) * np.uint32(0x85EBCA77)) >> np.uint32(20)).astype(np.int64)
-    at = doc * DIMS
-    counts = np.bincount((at + two)[use], minlength=n * DIMS) + np.bincount((at + three)[use], minlength=n * DIMS)
+    at[pair == 0x2020] = n * DIMS  # runs of spaces say nothing
+    two = (pair * np.uint32(0x9E3779B1)) >> np.uint32(20)
+    three = (((pair << np.uint32(8)) | c) * np.uint32(0x85EBCA77)) >> np.uint32(20)
+    size = (n + 1) * DIMS
+    counts = (np.bincount(at + two, minlength=size) + np.bincount(at + three, minlength=size))[: n * DIMS]
     ascii_letters = np.add.reduceat(data != 0x20, begins[:-1]) if n else np.zeros(0, np.int64)
     letters = np.array([bool(k) and (x.isascii() or any(ch.isalpha() for ch in x.decode("utf-8", "replace"))) for k, x in zip(ascii_letters, raw, strict=True)], bool)
     return counts.reshape(n, DIMS), letters
 
 
-def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts.astype(np.float32)) * idf
-    norm = np.sqrt((v * v).sum(1, keepdims=True))
-    return v / np.where(norm > 0, norm, 1)
+def _weights(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(TF-IDF weights, length of each row)."""
+    v = _LOG[counts] if counts.size == 0 or counts.max() < len(_LOG) else np.log1p(counts.astype(np.float32))
+    v *= idf
+    return v, np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), np.float32(1e-12)))
 
 
 def _parts(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    for part in slices(batch, column):
-        for begin in range(0, part.num_rows, 512):
-            yield part.slice(begin, 512)
+    for part in slices(batch, column, SLICE_BYTES):
+        for begin in range(0, part.num_rows, ROWS):
+            yield part.slice(begin, ROWS)
 
 
 def _kmeans(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +103,8 @@ class CentroidModel:
         counts, letters = _counts(texts)
         if not self.langs:
             return [UNDECIDED] * len(letters), np.zeros(len(letters)), np.zeros(len(letters), bool)
-        cosine = _vectors(counts, self.idf) @ self.centroids.T
+        v, length = _weights(counts, self.idf)
+        cosine = (v @ self.centroids.T) / length[:, None]
         best = cosine.argmax(1) if len(cosine) else np.zeros(0, int)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1).astype(float)
         ok = letters & (score >= self.bounds[best] * REJECT)
@@ -110,7 +115,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """A model of docs' labelled texts; rows with a null text or language teach nothing.
 
     Sent to the driver: one count for each language, DIMS document frequencies, CENTROIDS vectors for
-    each language.
+    each language; more than MAX_LANGS languages are refused. Equal texts of a language are one and the same to
+    k-means but for their number; its ties go to the earlier text by id. Without a labelled text the model
+    knows no language.
     """
     train = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
@@ -125,20 +132,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     found = {r.dim: r.n for r in train.select("text").mapInArrow(frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     total = found.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
-    share = {r.lang: min(1.0, SAMPLE / r.n) for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {r.lang: min(1.0, SAMPLE / r.n) for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(share) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not share:
         return CentroidModel(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
     limits = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(s * (1 << 31)))])
     chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < limits[F.col("lang")])
 
+    def vector(part: pa.RecordBatch) -> pa.RecordBatch:
+        counts, letters = _counts(part.column("text"))
+        v, length = _weights(counts, idf)
+        v /= length[:, None]
+        keep = np.flatnonzero(letters)
+        at = pa.array(keep)
+        return pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("lang").take(at), pa.array([x.tobytes() for x in v[keep]], pa.binary())], ["id", "lang", "vector"])
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch):
-                counts, letters = _counts(part.column("text"))
-                v = _vectors(counts, idf)
-                keep = np.flatnonzero(letters)
-                at = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("lang").take(at), pa.array([x.tobytes() for x in v[keep]], pa.binary())], ["id", "lang", "vector"])
+        return grouped(vector(part) for batch in batches for part in _parts(batch))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "vector"])
@@ -160,22 +171,23 @@ def predictions(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", t
     """
     kind = dict(docs.dtypes)[id_col]
 
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score, ok = model.predict(part.column("text"))
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], [id_col, "lang_pred", "score", "accepted"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch):
-                lang, score, ok = model.predict(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], [id_col, "lang_pred", "score", "accepted"])
+        return grouped(one(part) for batch in batches for part in _parts(batch))
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text the model accepts."""
+    """The rows of docs, all columns, whose text the model accepts; repeated rows stay, if they do, as often."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, text_col):
-                yield part.filter(pa.array(model.predict(part.column(text_col))[2]))
+            ok = [model.predict(part.column(text_col))[2] for part in _parts(batch, text_col)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *ok])))
 
     return docs.mapInArrow(run, schema)
