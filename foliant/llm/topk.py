@@ -4,12 +4,13 @@ Vectors are quantised to integers, floor(SCALE * x). Candidates fall into shards
 each shard has a KD-tree by median splits of the widest dimension, down to LEAF rows, with the tight
 bounding box and the smallest id of every node. A query visits nodes in order of the highest inner
 product that their box allows; it ends when that is below its kth score, or equal with no smaller id
-left. The kth score bounds the search within one shard's tree alone: every shard starts without one, which
-costs time but no result.
+left. The first shard is searched first; each query's kth score there goes with it to all other shards, whose
+boxes and rows below it are passed over from the start.
 
 Queries come in blocks of BLOCK rows against shards of SHARD rows: each task holds one block and one
 shard at a time, whatever the tables' sizes. Every candidate that could enter a result is scored exactly;
-scores are sums of integer products, exact in float64 below 2**53 and in int64 above.
+scores are sums of integer products, exact in float64 below 2**53 and in int64 above; beyond 64 bits they are
+an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.plans.scratch import materialize
+
 SCALE = 256
 LEAF = 256
 SHARD = 8_192
@@ -71,11 +74,13 @@ class Tree:
         """The highest inner product that each node's box allows each query."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
-    def search(self, query_id: int, q: np.ndarray, bounds: np.ndarray, best: list[tuple[float, int]], k: int) -> None:
-        """Put this tree's rows into best, a heap of (score, -id) of the k best so far."""
+    def search(self, query_id: int, q: np.ndarray, bounds: np.ndarray, best: list[tuple[float, int]], k: int, least_score: float = -np.inf) -> None:
+        """Put this tree's rows of least_score or more into best, a heap of (score, -id) of the k best so far."""
         heap = [(-bounds[0], self.least[0], 0)]
         while heap:
             bound, least, node = heapq.heappop(heap)
+            if -bound < least_score:
+                return
             if len(best) == k and (-bound < best[0][0] or (-bound == best[0][0] and least > -best[0][1])):
                 if -bound < best[0][0]:
                     return
@@ -90,7 +95,7 @@ class Tree:
             if len(best) == k:
                 near = np.flatnonzero(score >= best[0][0])
             else:
-                near = np.arange(hi - lo)
+                near = np.flatnonzero(score >= least_score)
             if len(near) > k + 1:  # ids ascend, so a stable order settles ties
                 near = near[np.argsort(-score[near], kind="stable")[: k + 1]]
             for i in near:
@@ -130,26 +135,43 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     def part(count: int, seed: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count))
 
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    c = candidates.withColumn("shard", part(shards, 1).cast("int")).withColumn("block", every(blocks)).withColumn("size", F.size("x"))
-    q = queries.withColumn("block", part(blocks, 2).cast("int")).withColumn("shard", every(shards)).withColumn("size", F.size("x"))
+    c = candidates.withColumn("shard", part(shards, 1).cast("int")).withColumn("size", F.size("x"))
+    q = queries.select(F.col("id").alias("query"), F.col("x").alias("y"), part(blocks, 2).cast("int").alias("block"), F.size("x").alias("size"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         if len(left) and len(right) and left["size"].iloc[0] > 0:
-            x, y = _matrix(left["x"]), _matrix(right["x"])
-            exact = float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1] < 2**53
-            kind = np.float64 if exact else np.int64
+            x, y = _matrix(left["x"]), _matrix(right["y"])
+            most = float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1]
+            if most >= 2**63:
+                raise ValueError("inner products exceed 64 bits")
+            kind = np.float64 if most < 2**53 else np.int64
             tree, y = Tree(left["id"].to_numpy(), x.astype(kind)), y.astype(kind)
             bounds = tree.bounds(y)
-            for i, (query, row) in enumerate(zip(right["id"].tolist(), y, strict=True)):
+            for i, (query, row, least) in enumerate(zip(right["query"].tolist(), y, right["least"].tolist(), strict=True)):
                 best: list[tuple[float, int]] = []
-                tree.search(query, row, bounds[i], best, k)
+                tree.search(query, row, bounds[i], best, k, least)
                 out += [(query, -b, int(s)) for s, b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards * blocks, 100_000))
     keys = ["shard", "block", "size"]
-    found = c.repartition(parts, *keys).groupBy(*keys).cogroup(q.repartition(parts, *keys).groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def searched(first: int, last: int, q: DataFrame) -> DataFrame:
+        """Of the shards from first to before last: q has the least score that counts for each query."""
+        n = last - first
+        parts = max(least_parts, min(n * blocks, 100_000))
+        own = c.where(F.col("shard").between(first, last - 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        q = q.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        return own.repartition(parts, *keys).groupBy(*keys).cogroup(q.repartition(parts, *keys).groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+
+    found = searched(0, 1, q.withColumn("least", F.lit(float("-inf"))))
+    if shards > 1:
+        found = materialize(found, "first_shard")
+        # scores beyond 2**53 lose their last bits here, downwards
+        kth = F.when(F.count("*") >= k, F.min("score").cast("double"))
+        below = found.groupBy(F.col("query_id").alias("query")).agg(F.when(F.abs(kth) < 2**53, kth).otherwise(kth - F.abs(kth) / 2**52).alias("least"))
+        q = q.join(below, "query", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        found = found.unionByName(searched(1, shards, q))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
