@@ -20,6 +20,18 @@ def similarity(a: Column, b: Column) -> Column:
     return ratio(normalize(a), normalize(b))
 
 
+def reference_text(s: Column) -> Column:
+    """A reference's title, authors, year and doi, those that it has, with spaces between."""
+    some = lambda c: F.nullif(c.cast("string"), F.lit(""))
+    return F.concat_ws(" ", some(s["title"]), some(F.array_join(s["authors"], " ")), F.when(s["year"] != 0, s["year"].cast("string")), some(s["doi"]))
+
+
+def reference_score(actual: Column, expected: Column) -> Column:
+    """F1 of two lists of references, by the text of each."""
+    sides = [F.transform(c, lambda s: normalize(reference_text(s))) for c in (actual, expected)]
+    return list_f1()(*sides)["f1"]
+
+
 def f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 

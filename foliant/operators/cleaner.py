@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import classify
@@ -18,6 +18,11 @@ def item_text(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("text", clean(text))
 
 
+def page_no(provenance: Column) -> Column:
+    """The page of a node's first provenance record, an array of structs with page_no; null without one."""
+    return F.get(provenance, F.lit(0))["page_no"]
+
+
 def cleaned_nodes(nodes: DataFrame, by: str = "paper_id") -> DataFrame:
     """nodes(by, ord, text, page_no) with cleaned text; rows keep their places, blanked ones have "".
 

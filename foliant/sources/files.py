@@ -138,6 +138,9 @@ def quality_reports(spark: SparkSession, root: str) -> DataFrame:
 
 
 def registry_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A registry file, an object keyed by paper id, as rows of schema."""
+    """A registry file, an object keyed by paper id, as rows of schema; one that doesn't exist has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
     text = spark.read.option("wholetext", True).text(path)
     return text.select(F.explode(F.map_values(F.from_json("value", f"map<string,struct<{schema}>>"))).alias("r")).select("r.*")

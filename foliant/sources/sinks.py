@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_artifacts(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
@@ -13,6 +14,11 @@ def write_artifacts(tables: dict[str, DataFrame], root: str, fmt: str = "parquet
         df.write.mode("overwrite").format(fmt).save(f"{root}/{name}")
 
 
+def write_documents(documents: DataFrame, root: str, by: str = "paper_id") -> None:
+    """One UTF-8 JSON document for each row, below root/by=<id>, replacing those of the same ids alone."""
+    documents.select(by, F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(root)
+
+
 def write_registry(registry: DataFrame, root: str) -> str:
     """A new version of the registry beside the old ones, whose readers it does not disturb; returns its path."""
     path = f"{root}/registry-{uuid.uuid4().hex}"
