@@ -160,7 +160,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole copy that it takes of a document,
-    and a row with the words of its selected blocks, if any, joined by single spaces."""
+    and a row with its selected blocks, if any, as they stand in the text, one to a line.
+
+    A null id or source, and repeated rows, are documents like others; a document without words, so a null or
+    empty one too, is in no mix; an empty table gives none. Columns of docs may have any names.
+    """
     chosen = plan(docs, id_col, text_col, source_col, seed).where("taken > 0").select("id", "digest", "passes", "spans", "size")
     turn = Window.partitionBy("id", "digest").orderBy("size")
     chosen = chosen.withColumn("turn", F.row_number().over(turn.orderBy("passes", "spans")))
@@ -187,7 +191,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                     cut = []
                     for i in some:
                         first = w.first[i]
-                        cut.append(b" ".join(w.data[w.starts[first + s["lo"] + k] : w.ends[first + s["lo"] + k]].tobytes() for s in spans[own][i] for k in range(s["hi"] - s["lo"])).decode())
+                        cut.append(b"\n".join(w.data[w.starts[first + s["lo"]] : w.ends[first + s["hi"] - 1]].tobytes() for s in spans[own][i]).decode())
                     rest = part.take(pa.array(some))
                     yield rest.set_column(at, rest.schema.field(at), pa.array(cut, rest.schema.field(at).type))
 
