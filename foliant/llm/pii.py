@@ -6,9 +6,14 @@ mixed tokens. Every candidate has a few small-valued features of its format and
 teaches the model: a positive is a candidate that meets a base span, a mixed token that follows a word such as
 `password`, an address with a bracketed `at` or after a word such as `mail`, or a number of 8 to 15 digits after
 a word such as `call`; any other is a negative. All candidates of all texts are counted by their feature
-cells (the features' product bounds the number of cells, whatever the corpus); boosted regression trees
-are fitted to the cells' log odds, and each generator has the lowest score threshold above which its
-positives reach PRECISION. Candidates over it that meet no base span are added.
+cells, apart for one text of HELD and the others. The number of cells that occur is bounded by the features' values, whatever the
+corpus, and more than MAX_CELLS are refused. Boosted regression trees
+are fitted to the others' log odds, and each generator has the lowest score threshold above which its
+positives among the held-out candidates reach PRECISION. Candidates over it that meet no base span are added.
+
+Each pattern is looked for in the texts alone that have what it can't do without: a digit, an @, or an `at` written out.
+A mail name of over 64 characters, a host label of over 63 and a number of over 42 are no candidates, though
+they may be base spans.
 
 The trees are CASE expressions, so that reading and scoring stay in the JVM; spans are found by splitting
 a text at a pattern's matches, which gives all their places at once.
@@ -38,8 +43,8 @@ GENERATORS = {
     "phone": r"(?<![A-Za-z0-9])[+(]?[0-9][0-9().\x20/-]{5,40}[0-9](?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{14,}+(?![A-Za-z0-9_/+-])",
 }
-# A text with no digit, no @ and none of these has no span and no candidate.
-DISGUISES = ("(at)", "[at]", "(AT)", "[AT]", "(At)", "[At]", " dot ", " DOT ", " Dot ")
+# An address candidate has an @, or an `at` like these before a host.
+WRITTEN_AT = r"[(\[](?:at|At|AT)[)\]]|\x20(?:at|AT)\x20{1,2}[A-Za-z0-9-]{1,63}\x20?(?:\.|[(\[]|\x20?(?:dot|Dot|DOT)\x20)"
 WORDS = {
     1: r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|reach)[^A-Za-z0-9]{0,8}+$",
     2: r"(?i)(?:card|visa|credit|iban|account|pay)[^A-Za-z0-9]{0,8}+$",
@@ -49,6 +54,9 @@ WORDS = {
 CONTEXT = 24
 PRECISION = 0.95
 TREES, DEPTH, RATE = 24, 3, 0.3
+#: Of so many texts one is held out for the thresholds.
+HELD = 5
+MAX_CELLS = 500_000
 FEATURES = ("gen", "digits", "size", "plus", "paren", "marks", "at", "case", "word", "left", "right")
 
 
@@ -86,14 +94,13 @@ def _placed(kind: int, s: Column) -> Column:
 def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with _base (k, b, e) and _cand (FEATURES, b, e, y, base) of each text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gate = text.rlike("[0-9@]")
-    for d in DISGUISES:
-        gate = gate | text.contains(d)
-    some = F.col("_b_some")
     none = F.expr("cast(array() as array<struct<b:int,e:int,m:string>>)")
-    rows = docs.withColumn("_b_some", gate)
-    rows = rows.withColumns({f"_b_{k}": F.when(some, F.filter(matches(text, p), partial(_valid, k))).otherwise(none) for k, p in BASE.items()})
-    rows = rows.withColumns({f"_g_{k}": F.when(some, matches(text, p)).otherwise(none) for k, p in GENERATORS.items()})
+    rows = docs.withColumns({"_digit": text.rlike("[0-9]"), "_at": text.contains("@")})
+    digit, at = F.col("_digit"), F.col("_at")
+    base_gates = {"email": at, "ip": digit, "card": digit, "phone": digit & text.contains("+")}
+    gates = {"email": at | text.rlike(WRITTEN_AT), "phone": digit, "secret": digit}
+    rows = rows.withColumns({f"_b_{k}": F.when(base_gates[k], F.filter(matches(text, p), partial(_valid, k))).otherwise(none) for k, p in BASE.items()})
+    rows = rows.withColumns({f"_g_{k}": F.when(gates[k], matches(text, p)).otherwise(none) for k, p in GENERATORS.items()})
     base = F.concat(*[F.transform(f"_b_{k}", partial(_placed, i)) for i, k in enumerate(BASE)])
     rows = rows.withColumn("_base", base)
 
@@ -175,18 +182,19 @@ def _grow(cells: list[tuple[dict[str, int], float, float]], depth: int) -> Tree
     return (f, v, _grow([c for c in cells if c[0][f] <= v], depth - 1), _grow([c for c in cells if c[0][f] > v], depth - 1))
 
 
-def boost(cells: list[tuple[dict[str, int], int, int]]) -> SpanModel:
-    """Fit to (cell, candidates, positives): trees for the log odds, then thresholds that keep PRECISION."""
+def boost(cells: list[tuple[dict[str, int], int, int, int, int]]) -> SpanModel:
+    """Fit to (cell, candidates, positives, held-out candidates, and positives): trees for the log odds, then thresholds
+    that keep PRECISION among the held-out ones. Without held-out candidates a generator adds nothing."""
     score = [0.0] * len(cells)
     trees: list[Tree | float] = []
     for _ in range(TREES if cells else 0):
         p = [1 / (1 + exp(-s)) for s in score]
-        trees.append(_grow([(c, y - n * q, n * q * (1 - q)) for (c, n, y), q in zip(cells, p, strict=True)], DEPTH))
+        trees.append(_grow([(c, y - n * q, n * q * (1 - q)) for (c, n, y, _, _), q in zip(cells, p, strict=True)], DEPTH))
         one = SpanModel(trees[-1:], [])
-        score = [s + one.score(c) for s, (c, _, _) in zip(score, cells, strict=True)]
+        score = [s + one.score(c) for s, (c, *_) in zip(score, cells, strict=True)]
     bounds = []
     for gen in range(len(GENERATORS)):
-        own = sorted(((s, n, y) for s, (c, n, y) in zip(score, cells, strict=True) if c["gen"] == gen), reverse=True)
+        own = sorted(((s, n, y) for s, (c, _, _, n, y) in zip(score, cells, strict=True) if c["gen"] == gen and n), reverse=True)
         bound, total, good = 1e9, 0, 0
         for i, (s, n, y) in enumerate(own):
             total, good = total + n, good + y
@@ -197,11 +205,16 @@ def boost(cells: list[tuple[dict[str, int], int, int]]) -> SpanModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    """A model from all texts of docs. The driver gets one row for each feature cell that occurs."""
-    c = _with_spans(docs.select(text_col), text_col).select(F.explode("_cand").alias("c"))
-    cells = c.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(F.col("c.y").cast("long")).alias("y"))
-    rows = sorted(cells.collect(), key=lambda r: tuple(r))
-    return boost([({f: r[f] for f in FEATURES}, r.n, r.y) for r in rows])
+    """A model from all texts of docs; repeated rows count as often, null and empty texts add nothing, an empty table gives a
+    model that adds nothing. The driver gets one row for each feature cell that occurs."""
+    found = _with_spans(docs.select(text_col), text_col).select((F.pmod(F.xxhash64(text_col), F.lit(HELD)) == 0).alias("held"), F.explode("_cand").alias("c"))
+    y = F.col("c.y")
+    sums = [F.count_if(~F.col("held")).alias("n"), F.count_if(~F.col("held") & y).alias("y"), F.count_if("held").alias("hn"), F.count_if(F.col("held") & y).alias("hy")]
+    cells = found.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(*sums)
+    rows = sorted(cells.limit(MAX_CELLS + 1).collect(), key=lambda r: tuple(r))
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} feature cells")
+    return boost([({f: r[f] for f in FEATURES}, r.n, r.y, r.hn, r.hy) for r in rows])
 
 
 def find_spans(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
