@@ -9,7 +9,7 @@ compare at the coarser level of the two. The likeness of two fingerprints is the
 up to the longer end, that agree.
 
 The walk is sequential in a text, so it runs over many texts at once: a numpy step moves the pointers of
-all texts of a slice.
+all texts of a slice. The last few, longest ones go on one by one.
 """
 
 from __future__ import annotations
@@ -28,9 +28,14 @@ from foliant.plans.scratch import materialize
 
 SAMPLES = 128
 _WIDTH = SAMPLES * 3 // 2
-_PERIOD = 1021
+_PERIOD = 8191
 _PAD = 64
-_SLICE_CHARS = 12 << 20
+#: Characters whose texts walk together: few enough that the pointers' surroundings stay in a core's cache.
+_SLICE_CHARS = 1 << 20
+#: Of so few texts each goes on alone.
+_FEW = 24
+#: Ranges of ids for each task that they are dealt to.
+_RANGES = 8
 _MOVE = np.random.default_rng(91).integers(0, 2, (_PERIOD, 256), dtype=np.uint8)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _EMPTY = "0."
@@ -71,7 +76,9 @@ def fingerprints(texts: list[str]) -> list[str]:
         return out
     gap = "\0" * _PAD
     code = np.frombuffer((gap.join(texts[i] for i in order) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = np.where(code < 256, code, mix(code.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+    kind = code.astype(np.uint8)
+    wide = np.flatnonzero(code > 255)
+    kind[wide] = mix(code[wide].astype(np.uint64)) & np.uint64(255)
     shade = (mix(np.arange(256, dtype=np.uint64)) >> np.uint64(60)).astype(np.uint8)
     n = sizes[order]
     begin = np.concatenate([[0], np.cumsum(n + _PAD)[:-1]])
@@ -81,22 +88,24 @@ def fingerprints(texts: list[str]) -> list[str]:
     steps = int(3 * n.max())
     highest = _highest(steps)
     j = 0
-    while len(row) and j < steps:
+    while len(row) > _FEW and j < steps:
         # levels fall along the rows: those of at most l are the rows from since[l] on
         since = np.searchsorted(-lev, -np.arange(lev[0] + 1))
         for j in range(j, min(j + _PAD, steps)):  # noqa: B020
-            c = kind[pos]
+            c = kind.take(pos)
             top = min(int(highest[j]), len(since) - 1)
             first = since[top]
             if first < len(row):
                 col = j >> lev[first:]
                 ok = (pos[first:] < end[first:]) & (col < _WIDTH)
                 grid[row[first:][ok], col[ok]] = shade[c[first:][ok]]
-            pos += _MOVE[j % _PERIOD][c]
+            pos += _MOVE[j % _PERIOD].take(c)
         j += 1
         live = (pos < end) & (j < (_WIDTH << lev))
         if not live.all():
             row, pos, end, lev = row[live], pos[live], end[live], lev[live]
+    for r, at, last, l in zip(row.tolist(), pos.tolist(), end.tolist(), lev.tolist(), strict=True):
+        _walk(kind, at, last, j, np.flatnonzero(highest[: min(steps, _WIDTH << l)] >= l), l, shade, grid[r])
     filled = (grid != 255).sum(1)
     text = _HEX[np.where(grid == 255, 0, grid)]
     for i, k in enumerate(order):
@@ -104,6 +113,28 @@ def fingerprints(texts: list[str]) -> list[str]:
     return out
 
 
+_MOVES = [x.tobytes() for x in _MOVE]
+
+
+def _walk(kind: np.ndarray, pos: int, end: int, j: int, sampled: np.ndarray, level: int, shade: np.ndarray, out: np.ndarray) -> None:
+    """One text's walk from step j on, with pos and end in kind; its samples at the steps `sampled` go to out."""
+    text, seen = kind[pos:end].tobytes(), []
+    sampled = sampled[np.searchsorted(sampled, j) :]
+    at, n = 0, end - pos
+    for step in sampled.tolist():
+        # the pointer can't leave the text within as many steps as it has characters left
+        while j < step and at < n:
+            f = j % _PERIOD
+            for moves in _MOVES[f : f + min(step - j, n - at)]:
+                at += moves[text[at]]
+                j += 1
+        if at >= n:
+            break
+        seen.append(text[at])
+    cols = sampled[: len(seen)] >> level
+    out[cols] = shade[np.array(seen, np.int64)]
+
+
 def likeness(a: str, b: str) -> float:
     """Share of agreeing samples of two fingerprints, 0 to 1; two empty texts are alike, an empty and another not."""
     if a == b:
@@ -131,9 +162,10 @@ ROW = "bucket int, last int, id long, text string"
 
 def _in_order(docs: DataFrame, parts: int) -> DataFrame:
     """ROW: docs(id, text) dealt to ranges of ids, sorted; after each range the first rows of the next one (last = 1)."""
-    ids = docs.agg(F.min("id").alias("low"), F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("cuts")).first()
+    n = parts * _RANGES
+    ids = docs.agg(F.min("id").alias("low"), F.percentile_approx("id", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()
     low = ids.low if ids.low is not None else 0
-    cuts = np.array(sorted({c for c in (ids.cuts or []) if c > low}) if parts > 1 else [], np.int64)
+    cuts = np.array(sorted({c for c in (ids.cuts or []) if c > low}), np.int64)
     ends = np.append(cuts, low)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
