@@ -36,6 +36,8 @@ _SLICE_CHARS = 1 << 20
 _FEW = 24
 #: Ranges of ids for each task that they are dealt to.
 _RANGES = 8
+#: Stands for a null id.
+_NO_ID = -(1 << 63)
 _MOVE = np.random.default_rng(91).integers(0, 2, (_PERIOD, 256), dtype=np.uint8)
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _EMPTY = "0."
@@ -186,12 +188,12 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of
     the next text by ascending id (after the last the first). Whole texts are read; a null text is empty.
-    Ids are integers; rows of the same id follow by text; a null id counts as 0. near_edited and near_next
+    Ids are integers; rows of the same id follow by text; a null id comes before all others, and stays null. near_edited and near_next
     are the likeness to the edited and to the next text. A table of one row is followed by itself; an
     empty table gives none; other columns are ignored.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def emit(ids: list[int], texts: list[str], own: list[bool]) -> pa.RecordBatch:
         """Of every row but the last, if it is its range's own."""
@@ -200,7 +202,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         prints = fingerprints(texts + edited)
         mine, changed = prints[: len(texts)], prints[len(texts) :]
         columns = [
-            pa.array([ids[i] for i in keep], pa.int64()),
+            pa.array([None if ids[i] == _NO_ID else ids[i] for i in keep], pa.int64()),
             pa.array([len(texts[i]) for i in keep], pa.int64()),
             pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited], pa.string()),
             pa.array([mine[i] for i in keep], pa.string()),

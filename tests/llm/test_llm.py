@@ -230,6 +230,14 @@ def test_fingerprints(spark, odd, none):
     assert fingerprint.fingerprinted(odd).count() == 8 and fingerprint.fingerprinted(none).count() == 0
 
 
+def test_fingerprints_of_null_ids(spark):
+    rows = [(None, "first text"), (0, "x" * 9), (None, "another"), (5, None)]
+    got = fingerprint.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.n_chars) for r in got) == [(False, 0), (False, 9), (True, 7), (True, 10)]
+    edited = {r.n_chars: r.edited_sha256 for r in got}
+    assert edited[10] == hashlib.sha256(b"first" + b"x" * 5).hexdigest()
+
+
 def test_near_texts_equal_brute_force(spark):
     r = random.Random(8)
     base = "".join(r.choice("abcdefgh ") for _ in range(1500))
