@@ -160,6 +160,15 @@ def _made() -> dict[str, str]:
         "title_rules": f"""WITH {LINES}, k AS (SELECT doc_id, ord, {c} AS c FROM lines),
           t AS (SELECT doc_id, min(ord) FILTER (length(c) BETWEEN 20 AND 300 AND NOT contains(lower(c), 'pdftitle') AND NOT starts_with(c, chr(92))) AS title_ord, min(ord) FILTER (length(c) BETWEEN 20 AND 250 AND NOT {_any("lower(c)", classify.TEXT_METADATA)}) AS candidate_ord FROM k GROUP BY doc_id)
           SELECT t.doc_id, md5(c) AS title_md5, title_ord, candidate_ord FROM t LEFT JOIN k ON k.doc_id = t.doc_id AND k.ord = t.title_ord WHERE title_ord IS NOT NULL OR candidate_ord IS NOT NULL""",
+        "front_authors": rf"""WITH {LINES}, n AS (SELECT doc_id, ord, {_clean("CASE ord WHEN 1 THEN 'Ann Lee' || (doc_id % 7) || '* & Bob Ray2, ; ' || substr(text, 1, 12) WHEN 2 THEN 'Department of X' ELSE text END")} AS c FROM lines WHERE ord < 12),
+          t AS (SELECT doc_id, min(ord) FILTER (length(c) BETWEEN 20 AND 300 AND NOT contains(lower(c), 'pdftitle') AND NOT starts_with(c, chr(92))) AS t FROM n GROUP BY doc_id),
+          a AS (SELECT n.*, {_any("lower(c)", classify.AUTHOR_SKIPS)} AS skip, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS turn FROM n JOIN t USING (doc_id) WHERE t IS NULL OR ord > t),
+          s AS (SELECT *, max(((length(c) >= 60 AND len(string_split(c, ' ')) >= 10 AND regexp_matches(c, '[.!?]')) OR (NOT skip AND regexp_matches(c, '(?i)^\s*keywords?\b')))::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stopped FROM a WHERE turn <= 8),
+          l AS (SELECT doc_id, ord, CASE WHEN contains(c, '&') THEN regexp_split_to_array(c, '\s*&\s*') ELSE regexp_split_to_array(c, '\s*;\s*') END AS parts FROM s WHERE stopped = 0 AND c <> '' AND NOT skip AND length(c) <= 500),
+          q AS (SELECT doc_id, ord, i, trim(regexp_replace(regexp_replace(part, '\d+[*†‡]*', '', 'g'), '[*†‡]+', '', 'g'), ' ,.') AS name FROM (SELECT doc_id, ord, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM l)),
+          k AS (SELECT * FROM q WHERE name <> '' AND len(string_split({_clean("name")}, ' ')) BETWEEN 2 AND 6 AND NOT regexp_matches(name, '\d') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY ord, i) = 1),
+          g AS (SELECT doc_id, string_agg(name, '|' ORDER BY ord, i) AS authors FROM k GROUP BY doc_id)
+          SELECT doc_id, coalesce(authors, '') AS authors FROM (SELECT DISTINCT doc_id FROM l) LEFT JOIN g USING (doc_id)""",
         "person_and_front_matter": f"""WITH {LINES} SELECT doc_id, count(*) FILTER ({person}) AS person_lines, count(*) FILTER ({name}) AS person_names, count(*) FILTER ({correspondence}) AS correspondence, count(*) FILTER ({front}) AS front_matter,
           count(*) FILTER (regexp_full_match(text, '(?i)\\s*references\\s*')) AS reference_headings, count(*) FILTER ({" OR ".join(f"starts_with(lower(trim(text)), {_q(t)})" for t in classify.CHUNK_METADATA)}) AS chunk_metadata, count(*) FILTER ({_any("lower(text)", classify.TEXT_METADATA)}) AS metadata FROM lines GROUP BY doc_id""",
         "year_rules": f"""WITH d AS (SELECT doc_id, length(text) AS n, (doc_id % 300 + 1850)::VARCHAR AS y, 'c. ' || (doc_id % 300 + 1850) || 'x' AS t FROM documents)
