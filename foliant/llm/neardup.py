@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.arrowtext import distinct, grouped, mix, shingles, slices, words
-from foliant.llm.components import linked
+from foliant.llm.components import _forest, linked
 from foliant.plans.scratch import materialize
 
 TABLES_A = TABLES_B = 12
@@ -189,7 +189,7 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], tables: np.ndarray = ALL, pe
 def _bucket_edges(batches: Iterator[pa.RecordBatch], percent: int = 80) -> Iterator[pa.RecordBatch]:
     """Reduce side, over one partition of bucket rows: EDGES, each once in the partition.
 
-    agree is that of _agree(); edges where it is low are left out but for those of large buckets.
+    agree is that of _agree(); edges where it is low are left out. Those of large buckets come as a forest (big).
     """
     got = [[x.column(k).to_numpy() for k in ("route", "id", "other", "sketch", "component", "sizes", "usual", "kind")] for x in batches]
     if not got:
@@ -228,11 +228,16 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], percent: int = 80) -> Itera
         lead = np.repeat(_stars(key, ids, f, s), s)
         add(np.concatenate([np.arange(x, x + y) for x, y in zip(f, s, strict=True)]), lead, True)
     a, b, agree, big = (np.concatenate(x) for x in zip(*edges, strict=True))
-    order = np.lexsort((~big, b, a))
-    a, b, agree, big = a[order], b[order], agree[order], big[order]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(agree[keep].astype(np.int32)), pa.array(big[keep])], ["a", "b", "agree", "big"])
+    # of the ties of large buckets a forest says all
+    hi, lo = _forest(a[big], b[big])
+    near = np.flatnonzero(agree >= AGREE)
+    near = near[np.lexsort((b[near], a[near]))]
+    keep = np.ones(len(near), bool)
+    keep[1:] = (a[near][1:] != a[near][:-1]) | (b[near][1:] != b[near][:-1])
+    near = near[keep]
+    agree = np.concatenate([agree[near], np.zeros(len(hi))]).astype(np.int32)
+    big = np.arange(len(agree)) >= len(near)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[near], lo])), pa.array(np.concatenate([b[near], hi])), pa.array(agree), pa.array(big)], ["a", "b", "agree", "big"])
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
