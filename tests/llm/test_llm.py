@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,22 @@ def test_passages_of_frequent_seeds(spark):
     assert all(n >= 50 for *_, n in got)
 
 
+def test_a_pair_fills_whole_batches_of_anchors():
+    """One pair's anchors go on over batches that hold no other pair."""
+    names = ["id", "other", "pos", "opos"]
+    rows = [(1, 2, i, i + 7) for i in range(0, 90, 3)] + [(1, 3, i, i) for i in range(0, 60, 3)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def found(size):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names) for part in cut]
+        return [r for x in substring._chains(iter(parts)) for r in x.to_pylist()]
+
+    whole = found(1000)
+    assert [(r["id"], r["other"], r["lo"], r["hi"], r["olo"], r["ohi"]) for r in whole] == [(1, 2, 0, 92, 7, 99), (1, 3, 0, 62, 0, 62)]
+    assert all(found(size) == whole for size in (1, 4, 10, 30, 45))
+
+
 def test_chains_are_collinear():
     x, y = np.array([0, 20, 40, 60]), np.array([5, 25, 300, 65])
     best = substring.chain(x, y)[0]
