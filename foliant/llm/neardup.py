@@ -12,7 +12,9 @@ made up for exactly: the buckets over STAR rows, in all or in one map part, tie
 member of a coarse cluster that is outside the cluster's largest component is compared with the
 members of other components there that it can be linked to at all: a pair shares no more of the shingles
 that half the cluster has, and no more of the others that are in several texts, than either text has of them,
-nor more of any class of such shingles by hash.
+nor more of any class of such shingles by hash. Where it is fewer, only members meet that share one of their rarest
+shingles in the cluster, of which so many are taken that linked texts share one (a prefix filter, exact too): chance
+chains ever more short texts to one cluster as the table grows, and all of its pairs would grow with its square.
 The same bound holds off candidates before their sets are fetched.
 
 Scale. Texts with equal sets are one row from the start, and buckets of a map batch over STAR rows
@@ -256,17 +258,17 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _members(tied: DataFrame, size: int) -> DataFrame:
-    """(cluster, id, h): a row for each shingle of tied(id, cluster, text)."""
+    """(cluster, id, several, h): a row for each shingle of tied(id, cluster, several, text)."""
 
     def members(part: pa.RecordBatch) -> pa.RecordBatch:
         first, h = distinct(*shingles(words(part.column("text"), lower=True), size), part.num_rows)
         at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
-        return pa.RecordBatch.from_arrays([part.column("cluster").take(at), part.column("id").take(at), _long(h)], ["cluster", "id", "h"])
+        return pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("cluster", "id", "several")), _long(h)], ["cluster", "id", "several", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return grouped(members(part) for batch in batches for part in slices(batch))
 
-    return tied.select("cluster", "id", "text").mapInArrow(run, "cluster long, id long, h long")
+    return tied.select("cluster", "id", "several", "text").mapInArrow(run, "cluster long, id long, several boolean, h long")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -306,24 +308,41 @@ def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(own.unionByName(new).distinct(), "components")
 
 
-def _placed(coarse: DataFrame, fine: DataFrame, reps: DataFrame, known: DataFrame, size: int) -> DataFrame:
+def _placed(coarse: DataFrame, fine: DataFrame, reps: DataFrame, known: DataFrame, size: int, percent: int | None = None) -> DataFrame:
     """Members of the clusters of coarse that have several components of fine: (id, cluster, component, main, sketch,
     n_shingles, common, usual, classes). main: the cluster's largest component. common: shingles that others in the cluster have too,
-    usual: those that half of its members have; classes: the common ones by class of hash."""
+    usual: those that half of its members have; classes: the common ones by class of hash. With percent, also prefix: the
+    common ones among so many of a text's rarest shingles in the cluster that two linked texts have one there in both."""
     member = coarse.withColumnRenamed("component", "cluster").join(fine, "id", "left").withColumn("component", F.coalesce("component", "id"))
     member = materialize(member, "members")
     main = member.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n"), F.sum("count").alias("texts")).where("n > 1").drop("n")
     member = member.join(main, "cluster")
-    tied = member.select("id", "cluster").join(known, "id")
-    seen = _members(tied, size).withColumn("n", F.count("*").over(Window.partitionBy("cluster", "h"))).join(main.select("cluster", "texts"), "cluster")
-    seen = seen.groupBy("cluster", "id").agg(F.count_if(F.col("n") == 1).alias("own"), F.count_if((F.col("n") > 1) & (2 * F.col("n") >= F.col("texts"))).alias("usual"), F.array(*[F.count_if((F.col("n") > 1) & (F.col("h").bitwiseAND(CLASSES - 1) == k)).cast("int") for k in range(CLASSES)]).alias("classes"))
-    member = member.drop("texts").join(reps.select("id", "sketch", "n_shingles"), "id").join(seen, ["cluster", "id"], "left")
     # an id that has several texts is in no bound
     several = reps.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1")
+    tied = member.select("id", "cluster").join(known, "id").join(several, "id", "left").withColumn("several", F.col("texts").isNotNull()).drop("texts")
+    seen = _members(tied, size).withColumn("n", F.count("*").over(Window.partitionBy("cluster", "h"))).join(main.select("cluster", "texts"), "cluster")
+    sums = [F.count_if(F.col("n") == 1).alias("own"), F.count_if((F.col("n") > 1) & (2 * F.col("n") >= F.col("texts"))).alias("usual"), F.array(*[F.count_if((F.col("n") > 1) & (F.col("h").bitwiseAND(CLASSES - 1) == k)).cast("int") for k in range(CLASSES)]).alias("classes")]
+    if percent is not None:
+        # those of one text alone are the rarest; rows that repeat a text only make a prefix longer
+        least = F.count("*") - F.ceil(F.count("*") * percent / 100) + 1 - F.count_if(F.col("n") == 1)
+        ranked = F.array_sort(F.collect_set(F.when(F.col("n") > 1, F.struct("n", "h"))))
+        sums.append(F.transform(F.when(F.max("several"), ranked).otherwise(F.slice(ranked, 1, F.greatest(least, F.lit(0)).cast("int"))), lambda x: x["h"]).alias("prefix"))
+    seen = seen.groupBy("cluster", "id").agg(*sums)
+    member = member.drop("texts").join(reps.select("id", "sketch", "n_shingles"), "id").join(seen, ["cluster", "id"], "left")
     one = lambda c: F.when(F.col("texts").isNull(), F.coalesce(c, F.lit(0))).otherwise(0)
     return materialize(member.join(several, "id", "left").withColumns({"common": F.col("n_shingles") - one("own"), "usual": one("usual"), "classes": F.when(F.col("texts").isNull(), F.col("classes"))}).drop("own", "texts"), "common")
 
 
+def _meeting(member: DataFrame) -> DataFrame:
+    """member of _placed() with a null prefix where fewer pairs meet if all odd ones of the cluster meet all of its members
+    than if they meet at the shingles of their prefixes. Both are exact; a cluster that chance has chained needs the latter."""
+    rows = member.withColumn("odd", (F.col("component") != F.col("main")).cast("long"))
+    at = rows.select("cluster", "odd", F.explode("prefix").alias("h")).groupBy("cluster", "h").agg((F.count("*") * F.sum("odd")).alias("pairs")).groupBy("cluster").agg(F.sum("pairs").alias("pairs"))
+    whole = rows.groupBy("cluster").agg((F.count("*") * F.sum("odd")).alias("whole")).join(at, "cluster", "left")
+    few = whole.where("whole <= coalesce(pairs, 0)").select("cluster", F.lit(True).alias("few"))
+    return member.join(few, "cluster", "left").withColumn("prefix", F.when(F.col("few").isNull(), F.col("prefix"))).drop("few")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: (id_col, n_shingles, component_id, kept).
 
@@ -365,10 +384,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = edges(placed, ALL)
     pairs = found.where((F.col("agree") >= AGREE) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     fine = _joined(fine, materialize(_confirm(pairs, known, size, percent), "links"))
-    member = _placed(linked(found.where("big")), fine, reps, known, size)
+    member = _meeting(_placed(linked(found.where("big")), fine, reps, known, size, percent))
     odd = member.where("component <> main")
-    x = odd.select("cluster", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("id").alias("xi"), F.col("component").alias("xc"), F.col("sketch").alias("xs"), F.col("main").alias("xm"), F.col("n_shingles").alias("xn"), F.col("common").alias("xo"), F.col("usual").alias("xu"), F.col("classes").alias("xk"))
-    y = member.select("cluster", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("id").alias("yi"), F.col("component").alias("yc"), F.col("sketch").alias("ys"), F.col("n_shingles").alias("yn"), F.col("common").alias("yo"), F.col("usual").alias("yu"), F.col("classes").alias("yk"))
+    x = odd.select("cluster", F.explode(F.coalesce("prefix", F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))).alias("spot"), F.col("id").alias("xi"), F.col("component").alias("xc"), F.col("sketch").alias("xs"), F.col("main").alias("xm"), F.col("n_shingles").alias("xn"), F.col("common").alias("xo"), F.col("usual").alias("xu"), F.col("classes").alias("xk"))
+    y = member.select("cluster", F.explode(F.coalesce("prefix", F.array(F.pmod(F.xxhash64("id"), F.lit(SALTS))))).alias("spot"), F.col("id").alias("yi"), F.col("component").alias("yc"), F.col("sketch").alias("ys"), F.col("n_shingles").alias("yn"), F.col("common").alias("yo"), F.col("usual").alias("yu"), F.col("classes").alias("yk"))
     most = F.least("xu", "yu") + F.least(F.col("xo") - F.col("xu"), F.col("yo") - F.col("yu"))
     enough = 100 * most >= percent * (F.col("xn") + F.col("yn") - most)
     # of each class they share no more than either has
@@ -377,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = (F.col("yc") == F.col("xm")) | (F.col("xi") < F.col("yi"))
     apart = F.col("xc") != F.col("yc")
     alike = F.bit_count(F.col("xs").bitwiseXOR(F.col("ys"))) <= BITS - AGREE
-    rest = x.join(y, (x["cluster"] == y["cluster"]) & (x["salt"] == y["salt"]) & apart & once & alike & enough).select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
+    rest = x.join(y, (x["cluster"] == y["cluster"]) & (x["spot"] == y["spot"]) & apart & once & alike & enough).select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
     more = materialize(_confirm(rest, known, size, percent), "more")
     fine = _joined(fine, more)
     sets = reps.select("n_shingles", "s1", "s2", F.col("id").alias("rep")).join(fine.select(F.col("id").alias("rep"), "component"), "rep", "left")

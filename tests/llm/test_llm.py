@@ -209,6 +209,25 @@ def test_a_pair_fills_whole_batches_of_anchors():
     assert all(found(size) == whole for size in (1, 4, 10, 30, 45))
 
 
+def test_members_of_a_chance_cluster_meet_where_they_can_be_linked(spark):
+    """Short texts that chance has put in one cluster: few pairs meet, but all linked ones do, of an id with two texts too."""
+    texts = {i: " ".join(["the of", *words(12 + i % 9, 500 + i), "and the"]) for i in range(300)}
+    rows = list(texts.items()) + [(1000 + i, texts[i] + " more") for i in range(0, 300, 10)] + [(2000, "some other words here"), (2000, texts[7] + " end")]
+    known = spark.createDataFrame(rows, "id long, text string")
+    reps = neardup.signatures(known, 2)
+    coarse = known.select("id", F.lit(0).cast("long").alias("component")).distinct()
+    member = neardup._meeting(neardup._placed(coarse, coarse.limit(0), reps, known, 2, 80)).collect()
+    spots = {r.id: set(r.prefix) for r in member}
+    sets = [(i, set(zip(x.split(), x.split()[1:], strict=False))) for i, x in rows]
+    near = {(i, o) for i, x in sets for o, y in sets if i < o and 100 * len(x & y) >= 80 * len(x | y)}
+    met = {(i, o) for i in spots for o in spots if i < o and spots[i] & spots[o]}
+    assert (7, 2000) in near and len(near) > 30 and near <= met and len(met) < 0.2 * len(spots) ** 2 / 2
+    # a cluster whose members all share their rarest shingles: all odd ones meet all members
+    alike = spark.createDataFrame([(i, "a b c d") for i in range(9)], "id long, text string")
+    dense = neardup._placed(alike.select("id", F.lit(0).cast("long").alias("component")), coarse.limit(0), neardup.signatures(alike, 2), alike, 2, 80)
+    assert all(r.prefix is None for r in neardup._meeting(dense).collect())
+
+
 def test_chains_are_collinear():
     x, y = np.array([0, 20, 40, 60]), np.array([5, 25, 300, 65])
     best = substring.chain(x, y)[0]
