@@ -193,6 +193,20 @@ def test_passages_of_frequent_seeds(spark):
     assert all(n >= 50 for *_, n in got)
 
 
+def test_every_tie_of_frequent_seeds(spark, monkeypatch):
+    """Two documents in the middle share a fuzzy passage whose every seed is frequent before and behind them."""
+    monkeypatch.setattr(substring, "TIES_AT_ONCE", 50)
+    base = words(120, 62)
+    rows = [(k * 100 + i, " ".join(words(30, 3000 * k + i) + base[2 * i : 2 * i + 24] + words(30, 4000 * k + i))) for k in (1, 9) for i in range(48)]
+    one = base[30:90]
+    two = ["other" if i % 10 == 9 else x for i, x in enumerate(one)]
+    rows += [(501, " ".join(words(20, 71) + one)), (502, " ".join(two + words(20, 72)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.other): (r.begin_word, r.other_begin, r.n_words) for r in substring.repeated_passages(df, every=True).collect()}
+    assert set(got) == {(501, 502), (502, 501)}
+    assert got[501, 502][:2] == (20, 0) and got[502, 501][:2] == (0, 20) and got[501, 502][2] >= 50
+
+
 def test_a_pair_fills_whole_batches_of_anchors():
     """One pair's anchors go on over batches that hold no other pair."""
     names = ["id", "other", "pos", "opos"]
