@@ -207,6 +207,47 @@ def test_every_tie_of_frequent_seeds(spark, monkeypatch):
     assert got[501, 502][:2] == (20, 0) and got[502, 501][:2] == (0, 20) and got[501, 502][2] >= 50
 
 
+def test_passages_of_repeated_ids_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    """Copies, a repeated row, an id of several texts, and runs of frequent seeds."""
+    a, b = words(70, 63), words(80, 64)
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, a[:60] + words(30, 65)), (5, words(90, 66))] + [(100 + i, words(9, 90 + i) + b[5:75]) for i in range(12)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    found = []
+    for limit in (substring.BROADCAST_IDS, 0):
+        monkeypatch.setattr(substring, "BROADCAST_IDS", limit)
+        found.append(sorted(substring.repeated_passages(df).collect()))
+    assert found[0] == found[1]
+    pairs = {(r.id, r.other) for r in found[0]}
+    assert {(2, 1), (4, 1), (1, 4), (3, 2), (100, 2), (111, 2), (2, 111)} <= pairs and not any(5 in p for p in pairs)
+
+
+def test_texts_without_passages_are_not_shuffled(spark):
+    r = random.Random(67)
+    rows = [(i, " ".join(r.randbytes(50).hex() for _ in range(30))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        numbers = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        none = spark.sparkContext._jvm.java.util.ArrayList()
+        stages = context.statusStore().stageList(none, False, False, numbers, none)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    assert substring.repeated_passages(df).count() == 0
+    after = written()
+    assert sum(n for k, n in after.items() if k not in before) < 0.1 * sum(len(x) for _, x in rows)
+
+
+def test_a_run_stands_for_its_anchors():
+    """A run's tie gives the chain that anchors at its places give, in any order and repeated."""
+    tied = np.array([(1, 2, i, -1 - (i + 7)) for i in (3, 4, 9)] + [(1, 2, 80, 90)])
+    plain = np.array([(1, 2, i + k, i + k + 7) for i in (9, 3, 4, 4) for k in (0, 15, 30, 45)] + [(1, 2, 80, 90)])
+    got = substring._chain_rows(tied).to_pylist()
+    assert got == substring._chain_rows(plain).to_pylist() and (got[0]["lo"], got[0]["olo"]) == (3, 10)
+
+
 def test_a_pair_fills_whole_batches_of_anchors():
     """One pair's anchors go on over batches that hold no other pair."""
     names = ["id", "other", "pos", "opos"]
