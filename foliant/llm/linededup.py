@@ -27,6 +27,8 @@ from foliant.plans.scratch import materialize
 
 TAU = 2
 NEAR_FROM, TWO_FROM = 10, 20
+#: Keys that a line is indexed by, and that it probes.
+INDEXED, PROBED = TAU + 1, 12
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
 #: Characters that are compared at once where two lines begin or end alike, and those that are verified first.
@@ -172,10 +174,15 @@ def near_lines(lines: DataFrame, node: str = "h") -> DataFrame:
     are one; a null, empty or short line is near none; an empty table gives none.
     """
     lines = lines.select("line", "h", F.col(node).alias("node"))
-    distinct = lines.where(F.length("line") >= NEAR_FROM - TAU).withColumn("f", _counts(F.col("line"))).groupBy("h", "node").agg(F.first("line").alias("line"), F.first("f").alias("f"))
-    keys = lambda of: F.explode(_let(F.length("line"), lambda n: F.array(*of(F.col("line"), n)))).alias("key")
-    index = distinct.select("h", "f", keys(_index))
-    probe = distinct.select(F.col("h").alias("ph"), F.col("f").alias("pf"), keys(_probes))
+    long = lines.where(F.length("line") >= NEAR_FROM - TAU)
+    # keys are made before lines meet their copies, so that no text is shuffled and sorted; those of one line are equal
+    keyed = long.select("h", "node", _counts(F.col("line")).alias("f"), _let(F.length("line"), lambda n: F.array(*_index(F.col("line"), n), *_probes(F.col("line"), n))).alias("keys"))
+    names = [f"k{i}" for i in range(INDEXED + PROBED)]
+    distinct = keyed.groupBy("h", "node").agg(F.max("f").alias("f"), *[F.max(F.get("keys", F.lit(i))).alias(c) for i, c in enumerate(names)])
+    # both sides name all keys, so that they read the same shuffle
+    part = lambda first, n: F.explode(F.slice(F.array(*names), first + 1, n)).alias("key")
+    index = distinct.select("h", "f", part(0, INDEXED))
+    probe = distinct.select(F.col("h").alias("ph"), F.col("f").alias("pf"), part(INDEXED, PROBED))
     close = (F.col("h") != F.col("ph")) & (_apart(F.col("f"), F.col("pf")) <= 2 * TAU)
     pairs = probe.join(index.hint("shuffle_hash"), (probe["key"] == index["key"]) & close)
     pairs = materialize(pairs.select(F.least("h", "ph").alias("a"), F.greatest("h", "ph").alias("b")).distinct(), "linepairs")

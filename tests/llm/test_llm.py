@@ -115,6 +115,14 @@ def test_line_join_equals_brute_force(spark):
     assert got == {(a, b) for i, b in enumerate(lines) for a in lines[:i] if abs(len(a) - len(b)) < 3 and distance(a, b) <= most(max(len(a), len(b)))}
 
 
+def test_lines_of_no_pair_are_not_shuffled(spark):
+    r = random.Random(68)
+    df = spark.createDataFrame([(i, r.randbytes(10_000).hex()) for i in range(100)], "doc_id long, text string")
+    before = written(spark)
+    assert linededup.line_report(df).agg(F.sum("n_exact"), F.sum("n_near")).first() == (0, 0)
+    assert sum(n for k, n in written(spark).items() if k not in before) < 0.3 * 100 * 20_000
+
+
 def test_lines_go_once(spark, odd, none):
     df = spark.createDataFrame([(2, "x\nthis line is here twice or so\ny", 1), (1, "this line is here twice or so\n\nz", 1), (3, "this line is here twica or so", 1), (4, None, 1)], "doc_id long, text string, _id int")
     got = {r.doc_id: r.text for r in linededup.without_repeats(df).collect()}
@@ -221,22 +229,23 @@ def test_passages_of_repeated_ids_by_broadcast_and_by_shuffle(spark, monkeypatch
     assert {(2, 1), (4, 1), (1, 4), (3, 2), (100, 2), (111, 2), (2, 111)} <= pairs and not any(5 in p for p in pairs)
 
 
+def written(spark):
+    """Bytes of shuffle by stage of the session."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    numbers = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    none = spark.sparkContext._jvm.java.util.ArrayList()
+    stages = context.statusStore().stageList(none, False, False, numbers, none)
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+
 def test_texts_without_passages_are_not_shuffled(spark):
     r = random.Random(67)
     rows = [(i, " ".join(r.randbytes(50).hex() for _ in range(30))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    context = spark.sparkContext._jsc.sc()
-
-    def written():
-        context.listenerBus().waitUntilEmpty()
-        numbers = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
-        none = spark.sparkContext._jvm.java.util.ArrayList()
-        stages = context.statusStore().stageList(none, False, False, numbers, none)
-        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
-
-    before = written()
+    before = written(spark)
     assert substring.repeated_passages(df).count() == 0
-    after = written()
+    after = written(spark)
     assert sum(n for k, n in after.items() if k not in before) < 0.1 * sum(len(x) for _, x in rows)
 
 
