@@ -91,7 +91,7 @@ HARD_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-1, 0, "user", HARD_TEXT), (-1, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
     found = chat.formatted(chat.messages_of(rows.unionByName(own)))
     back = found.withColumn("read", chat.read_turns("formatted", "turns")).withColumn("loss", F.array_join(chat.read_loss("formatted", "turns"), ""))
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
