@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ LEAST_DOCS = 10
 TOP = 10
 #: Terms of one task whose first bytes are equal are one row.
 PREFIX = 3
+#: A prefix that holds over 1/HOT of all leaves is cut by so many bytes.
+HOT, LONG = 1000, 8
 #: Texts whose terms are told apart together.
 SLICE_BYTES = 4 << 20
 #: A task's tries are emitted when they have so many leaves or counters.
@@ -46,38 +49,54 @@ class RadixTrie:
         self.root: list = [b"", -1, {}]  # bytes of the edge to it, number of the term that ends here or -1, children by first byte
         self.size = 0
 
-    def number(self, term: bytes) -> int:
-        """The term's number; it is put in if it isn't there."""
-        node, at = self.root, 0
-        while at < len(term):
-            kid = node[2].get(term[at])
-            if kid is None:
-                kid = node[2][term[at]] = [term[at:], -1, {}]
-                at = len(term)
-            elif term.startswith(kid[0], at):
-                at += len(kid[0])
-            else:
-                edge, same = kid[0], 1
-                while at + same < len(term) and edge[same] == term[at + same]:
-                    same += 1
-                mid = node[2][term[at]] = [edge[:same], -1, {edge[same]: kid}]
-                kid[0] = edge[same:]
-                kid, at = mid, at + same
-            node = kid
-        if node[1] < 0:
-            node[1] = self.size
-            self.size += 1
-        return node[1]
-
-    def walk(self) -> Iterator[tuple[bytes, int]]:
-        """(term, number) in byte order."""
+    def numbers(self, terms: list[bytes]) -> list[int]:
+        """Each term's number; terms that aren't there are put in. terms ascend, so that one goes on from where it parts
+        from the one before."""
+        out = []
+        path = [(b"", self.root)]  # nodes down to the term before, with the bytes that lead to each
+        for term in terms:
+            while not term.startswith(path[-1][0]):
+                path.pop()
+            before, node = path[-1]
+            at, whole = len(before), len(term)
+            while at < whole:
+                kids = node[2]
+                kid = kids.get(term[at])
+                if kid is None:
+                    kid = kids[term[at]] = [term[at:], -1, {}]
+                    at = whole
+                else:
+                    edge = kid[0]
+                    if term.startswith(edge, at):
+                        at += len(edge)
+                    else:
+                        same = 1
+                        while at + same < whole and edge[same] == term[at + same]:
+                            same += 1
+                        mid = kids[term[at]] = [edge[:same], -1, {edge[same]: kid}]
+                        kid[0] = edge[same:]
+                        kid, at = mid, at + same
+                node = kid
+                path.append((term[:at], node))
+            if node[1] < 0:
+                node[1] = self.size
+                self.size += 1
+            out.append(node[1])
+        return out
+
+    def walk(self) -> tuple[list[bytes], list[int]]:
+        """All terms in byte order, and their numbers."""
+        terms, numbers = [], []
         stack = [(b"", self.root)]
         while stack:
             before, node = stack.pop()
             term = before + node[0]
             if node[1] >= 0:
-                yield term, node[1]
-            stack += [(term, node[2][b]) for b in sorted(node[2], reverse=True)]
+                terms.append(term)
+                numbers.append(node[1])
+            if kids := node[2]:
+                stack += [(term, kids[b]) for b in sorted(kids, reverse=True)] if len(kids) > 1 else [(term, kid) for kid in kids.values()]
+        return terms, numbers
 
 
 def _terms(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
@@ -117,7 +136,9 @@ class Counter:
     def add(self, lang: str, texts: list[bytes], sources: list[str]) -> None:
         terms, index, text = _terms(texts)
         trie = self.tries.setdefault(lang, RadixTrie())
-        number = np.array([trie.number(x) for x in terms.to_pylist()], np.int64)
+        order = pc.array_sort_indices(terms)
+        number = np.empty(len(terms), np.int64)
+        number[order.to_numpy()] = trie.numbers(terms.take(order).to_pylist())
         own = np.array([self.sources.setdefault(s, len(self.sources)) for s in sources], np.int64)
         self.docs.setdefault(lang, []).append(number[np.unique(index * len(texts) + text) // len(texts)])
         key, count = np.unique(number[index] << 32 | own[text], return_counts=True)
@@ -128,22 +149,30 @@ class Counter:
         """The tries in pieces by language and prefix, each in byte order."""
         names = pa.array(list(self.sources), pa.string())
         for lang, trie in self.tries.items():
-            walked = list(trie.walk())
-            if not walked:
+            terms, order = trie.walk()
+            if not terms:
                 continue
-            order = np.array([n for _, n in walked])
             place = np.empty(trie.size, np.int64)
             place[order] = np.arange(trie.size)
             docs = np.bincount(place[np.concatenate(self.docs[lang])], minlength=trie.size)
             key = np.concatenate([k for k, _ in self.cells[lang]])
             key, count = _summed(place[key >> 32] << 32 | key & 0xFFFFFFFF, np.concatenate([c for _, c in self.cells[lang]]))
-            first = np.searchsorted(key >> 32, np.arange(trie.size + 1))
-            source = names.take(pa.array(key & 0xFFFFFFFF))
-            prefix = [t[:PREFIX] for t, _ in walked]
-            cut = [0, *(i for i in range(1, len(prefix)) if prefix[i] != prefix[i - 1]), len(prefix)]
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                cells = slice(first[lo], first[hi])
-                yield {"lang": lang, "prefix": prefix[lo], "terms": [t for t, _ in walked[lo:hi]], "docs": docs[lo:hi], "sizes": np.diff(first[lo : hi + 1]), "sources": source[cells], "counts": count[cells]}
+            sizes = np.bincount(key >> 32, minlength=trie.size)
+            leaves = {"terms": pa.array(terms, pa.binary()), "docs": pa.array(docs), "sizes": pa.array(sizes), "sources": names.take(pa.array(key & 0xFFFFFFFF)), "counts": pa.array(count)}
+            yield from _cut(lang, leaves, PREFIX)
+
+
+def _cut(lang: str, leaves: dict[str, pa.Array], size: int) -> Iterator[dict[str, object]]:
+    """Pieces of ascending leaves whose terms' first `size` bytes are equal."""
+    prefix = pc.binary_slice(leaves["terms"], 0, size)
+    runs = pc.run_end_encode(prefix)
+    ends = runs.run_ends.to_pylist()
+    cells = np.concatenate([[0], np.cumsum(leaves["sizes"].to_numpy())]).tolist()
+    low = 0
+    for value, high in zip(runs.values.to_pylist(), ends, strict=True):
+        own, its = slice(low, high), slice(cells[low], cells[high])
+        yield {"lang": lang, "prefix": value, "terms": leaves["terms"][own], "docs": leaves["docs"][own], "sizes": leaves["sizes"][own], "sources": leaves["sources"][its], "counts": leaves["counts"][its]}
+        low = high
 
 
 _LEAVES = pa.schema([("terms", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -152,17 +181,25 @@ _ARRAYS = "terms array<binary>, docs array<long>, sizes array<long>, sources arr
 
 
 def _batches(rows: Iterator[dict[str, object]], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of about `most` counters."""
+    """Rows as batches of about `most` counters; array columns come as arrays."""
     held: list[dict[str, object]] = []
     total = 0
+
+    def column(field: pa.Field) -> pa.Array:
+        values = [r[field.name] for r in held]
+        if field.name not in _LEAVES.names:
+            return pa.array(values, field.type)
+        offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays([v.cast(field.type.value_type) for v in values]))
+
     for row in rows:
         held.append(row)
         total += len(row["counts"])
         if total >= most:
-            yield pa.RecordBatch.from_pylist(held, schema)
+            yield pa.RecordBatch.from_arrays([column(f) for f in schema], schema=schema)
             held, total = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+        yield pa.RecordBatch.from_arrays([column(f) for f in schema], schema=schema)
 
 
 def _filled(column: str) -> Column:
@@ -213,39 +250,52 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, dic
             yield lang, prefix, {n: c[i].values for n, c in columns.items()}
 
 
+def _spread(pieces: DataFrame) -> DataFrame:
+    """Pieces with those of prefixes that hold over 1/HOT of all leaves cut again, by LONG bytes: no range of prefixes is
+    then much larger than others. There are at most HOT such prefixes, so they are broadcast."""
+    whole = pieces.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0
+    hot = pieces.groupBy("lang", "prefix").agg(F.sum(F.size("terms")).alias("n")).where(F.col("n") * HOT > whole).select("lang", "prefix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches((row for lang, _, piece in _pieces(batches) for row in _cut(lang, piece, LONG)), _PIECE)
+
+    hot = F.broadcast(materialize(hot, "hot"))
+    again = pieces.join(hot, ["lang", "prefix"], "left_semi").mapInArrow(run, pieces.schema)
+    return pieces.join(hot, ["lang", "prefix"], "left_anti").unionByName(again)
+
+
 def merged(pieces: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """Tries of equal language and prefix merged, terms in fewer than `least` documents left out: chunks (lang, terms, docs, sizes,
     sources, counts) of up to about CHUNK terms, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def leaves(parts: list[dict[str, pa.Array]]) -> dict[str, object]:
+        def leaves(parts: list[dict[str, pa.Array]]) -> dict[str, pa.Array]:
             trie = RadixTrie()
-            number = np.concatenate([np.array([trie.number(t) for t in p["terms"].to_pylist()], np.int64) for p in parts])
-            walked = list(trie.walk())
+            number = np.concatenate([trie.numbers(p["terms"].to_pylist()) for p in parts])
+            terms, order = trie.walk()
             place = np.empty(trie.size, np.int64)
-            place[[n for _, n in walked]] = np.arange(trie.size)
+            place[order] = np.arange(trie.size)
             at = place[number]
             docs = np.zeros(trie.size, np.int64)
             np.add.at(docs, at, np.concatenate([p["docs"].to_numpy() for p in parts]))
-            coded = pa.concat_arrays([p["sources"] for p in parts]).dictionary_encode()
-            key = np.repeat(at, np.concatenate([p["sizes"].to_numpy() for p in parts])) << 32 | coded.indices.to_numpy()
-            key, count = _summed(key, np.concatenate([p["counts"].to_numpy() for p in parts]))
             keep = docs >= least
-            cells = keep[key >> 32]
+            coded = pa.concat_arrays([p["sources"] for p in parts]).dictionary_encode()
+            leaf = np.repeat(at, np.concatenate([p["sizes"].to_numpy() for p in parts]))
+            own = keep[leaf]
+            key, count = _summed(leaf[own] << 32 | coded.indices.to_numpy()[own], np.concatenate([p["counts"].to_numpy() for p in parts])[own])
             sizes = np.bincount(key >> 32, minlength=trie.size)[keep]
-            return {"terms": [t for (t, _), k in zip(walked, keep.tolist(), strict=True) if k], "docs": docs[keep], "sizes": sizes, "sources": coded.dictionary.take(pa.array(key[cells] & 0xFFFFFFFF)), "counts": count[cells]}
+            return {"terms": pa.array(terms, pa.binary()).filter(pa.array(keep)), "docs": pa.array(docs[keep]), "sizes": pa.array(sizes), "sources": coded.dictionary.take(pa.array(key & 0xFFFFFFFF)), "counts": pa.array(count)}
 
-        def chunk(lang: str, found: list[dict[str, object]]) -> dict[str, object]:
-            whole = {k: np.concatenate([f[k] for f in found]) for k in ("docs", "sizes", "counts")}
-            return {"lang": lang, "terms": [t for f in found for t in f["terms"]], "sources": pa.concat_arrays([f["sources"] for f in found])} | whole
+        def chunk(lang: str, found: list[dict[str, pa.Array]]) -> dict[str, object]:
+            return {"lang": lang} | {k: pa.concat_arrays([f[k] for f in found]) for k in _LEAVES.names}
 
         def rows() -> Iterator[dict[str, object]]:
             now, parts = None, []
             found: list[dict[str, object]] = []
 
-            def close() -> Iterator[dict[str, object]]:
-                """Merge what has come of a prefix; a language's chunk goes when it is full."""
-                if parts and (got := leaves(parts))["terms"]:
+            def close() -> None:
+                """Merge what has come of a prefix."""
+                if parts and len((got := leaves(parts))["terms"]):
                     found.append(got)
 
             for lang, prefix, piece in _pieces(batches):
@@ -262,7 +312,7 @@ def merged(pieces: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 
         return _batches(rows(), pa.schema([("lang", pa.string()), *_LEAVES]), 1)
 
-    dealt = pieces.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    dealt = _spread(pieces).repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
     return dealt.mapInArrow(run, f"lang string, {_ARRAYS}")
 
 
