@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 
 from foliant.functions.similarity import ratio, ratio_bound
 from foliant.functions.text import doi_key, normalize
+from foliant.operators import simjoin
+from foliant.plans.scratch import materialize
 
 # Match bounds and the weights of the overall score.
 TEXT_MATCH, FORMULA_MATCH, PARAGRAPH_MATCH = 0.85, 0.75, 0.80
+#: Texts of up to so many characters may be alike without two neighbours in common.
+TINY = 3
 WEIGHTS = {"metadata": 0.20, "sections": 0.15, "paragraphs": 0.20, "formulas": 0.15, "references": 0.10, "tables": 0.05, "figures": 0.05, "abstract": 0.10}
 
 
@@ -70,16 +75,51 @@ def list_f1(bound: float = TEXT_MATCH):  # noqa: ANN201
     return run
 
 
+def paragraph_pairs(expected: DataFrame, actual: DataFrame, by: str = "paper_id") -> DataFrame:
+    """(by, x, y): distinct texts of expected(by, x) and actual(by, y) whose ratio may be PARAGRAPH_MATCH or more.
+
+    A ratio of 0.8 needs 0.4 T matching characters of T in both. What doesn't match, at most 0.2 T, parts the rest into at
+    most 0.2 T + 1 runs, so the two share 0.2 T - 1 pairs of neighbours, counted with repeats, or more; as one is at most half as long again as the
+    other, that is at least a third of either one's length less one. So they meet at the rarest pairs of neighbours, all but that
+    many (simjoin.sharing); texts of up to three characters at single ones. Then all of both are counted.
+    """
+
+    def texts(rows: DataFrame, key: str, c: str) -> DataFrame:
+        rows = rows.select(by, F.xxhash64(c).alias(key), F.col(c).alias("text")).distinct()
+        grams = [simjoin.numbered_grams(rows, n, by, key).withColumnRenamed("items", f"{c}{n}") for n in (1, 2)]
+        none = F.array().cast("array<string>")
+        joined = rows.join(grams[0], [by, key]).join(grams[1], [by, key], "left")
+        return materialize(joined.select(by, key, F.col("text").alias(c), f"{c}1", F.coalesce(f"{c}2", none).alias(f"{c}2")), "grams")
+
+    def items(rows: DataFrame, key: str, c: str, size: int) -> DataFrame:
+        rows = rows.where(F.length(c) > TINY) if size == 2 else rows.where(F.length(c) <= 2 * TINY)
+        least = F.greatest(F.lit(1), F.expr(f"(length({c}) - 1) div 3").cast("int")) if size == 2 else F.lit(1)
+        return rows.select(by, key, F.col(f"{c}{size}").alias("items"), (F.size(f"{c}{size}") - least + 1).alias("prefix"), F.lit(1).alias("need"))
+
+    left, right = texts(expected, "a", "x"), texts(actual, "b", "y")
+    met = reduce(DataFrame.unionByName, [simjoin.sharing(items(left, "a", "x", n), items(right, "b", "y", n), by) for n in (2, 1)])
+    pairs = met.distinct().join(left, [by, "a"]).join(right, [by, "b"])
+    x, y = F.col("x"), F.col("y")
+    total = F.length(x) + F.length(y)
+    common = lambda n: F.size(F.array_intersect(f"x{n}", f"y{n}"))
+    pairs = pairs.where(ratio_bound(x, y) >= PARAGRAPH_MATCH)
+    return pairs.where((5 * common(1) >= 2 * total) & (5 * common(2) >= total - 5)).select(by, "x", "y")
+
+
 def paragraph_coverage(actual: DataFrame, expected: DataFrame, by: str = "paper_id") -> DataFrame:
     """Share of expected(by, ord, text) with an actual(by, text) paragraph at least PARAGRAPH_MATCH alike.
 
-    Pairs meet within a paper, and only those whose lengths allow the match reach the ratio.
+    Equal texts are settled by a join; of the others only paragraph_pairs() reach the ratio. Empty texts match nothing; a paper
+    without expected paragraphs has no row.
     """
     e = expected.select(by, F.col("ord").alias("e"), normalize("text").alias("x"))
-    a = actual.select(by, normalize("text").alias("y")).distinct()
-    pairs = e.join(a, by).where(ratio_bound(F.col("x"), F.col("y")) >= PARAGRAPH_MATCH)
-    hit = pairs.where((F.col("x") == F.col("y")) & (F.col("x") != "")).select(by, "e").unionByName(pairs.where(F.col("x") != F.col("y")).where(ratio("y", "x") >= PARAGRAPH_MATCH).select(by, "e")).distinct()
-    return e.join(hit.withColumn("hit", F.lit(1)), [by, "e"], "left").groupBy(by).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("paragraphs"))
+    a = actual.select(by, normalize("text").alias("y")).where("y <> ''").distinct()
+    texts = e.select(by, "x").where("x <> ''").distinct()
+    same = texts.join(a.withColumnRenamed("y", "x"), [by, "x"], "left_semi")
+    open_ = texts.join(same, [by, "x"], "left_anti")
+    near = paragraph_pairs(open_, a, by).where(ratio("y", "x") >= PARAGRAPH_MATCH).select(by, "x").distinct()
+    hit = same.unionByName(near).withColumn("hit", F.lit(1))
+    return e.join(hit, [by, "x"], "left").groupBy(by).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("paragraphs"))
 
 
 def metadata_score(author_f1: Column) -> Column:
