@@ -1,9 +1,7 @@
-"""Writers: one table for each artifact, and the registry."""
+"""Writers: one table for each artifact, and counts of outcomes."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +17,6 @@ def write_documents(documents: DataFrame, root: str, by: str = "paper_id") -> No
     documents.select(by, F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).text(root)
 
 
-def write_registry(registry: DataFrame, root: str) -> str:
-    """A new version of the registry beside the old ones, whose readers it does not disturb; returns its path."""
-    path = f"{root}/registry-{uuid.uuid4().hex}"
-    registry.write.parquet(path)
-    return path
-
-
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """Rows by outcome: extracted, skipped, failed."""
     return outcomes.groupBy("outcome").count()
