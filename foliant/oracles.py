@@ -151,6 +151,20 @@ def _made() -> dict[str, str]:
           UNION ALL (SELECT doc_id, ord, kind, name FROM q WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) = 1)
           UNION ALL (SELECT doc_id, ord, 'section', '' FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1)
           UNION ALL (SELECT doc_id, ord, 'figure', '' FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, {_clean("text[1:2]")}, page ORDER BY ord) = 1)""",
+        "layout_pairs": f"""WITH {LINES},
+          t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("array_to_string(string_split(text, ' ')[1:4], ' ')")}) FROM lines WHERE ord % 3 = 1),
+          b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),
+          l AS (SELECT doc_id, heading, x, list_distinct(string_split(x, ' ')) AS xs FROM t WHERE x <> ''), r AS (SELECT doc_id, y, head, list_distinct(string_split(y, ' ')) AS ys FROM b WHERE y <> ''),
+          p AS (SELECT l.doc_id, heading, CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.9 END AS direct, len(list_intersect(xs, ys)) / len(xs)::DOUBLE AS overlap, 2.0 * least(length(x), length(y)) / (length(x) + length(y)) AS bound
+            FROM l JOIN r ON l.doc_id = r.doc_id AND (head OR NOT heading))
+          SELECT doc_id, heading, count(*) FILTER (direct = 1.0) AS n_equal, count(*) FILTER (direct = 0.9) AS n_held, count(*) FILTER (direct IS NULL) AS n_ratio, round(sum(overlap), 6) AS overlap
+          FROM p WHERE direct IS NOT NULL OR 0.65::DOUBLE * overlap + 0.35::DOUBLE * bound >= 0.45::DOUBLE GROUP BY doc_id, heading""",
+        "paragraph_pairs": f"""WITH {LINES}, k AS (SELECT DISTINCT doc_id, ord % 2 AS side, lower({c}) AS x FROM lines WHERE {c} <> ''),
+          u AS (SELECT *, row_number() OVER () AS id FROM k),
+          g AS (SELECT id, doc_id, side, n, length(x) AS size, substr(x, i, n) AS gram, count(*) AS often FROM (SELECT *, unnest(range(1, length(x) - n + 2)) AS i FROM (SELECT *, unnest([1, 2]) AS n FROM u)) GROUP BY ALL),
+          m AS (SELECT a.doc_id, a.id AS e, b.id AS a_, a.size AS s, b.size AS z, coalesce(sum(least(a.often, b.often)) FILTER (a.n = 1), 0) AS ones, coalesce(sum(least(a.often, b.often)) FILTER (a.n = 2), 0) AS twos
+            FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.n = b.n AND a.gram = b.gram AND 3 * least(a.size, b.size) >= 2 * greatest(a.size, b.size) WHERE a.side = 1 AND b.side = 0 GROUP BY ALL)
+          SELECT doc_id, count(*) AS n_pairs, sum(s)::BIGINT AS n_expected, sum(z)::BIGINT AS n_actual FROM m WHERE 5 * ones >= 2 * (s + z) AND 5 * twos >= s + z - 5 GROUP BY doc_id""",
         "canonical_paragraphs": f"""WITH {LINES}, k AS (SELECT *, {c} AS c FROM lines),
           h AS (SELECT doc_id, lower(c) AS key, c AS heading FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1),
           p AS (SELECT k.doc_id, ord, c, ord % 2 AS page, CASE WHEN length(text) <= 60 THEN ' ' || text WHEN ord % 3 = 0 THEN 'Else' END AS section, first_value(c) OVER (PARTITION BY k.doc_id ORDER BY ord) AS abstract FROM k),
@@ -188,10 +202,13 @@ def _made() -> dict[str, str]:
           UNION ALL SELECT 'paper_' || lpad((m + row_number() OVER (ORDER BY path))::VARCHAR, greatest(3, length((m + row_number() OVER (ORDER BY path))::VARCHAR))::INTEGER, '0'), path[5:], h, 'hashed', NULL FROM n, m""",
         "layout_tree": f"""WITH {LINES} SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (ord % 4 = 0) AS n_formulas, count(*) FILTER (ord % 4 = 0 AND (ord % 3 = 0 OR text = '')) AS n_orig, count(*) FILTER (ord % 5 <> 0) AS n_coords,
           round(coalesce(sum((ord + 2.0) * length(text)) FILTER (ord % 5 <> 0), 0), 3)::DOUBLE AS area, 0 AS n_figures FROM lines GROUP BY doc_id""",
-        "tei_records": rf"""WITH d AS (SELECT doc_id, list_slice(string_split(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), chr(10)), 1, 9) AS ls FROM documents),
-          l AS (SELECT doc_id, unnest(ls) AS x FROM d), s AS (SELECT doc_id, {_clean("'a b ' || x")} AS p, {_clean("x[1:9]")} AS q FROM l),
-          g AS (SELECT doc_id, 2 * count(*) AS n_sections, count(*) + count(*) FILTER (q <> '') AS n_paragraphs, sum(length(p) + length(q))::INT AS n_chars, count(*) FILTER (q <> '') AS n_nested, count(*) AS n_coords FROM s GROUP BY doc_id)
-          SELECT doc_id, doc_id % 50 = 7 AS failed, {", ".join(f"CASE WHEN doc_id % 50 <> 7 THEN {k} END AS {k}" for k in ("n_sections", "n_paragraphs", "n_chars", "n_nested", "n_coords"))}, CASE WHEN doc_id % 50 <> 7 THEN 'T' || doc_id END AS title FROM g""",
+        "tei_records": rf"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), chr(10))) AS x FROM documents),
+          s AS (SELECT doc_id, 'H' || length(x) AS h, lower({_clean("'a b ' || x || '. Done now.'")}) AS p, lower({_clean("x")}) AS q FROM l),
+          o AS (SELECT doc_id, count(*) AS n, sum(length(p)) AS c FROM (SELECT DISTINCT doc_id, h, p FROM s) GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS n, sum(length(q)) AS c FROM (SELECT DISTINCT doc_id, q FROM s WHERE q <> '') GROUP BY doc_id),
+          g AS (SELECT s.doc_id, 2 * count(DISTINCT h) AS n_sections, any_value(o.n) + coalesce(any_value(i.n), 0) AS n_paragraphs, (any_value(o.c) + coalesce(any_value(i.c), 0))::INT AS n_chars, 2 * any_value(o.n) + coalesce(any_value(i.n), 0) AS n_sentences,
+            coalesce(any_value(i.n), 0) AS n_nested, any_value(o.n) AS n_placed, any_value(o.n) AS n_coords, 1 AS n_figures, 3 AS table_page, 'All of it' AS caption, 1 AS n_references, 'Ref ' || s.doc_id AS ref_title, 'JournalRef ' || s.doc_id || 'Ann Lee' AS ref_raw, 'T' || s.doc_id AS title
+            FROM s JOIN o USING (doc_id) LEFT JOIN i USING (doc_id) GROUP BY s.doc_id)
+          SELECT doc_id, doc_id % 50 IN (7, 9) AS failed, {", ".join(f"CASE WHEN doc_id % 50 NOT IN (7, 9) THEN {k} END AS {k}" for k in ("n_sections", "n_paragraphs", "n_chars", "n_sentences", "n_nested", "n_placed", "n_coords", "n_figures", "table_page", "caption", "n_references", "ref_title", "ref_raw", "title"))} FROM g""",
         "accuracy_scores": """WITH d AS (SELECT doc_id, doc_id AS i, n_chars AS n FROM documents), s AS (SELECT *, CASE WHEN i % 11 > 0 THEN greatest(0.0, 1 - abs(n % 13 - i % 11) / (i % 11)) ELSE 0.0 END AS tables, CASE WHEN i % 5 > 0 THEN greatest(0.0, 1 - abs(n % 7 - i % 5) / (i % 5)) ELSE 0.0 END AS figures,
             coalesce(2 * (i % 4 / 4) * (i % 3 / 3) / nullif(i % 4 / 4 + i % 3 / 3, 0), 0.0) AS sections FROM d)
           SELECT doc_id, round(tables, 6) AS tables, round(figures, 6) AS figures, round(sections, 6) AS sections,

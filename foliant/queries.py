@@ -344,6 +344,29 @@ def text_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def layout_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every third line as a paragraph's text, the first words of others as headings; the lines, each with a word more at times, as layout
+    blocks: pairs of distinct texts that can match, by how they are scored."""
+    rows, o = _paragraphs(spark, d), F.col("ord")
+    blocks = rows.select("doc_id", F.when(o % 5 == 2, F.concat(F.lit("Fig "), "text")).otherwise(F.col("text")).alias("text"), F.when(o % 2 == 0, "section_header").otherwise("text").alias("label"))
+    found = []
+    for heading, targets in ((False, rows.where(o % 3 == 0)), (True, rows.where(o % 3 == 1).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 4), " ")))):
+        found.append(canonical.layout_pairs(targets, blocks, heading, "doc_id").withColumn("heading", F.lit(heading)))
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "heading").agg(
+        F.count_if(F.col("direct") == 1.0).alias("n_equal"),
+        F.count_if(F.col("direct") == 0.9).alias("n_held"),
+        F.count_if(F.col("direct").isNull()).alias("n_ratio"),
+        F.round(F.sum("overlap"), 6).alias("overlap"),
+    )
+
+
+def paragraph_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of odd places as expected paragraphs, the others as extracted ones: pairs that can be as alike as a match asks."""
+    rows = _paragraphs(spark, d).select("doc_id", "ord", normalize("text").alias("x")).where("x <> ''")
+    found = benchmark.paragraph_pairs(rows.where("ord % 2 = 1"), rows.where("ord % 2 = 0").withColumnRenamed("x", "y"), "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(F.length("x")).alias("n_expected"), F.sum(F.length("y")).alias("n_actual"))
+
+
 def registry_update(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files: those of new hashes are numbered on, the others' records lose their error."""
     docs = read_table(spark, d, "documents")
@@ -368,21 +391,32 @@ def layout_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tei_records(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as TEI texts of nested sections, read back."""
+    """Documents as TEI texts of nested sections with a table and references, read back; some are broken, some null."""
     plain = F.regexp_replace("text", r"[^A-Za-z \n]", "")
-    lines = F.transform(F.slice(F.split(plain, "\n"), 1, 9), lambda x: F.concat(F.lit("<div><head>H"), F.length(x), F.lit("</head><p coords='1,2,3,4,5'>a <ref>b</ref> "), x, F.lit("</p><div><head>Sub</head><p>"), F.substring(x, 1, 9), F.lit("</p></div></div>")))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.concat(F.lit("<div><head>H"), F.length(x), F.lit("</head><p coords='1,2,3,4,5'>a <ref>b</ref> "), x, F.lit(". Done now.</p><div><head>Sub</head><p>"), x, F.lit("</p></div></div>")))
     head = "<TEI xmlns='http://www.tei-c.org/ns/1.0'><teiHeader><fileDesc><titleStmt><title>T"
-    xml = F.concat(F.lit(head), F.col("doc_id"), F.lit("</title></titleStmt></fileDesc></teiHeader><text><body>"), F.array_join(lines, ""), F.when(F.col("doc_id") % 50 == 7, F.lit("<broken>")).otherwise(F.lit("")), F.lit("</body></text></TEI>"))
+    table = "<figure type='table'><label>L</label><figDesc>All <hi>of</hi> it</figDesc><coordinates page='3' x='1' y='2' width='3' height='4'/></figure>"
+    work = F.concat(F.lit("<biblStruct><monogr><title>Journal</title></monogr><analytic><title>Ref "), F.col("doc_id"), F.lit("</title><author>Ann <surname>Lee</surname></author></analytic></biblStruct>"))
+    xml = F.concat(F.lit(head), F.col("doc_id"), F.lit("</title></titleStmt></fileDesc></teiHeader><text><body>"), F.array_join(lines, ""), F.when(F.col("doc_id") % 50 == 7, F.lit("<broken>")).otherwise(F.lit("")), F.lit(table + "</body><back><listBibl>"), work, work, F.lit("</listBibl></back></text></TEI>"))
+    xml = F.when(F.col("doc_id") % 50 != 9, xml)
     out = files.parsed_tei(read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), xml.alias("xml")))
-    p = F.col("tei.paragraphs")
+    p, first = F.col("tei.paragraphs"), lambda c: F.get(F.col(c), F.lit(0))
     return out.select(
         F.col("path").cast("long").alias("doc_id"),
         "tei.title",
         F.size("tei.sections").alias("n_sections"),
         F.size(p).alias("n_paragraphs"),
         F.aggregate(p, F.lit(0), lambda acc, x: acc + F.length(x["text"])).alias("n_chars"),
+        F.aggregate(p, F.lit(0), lambda acc, x: acc + F.size(x["sentences"])).alias("n_sentences"),
         F.size(F.filter(p, lambda x: F.size(x["section_path"]) == 2)).alias("n_nested"),
+        F.size(F.filter(p, lambda x: x["page"] == 1)).alias("n_placed"),
         F.size(F.flatten(F.transform(p, lambda x: x["coords"]))).alias("n_coords"),
+        F.size("tei.figures").alias("n_figures"),
+        first("tei.figures")["page"].alias("table_page"),
+        first("tei.figures")["caption"].alias("caption"),
+        F.size("tei.references").alias("n_references"),
+        first("tei.references")["title"].alias("ref_title"),
+        first("tei.references")["raw"].alias("ref_raw"),
         F.col("error").isNotNull().alias("failed"),
     )
 
@@ -427,6 +461,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         conversation_carry_forward, section_segmentation, run_counters, sentence_split, chunk_packing, near_duplicate_sentences, normalized_text,
         benchmark_coverage, greedy_list_f1, reference_folding, layout_order, font_stats, coordinate_integrity, reference_integrity, structure_integrity,
         abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
-        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation,
+        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs,
     )
     return {f.__name__: f for f in listed}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COORD = "struct<page:int,x:double,y:double,w:double,h:double>"
-TEI = f"struct<title:string,authors:array<string>,year:int,doi:string,abstract:string,sections:array<struct<heading:string,level:int,path:array<string>>>,paragraphs:array<struct<text:string,section:string,section_path:array<string>,coords:array<{COORD}>>>,figures:array<struct<type:string,label:string,caption:string>>,references:array<struct<title:string,authors:array<string>,raw:string>>>"
+TEI = f"struct<title:string,authors:array<string>,year:int,doi:string,abstract:string,sections:array<struct<heading:string,level:int,path:array<string>,coords:array<{COORD}>>>,paragraphs:array<struct<text:string,sentences:array<string>,section:string,section_path:array<string>,coords:array<{COORD}>,page:int>>,figures:array<struct<type:string,label:string,caption:string,coords:array<{COORD}>,page:int>>,references:array<struct<title:string,authors:array<string>,raw:string>>>"
 BOX = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
 PROV = f"array<struct<page_no:int,bbox:{BOX}>>"
 LAYOUT = f"struct<texts:array<struct<text:string,orig:string,label:string,prov:{PROV}>>,pictures:array<struct<children:array<struct<text:string>>,prov:{PROV}>>,tables:array<struct<prov:{PROV}>>>"
@@ -33,15 +35,23 @@ def _plain(text: str | None) -> str:
 
 
 def _all_text(node: ElementTree.Element | None) -> str:
-    return _plain(" ".join(node.itertext())) if node is not None else ""
+    return _plain("".join(node.itertext())) if node is not None else ""
+
+
+def _paragraph(node: ElementTree.Element, whole: bool) -> str:
+    """A paragraph's text; without `whole` only what elements begin with, not what follows an element inside."""
+    if whole:
+        return _plain(" ".join(node.itertext()))
+    return _plain(" ".join(_all_text(x) if x.tag.endswith("formula") else x.text or "" for x in node.iter()))
 
 
 def _coords(node: ElementTree.Element, attribute: bool) -> list[dict]:
     out = []
     for c in node.iter(_NS + "coordinates"):
         try:
-            out.append({"page": int(c.get("page")), "x": float(c.get("x")), "y": float(c.get("y")), "w": float(c.get("width")), "h": float(c.get("height"))})
-        except (TypeError, ValueError):
+            page, *box = (c.get(k, "0") for k in ("page", "x", "y", "width", "height"))
+            out.append({"page": int(page), **dict(zip("xywh", map(float, box), strict=True))})
+        except ValueError:
             continue
     for part in (node.get("coords") or "").split(";") if attribute else []:
         try:
@@ -52,60 +62,149 @@ def _coords(node: ElementTree.Element, attribute: bool) -> list[dict]:
     return out
 
 
-def parse_tei(xml: str, coords_attribute: bool = True) -> dict:
-    """The record of one TEI document, whole texts with their inline elements."""
-    root = ElementTree.fromstring(xml)
-    head, body = root.find(f"{_NS}teiHeader"), root.find(f".//{_NS}body")
-    names = []
-    for person in head.iterfind(f".//{_NS}analytic/{_NS}author/{_NS}persName") if head is not None else []:
-        parts = [_all_text(x) for x in (*person.iterfind(f"{_NS}forename"), *person.iterfind(f"{_NS}surname"))]
-        name = _plain(" ".join(parts))
-        if name and name.lower() not in (n.lower() for n in names):
-            names.append(name)
-    date = next((d.get("when") for d in (head.iter(f"{_NS}date") if head is not None else []) if (d.get("when") or "")[:4].isdigit()), None)
-    doi = next((_all_text(x) for x in (head.iter(f"{_NS}idno") if head is not None else []) if (x.get("type") or "").lower() == "doi"), None)
-    out = {
-        "title": _all_text(head.find(f".//{_NS}titleStmt/{_NS}title")) if head is not None else "",
-        "authors": names, "year": int(date[:4]) if date else None, "doi": doi,
-        "abstract": _plain(" ".join(_all_text(p) for p in head.iterfind(f".//{_NS}abstract//{_NS}p"))) if head is not None else "",
-        "sections": [], "paragraphs": [], "figures": [], "references": [],
-    }
-
-    def walk(node: ElementTree.Element, level: int, path: list[str]) -> None:
-        heading = _all_text(node.find(f"{_NS}head")) if node.tag == _NS + "div" else ""
-        if heading:
-            path = [*path, heading]
-            out["sections"].append({"heading": heading, "level": level, "path": path})
-        for child in node:
-            if child.tag == _NS + "p" and (text := _all_text(child)):
-                out["paragraphs"].append({"text": text, "section": path[-1] if path else None, "section_path": path, "coords": _coords(child, coords_attribute)})
-            elif child.tag == _NS + "div":
-                walk(child, level + 1, path)
-
-    if body is not None:
-        walk(body, 0, [])
-    for f in root.iter(_NS + "figure"):
-        out["figures"].append({"type": f.get("type") or "figure", "label": _all_text(f.find(f"{_NS}label")), "caption": _all_text(f.find(f"{_NS}figDesc"))})
-    for b in root.iterfind(f".//{_NS}listBibl/{_NS}biblStruct"):
-        title = b.find(f".//{_NS}title")
-        out["references"].append({"title": _all_text(title), "authors": [_all_text(p) for p in b.iter(_NS + "persName")], "raw": _all_text(next((n for n in b.iter(_NS + "note") if n.get("type") == "raw_reference"), None)) or _all_text(b)})
-    return out
-
-
-def parsed_tei(texts: DataFrame, coords_attribute: bool = True) -> DataFrame:
-    """texts(path, xml) with tei, a struct, and error, null where the text was read."""
+def _page(coords: list[dict]) -> int | None:
+    return coords[0]["page"] if coords else None
+
+
+def _first_of(records: list[dict], *fields: str) -> list[dict]:
+    """The first record of each key, cleaned and in lower case."""
+    kept: dict[tuple, dict] = {}
+    for r in records:
+        kept.setdefault(tuple(tuple(_plain(x).lower() for x in v) if isinstance(v := r[f], list) else _plain(str(v)).lower() for f in fields), r)
+    return list(kept.values())
+
+
+class _Reader:
+    """The record of a TEI document from its elements, each as it ends; none outlives the outermost one that is read as a whole."""
+
+    #: Elements that are read as a whole; what is inside stays until they end.
+    WHOLE = {_NS + t for t in ("p", "head", "figure", "biblStruct", "abstract", "title", "date")}
+
+    def __init__(self, coords_attribute: bool, whole: bool):
+        self.attribute, self.whole = coords_attribute, whole
+        self.title = self.abstract = self.doi = self.year = None
+        self.authors: list[str] = []
+        # divs of the body by number, 0 the body itself: [number of the one around, level, heading or None before its head, coords]
+        self.divs: list[list] = []
+        self.paragraphs: list[tuple[int, dict]] = []
+        self.figures: list[tuple[int, dict]] = []
+        self.references: list[dict] = []
+
+    def read(self, xml: str) -> dict:
+        stack: list[ElementTree.Element] = []
+        tags: list[str] = []
+        own: list[int] = []  # for each open element the number of its div, -1 where it isn't in the line of divs
+        begun: list[int] = []
+        count = held = 0
+        for event, node in ElementTree.iterparse(io.StringIO(xml), ("start", "end")):
+            name = node.tag.removeprefix(_NS) if node.tag.startswith(_NS) else ""
+            if event == "start":
+                count += 1
+                around = own[-1] if own else -1
+                number = -1
+                if name == "body" and tags and tags[-1] == "text" and not self.divs or name == "div" and around >= 0:
+                    number = len(self.divs)
+                    self.divs.append([around, self.divs[around][1] + 1 if number else 0, None, []])
+                stack.append(node)
+                tags.append(name)
+                own.append(number)
+                begun.append(count)
+                held += node.tag in self.WHOLE
+                continue
+            stack.pop(), tags.pop(), own.pop()
+            self.ended(name, node, tags, own[-1] if own else -1, begun.pop())
+            held -= node.tag in self.WHOLE
+            if not held and stack:
+                stack[-1].remove(node)
+        return self.record()
+
+    def ended(self, name: str, node: ElementTree.Element, tags: list[str], div: int, begun: int) -> None:
+        """tags: names of the elements around; div: the number of the div or body that the element is a child of, or -1."""
+        header = "teiHeader" in tags
+        if name == "p" and div >= 0:
+            if text := _paragraph(node, self.whole):
+                coords = _coords(node, self.attribute)
+                self.paragraphs.append((div, {"text": text, "sentences": [x.strip() for x in re.split(r"(?<=[.!?])\s+", text) if x.strip()], "coords": coords, "page": _page(coords)}))
+        elif name == "head" and div > 0 and self.divs[div][2] is None:
+            self.divs[div][2:] = _all_text(node), _coords(node, self.attribute)
+        elif name == "figure":
+            coords = _coords(node, self.attribute)
+            self.figures.append((begun, {"type": node.get("type") or "figure", "label": _all_text(node.find(_NS + "label")), "caption": _all_text(node.find(_NS + "figDesc")), "coords": coords, "page": _page(coords)}))
+        elif name == "biblStruct" and tags[-1:] == ["listBibl"]:
+            title = node.find(f".//{_NS}analytic/{_NS}title")
+            title = node.find(f".//{_NS}monogr/{_NS}title") if title is None else title
+            self.references.append({"title": _all_text(title), "authors": [x for a in node.iter(_NS + "author") if (x := _all_text(a))], "raw": _all_text(node)})
+        if header:
+            self.ended_in_header(name, node, tags)
+
+    def ended_in_header(self, name: str, node: ElementTree.Element, tags: list[str]) -> None:
+        if name == "title" and tags[-3:] == ["teiHeader", "fileDesc", "titleStmt"] and self.title is None:
+            self.title = _all_text(node)
+        elif name == "biblStruct" and tags[-3:] == ["teiHeader", "fileDesc", "sourceDesc"]:
+            for person in (a.find(_NS + "persName") for a in node.iterfind(f"{_NS}analytic/{_NS}author")):
+                if person is not None:
+                    names = [*person.iterfind(_NS + "forename"), *([last] if (last := person.find(_NS + "surname")) is not None else [])]
+                    self.authors.append(_plain(" ".join(_all_text(x) for x in names)))
+            for x in node.iterfind(_NS + "idno"):
+                if self.doi is None and (x.get("type") or "").strip().lower() == "doi":
+                    self.doi = _all_text(x) or None
+        elif name == "date" and self.year is None:
+            found = re.search(r"(?:19|20)[0-9]{2}", node.get("when") or _all_text(node))
+            self.year = int(found[0]) if found else None
+        elif name == "abstract" and tags[-2:] == ["teiHeader", "profileDesc"] and not self.abstract:
+            inside = list(node.iter(_NS + "p"))
+            self.abstract = _plain(" ".join(_paragraph(p, self.whole) for p in inside)) if inside else _all_text(node)
+
+    def path(self, div: int) -> list[str]:
+        """Headings from the outermost div to this one, which may be none's."""
+        out = []
+        while div > 0:
+            out += [self.divs[div][2]] * bool(self.divs[div][2])
+            div = self.divs[div][0]
+        return out[::-1]
+
+    def record(self) -> dict:
+        # a div's own paragraphs come before those of the divs inside it, wherever they stand
+        sections = [{"heading": d[2], "level": d[1], "path": self.path(k), "coords": d[3]} for k, d in enumerate(self.divs) if d[2]]
+        paragraphs = [p | {"section": path[-1] if path else None, "section_path": path} for div, p in sorted(self.paragraphs, key=lambda x: x[0]) for path in [self.path(div)]]
+        figures = [f for _, f in sorted(self.figures, key=lambda x: x[0])]
+        authors = {a.lower(): a for a in reversed(self.authors) if a}
+        return {
+            "title": self.title or "", "authors": list(reversed(authors.values())), "year": self.year, "doi": self.doi, "abstract": self.abstract or "",
+            "sections": _first_of(sections, "heading", "path"),
+            "paragraphs": _first_of(paragraphs, "text", "page", "section"),
+            "figures": _first_of(figures, "type", "label", "caption", "page"),
+            "references": _first_of(self.references, "title", "raw"),
+        }
+
+
+def parse_tei(xml: str, coords_attribute: bool = True, whole: bool = True) -> dict:
+    """The record of one TEI document, read element by element. Repeated sections, paragraphs, figures and references go, the first of each stays.
+    whole=False takes of a paragraph only what its elements begin with."""
+    return _Reader(coords_attribute, whole).read(xml)
+
+
+def parsed_tei(texts: DataFrame, coords_attribute: bool = True, whole: bool = True) -> DataFrame:
+    """texts(path, xml[, error]) with tei, a struct, and error, null where the text was read.
+
+    A null or empty xml, such as that of a file whose service failed, keeps the error that it came with or gets one; none stops another.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, xml in zip(batch["path"], batch["xml"], strict=True):
+            for path, xml, before in zip(batch["path"], batch["xml"], batch["error"], strict=True):
+                if not isinstance(xml, str) or not xml.strip():
+                    rows.append((path, None, before or "no text"))
+                    continue
                 try:
-                    rows.append((path, parse_tei(xml, coords_attribute), None))
+                    rows.append((path, parse_tei(xml, coords_attribute, whole), None))
                 except ElementTree.ParseError as e:
                     rows.append((path, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "tei", "error"])
 
-    return texts.select("path", "xml").mapInPandas(run, f"path string, tei {TEI}, error string")
+    error = F.col("error") if "error" in texts.columns else F.lit(None).cast("string").alias("error")
+    return texts.select("path", "xml", error).mapInPandas(run, f"path string, tei {TEI}, error string")
 
 
 def layout_artifacts(trees: DataFrame, tree: str = "json") -> DataFrame:
