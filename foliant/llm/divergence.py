@@ -29,7 +29,7 @@ TOP = 10
 #: Terms of one task whose first bytes are equal are one row.
 PREFIX = 3
 #: A prefix that holds over 1/HOT of all leaves is cut by so many bytes.
-HOT, LONG = 1000, 8
+HOT, LONG = 100, 5
 #: Texts whose terms are told apart together.
 SLICE_BYTES = 4 << 20
 #: A task's tries are emitted when they have so many leaves or counters.
