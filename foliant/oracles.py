@@ -123,19 +123,19 @@ def _made() -> dict[str, str]:
     return {
         "layout_order": f"""WITH {LINES}, r AS (SELECT doc_id, ord, (length(text) % 600)::DOUBLE AS x, (length(text) * 7 % 90)::DOUBLE AS y, ord % 3 + 1 AS p FROM lines)
           SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY (x >= 300)::INT, y, ord) AS in_columns, row_number() OVER (PARTITION BY doc_id ORDER BY p, y, x, ord) AS in_pages FROM r""",
-        "font_stats": rf"""WITH {LINES}, w AS (SELECT doc_id, ord, list_slice(string_split(text, ' '), 1, 12) AS ws FROM lines WHERE ord < 40),
+        "font_stats": rf"""WITH {LINES}, w AS (SELECT doc_id, ord, string_split(text, ' ') AS ws FROM lines),
           s AS (SELECT doc_id, ord, unnest(ws) AS word, unnest(range(len(ws))) AS span FROM w),
           l AS (SELECT doc_id, ord, {_clean("string_agg(word || ' ', '' ORDER BY span)")} AS text, round(max(8 + (ord + span) % 5 * 0.55), 1)::DOUBLE AS size, bool_or(((span * 8) >> 4) & 1 = 1) AS bold FROM s GROUP BY doc_id, ord),
           k AS (SELECT * FROM l WHERE text <> ''), f AS (SELECT doc_id, median(size) AS body FROM k GROUP BY doc_id)
           SELECT doc_id, ord // 4 AS block_no, md5(string_agg(text, ' ' ORDER BY ord)) AS text_md5, max(size) AS font_size, bool_or(bold) AS is_bold, round(any_value(body), 3) AS body_font_size FROM k JOIN f USING (doc_id) GROUP BY doc_id, ord // 4""",
         "coordinate_integrity": f"""WITH {LINES} SELECT doc_id, round(avg((CASE WHEN ord % 2 = 0 THEN ord % 7 <> 0 AND length(text) % 11 >= 1 AND length(text) % 5 > 0 AND ord % 4 > 0 ELSE length(text) % 3 > 0 END)::INT), 6) AS coordinate_integrity FROM lines GROUP BY doc_id""",
         "reference_integrity": f"""WITH l AS (SELECT doc_id, source, unnest(range(len(x)))::INTEGER AS ord, unnest(x) AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS x FROM documents)),
-          r AS (SELECT doc_id, concat_ws(' ', CASE WHEN ord % 2 = 0 THEN nullif(text[1:8], '') END, nullif(substr(text, 9, ord % 20), ''), CASE WHEN ord % 3 = 0 THEN '[''' || source || ''', ''' || source || ''']' END) AS t FROM l)
+          r AS (SELECT doc_id, concat_ws(' ', CASE WHEN ord % 2 = 0 THEN nullif(text, '') END, CASE WHEN ord % 5 = 1 THEN nullif(text, '') END, CASE WHEN ord % 3 = 0 THEN '[''' || source || ''', ''' || source || ''']' END) AS t FROM l)
           SELECT doc_id, round(avg((length({_clean("t")}) >= 20)::INT), 6) AS reference_integrity FROM r GROUP BY doc_id""",
         "structure_integrity": f"""WITH {LINES}, k AS (SELECT doc_id, ord, {c} AS c FROM lines),
           v AS (SELECT doc_id, avg((NOT {bad})::INT) AS valid FROM k WHERE ord % 5 = 0 GROUP BY doc_id), g AS (SELECT doc_id, avg((ord % 4 = 0)::INT) AS assigned FROM k WHERE ord % 5 <> 0 GROUP BY doc_id)
           SELECT doc_id, round(coalesce(0.6 * valid + 0.4 * assigned, 0.0), 6)::DOUBLE AS structure_integrity FROM v FULL JOIN g USING (doc_id)""",
-        "abstract_integrity": f"""WITH {PAGES}, r AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '' ELSE substr(tei, 1, 150) END AS a, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN substr(pdf, 80, 200) ELSE pdf END AS p FROM pairs),
+        "abstract_integrity": f"""WITH {PAGES}, r AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '' ELSE tei END AS a, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN regexp_replace(pdf, '[aeiou]', '', 'g') ELSE pdf END AS p FROM pairs),
           t AS (SELECT page_id, unnest({_tokens("a")}) AS token FROM r), k AS (SELECT DISTINCT page_id, unnest({_tokens("p")}) AS token FROM r),
           h AS (SELECT page_id, count(k.token) / count(*) AS h FROM t LEFT JOIN k USING (page_id, token) GROUP BY page_id),
           q AS (SELECT page_id, lower({_clean("a")}) AS a, lower({_clean("p")}) AS p, length({_clean("a")}) AS n FROM r)
@@ -144,15 +144,15 @@ def _made() -> dict[str, str]:
           e AS (SELECT *, min(CASE WHEN ord % 7 = 5 AND ord > f THEN ord END) OVER (PARTITION BY doc_id) AS stop FROM r)
           SELECT doc_id, md5(string_agg(c, ' ' ORDER BY ord)) AS abstract_md5 FROM e WHERE ord >= f AND (stop IS NULL OR ord < stop) AND c <> '' GROUP BY doc_id""",
         "artifact_dedup": rf"""WITH {LINES}, k AS (SELECT *, {c} AS c, ord % 3 AS page FROM lines),
-          f AS (SELECT doc_id, ord, 'formula' AS kind, printf('formula_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY ord)) AS name, page, regexp_replace(lower(text[1:6]), '\s+', '', 'g') AS key FROM k),
-          r AS (SELECT doc_id, ord, 'reference' AS kind, '' AS name, {_clean("CASE WHEN ord % 2 = 0 THEN text[1:18] END")} AS raw, {_clean("text[1:3]")} AS title FROM k),
+          f AS (SELECT doc_id, ord, 'formula' AS kind, printf('formula_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY ord)) AS name, page, regexp_replace(lower(text), '\s+', '', 'g') AS key FROM k),
+          r AS (SELECT doc_id, ord, 'reference' AS kind, '' AS name, {_clean("CASE WHEN ord % 2 = 0 THEN text END")} AS raw, {_clean("text")} AS title FROM k),
           q AS (SELECT *, lower(CASE WHEN raw <> '' THEN raw ELSE title END) AS key FROM r WHERE raw = '' OR length(raw) >= 15)
           SELECT doc_id, ord, kind, name FROM f WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key, page ORDER BY ord) = 1
           UNION ALL (SELECT doc_id, ord, kind, name FROM q WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) = 1)
           UNION ALL (SELECT doc_id, ord, 'section', '' FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1)
-          UNION ALL (SELECT doc_id, ord, 'figure', '' FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, {_clean("text[1:2]")}, page ORDER BY ord) = 1)""",
+          UNION ALL (SELECT doc_id, ord, 'figure', '' FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, {_clean("text")}, page ORDER BY ord) = 1)""",
         "layout_pairs": f"""WITH {LINES},
-          t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("array_to_string(string_split(text, ' ')[1:4], ' ')")}) FROM lines WHERE ord % 3 = 1),
+          t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("'2 ' || text")}) FROM lines WHERE ord % 3 = 1),
           b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),
           l AS (SELECT doc_id, heading, x, list_distinct(string_split(x, ' ')) AS xs FROM t WHERE x <> ''), r AS (SELECT doc_id, y, head, list_distinct(string_split(y, ' ')) AS ys FROM b WHERE y <> ''),
           p AS (SELECT l.doc_id, heading, CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.9 END AS direct, len(list_intersect(xs, ys)) / len(xs)::DOUBLE AS overlap, 2.0 * least(length(x), length(y)) / (length(x) + length(y)) AS bound
@@ -174,7 +174,7 @@ def _made() -> dict[str, str]:
         "title_rules": f"""WITH {LINES}, k AS (SELECT doc_id, ord, {c} AS c FROM lines),
           t AS (SELECT doc_id, min(ord) FILTER (length(c) BETWEEN 20 AND 300 AND NOT contains(lower(c), 'pdftitle') AND NOT starts_with(c, chr(92))) AS title_ord, min(ord) FILTER (length(c) BETWEEN 20 AND 250 AND NOT {_any("lower(c)", classify.TEXT_METADATA)}) AS candidate_ord FROM k GROUP BY doc_id)
           SELECT t.doc_id, md5(c) AS title_md5, title_ord, candidate_ord FROM t LEFT JOIN k ON k.doc_id = t.doc_id AND k.ord = t.title_ord WHERE title_ord IS NOT NULL OR candidate_ord IS NOT NULL""",
-        "front_authors": rf"""WITH {LINES}, n AS (SELECT doc_id, ord, {_clean("CASE ord WHEN 1 THEN 'Ann Lee' || (doc_id % 7) || '* & Bob Ray2, ; ' || substr(text, 1, 12) WHEN 2 THEN 'Department of X' ELSE text END")} AS c FROM lines WHERE ord < 12),
+        "front_authors": rf"""WITH {LINES}, n AS (SELECT doc_id, ord, {_clean("CASE ord WHEN 1 THEN 'Ann Lee' || (doc_id % 7) || '* & Bob Ray2, ; Cy Dee' WHEN 2 THEN 'Department of X' ELSE text END")} AS c FROM lines),
           t AS (SELECT doc_id, min(ord) FILTER (length(c) BETWEEN 20 AND 300 AND NOT contains(lower(c), 'pdftitle') AND NOT starts_with(c, chr(92))) AS t FROM n GROUP BY doc_id),
           a AS (SELECT n.*, {_any("lower(c)", classify.AUTHOR_SKIPS)} AS skip, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS turn FROM n JOIN t USING (doc_id) WHERE t IS NULL OR ord > t),
           s AS (SELECT *, max(((length(c) >= 60 AND len(string_split(c, ' ')) >= 10 AND regexp_matches(c, '[.!?]')) OR (NOT skip AND regexp_matches(c, '(?i)^\s*keywords?\b')))::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stopped FROM a WHERE turn <= 8),
@@ -190,11 +190,11 @@ def _made() -> dict[str, str]:
             CASE WHEN doc_id % 3 = 0 THEN y::INT END AS pdf_year, CASE WHEN regexp_full_match(y, '{year}') THEN y::INT END AS stated_year,
             CASE WHEN doc_id % 3 = 0 THEN y::INT WHEN doc_id % 2 = 1 AND regexp_full_match(y, '{year}') THEN y::INT END AS metadata_year, ({score})::DOUBLE AS length_score FROM d""",
         "text_rules": rf"""WITH d AS (SELECT doc_id, text, doc_id AS i FROM documents),
-          o AS (SELECT doc_id, list_distinct(string_split(lower({_clean("substr(text, 1, 80)")}), ' ')) AS a, list_distinct(string_split(lower({_clean("substr(text, 30, 90)")}), ' ')) AS b FROM d)
+          o AS (SELECT doc_id, list_distinct(string_split(lower({_clean("text")}), ' ')) AS a, list_distinct(string_split(lower({_clean("regexp_replace(text, '[aeiou]', '', 'g')")}), ' ')) AS b FROM d)
           SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(10) || ' ')), lambda s: s <> '')) AS n_sentences,
-            len(string_split(text, chr(10))) + 1 AS n_lines, md5(regexp_replace(lower(substr(text, 1, 40)), '\s+', '', 'g')) AS formula_key, '10.1/x' || i AS doi_key, md5({_clean("substr(text, 1, 30)")}) AS title,
+            len(string_split(text, chr(10))) + 1 AS n_lines, md5(regexp_replace(lower(text), '\s+', '', 'g')) AS formula_key, '10.1/x' || i AS doi_key, md5({_clean("text")}) AS title,
             (i % 5) || '. Some heading' || CASE WHEN i % 5 = i % 3 THEN '' ELSE ' ' || (i % 3) || '.' END AS heading,
-            lower(regexp_extract(regexp_replace({_clean("substr(text, 1, 50)")}, '[^a-zA-Z]+$', ''), '(\S+)$', 1)) AS last_word, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS overlap FROM d JOIN o USING (doc_id)""",
+            lower(regexp_extract(regexp_replace({_clean("text")}, '[^a-zA-Z]+$', ''), '(\S+)$', 1)) AS last_word, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS overlap FROM d JOIN o USING (doc_id)""",
         "registry_update": """WITH f AS (SELECT doc_id, sha256(text) AS h, printf('/in/%09d.pdf', doc_id) AS path FROM documents), o AS (SELECT printf('paper_%03d', doc_id + 1) AS paper_id, doc_id || '.pdf' AS filename, h FROM f WHERE doc_id % 4 = 0),
           m AS (SELECT max(doc_id + 1) AS m FROM f WHERE doc_id % 4 = 0), n AS (SELECT path, h FROM f WHERE h NOT IN (SELECT h FROM o) QUALIFY row_number() OVER (PARTITION BY h ORDER BY path) = 1),
           lowest AS (SELECT h, min(paper_id) AS paper_id FROM o GROUP BY h)
@@ -219,12 +219,12 @@ def _made() -> dict[str, str]:
           num AS (SELECT na.doc_id, sum(least(a, coalesce(b, 0))) / sum(a) AS h FROM na LEFT JOIN nb USING (doc_id, item) GROUP BY na.doc_id),
           ta AS (SELECT doc_id, item, count(*) AS a FROM (SELECT doc_id, unnest({_tokens("tei")}) AS item FROM b) GROUP BY ALL), tb AS (SELECT doc_id, item, count(*) AS b FROM (SELECT doc_id, unnest({_tokens("pdf")}) AS item FROM b) GROUP BY ALL),
           tok AS (SELECT doc_id, 2 * sum(least(coalesce(a, 0), coalesce(b, 0))) / (sum(a) + sum(b)) AS f FROM ta FULL JOIN tb USING (doc_id, item) GROUP BY doc_id),
-          per AS (SELECT doc_id, count(*) AS n, avg((NOT {bad})::INT) FILTER (ord < 3) AS valid, avg((ord % 4 <> 0)::INT) AS assigned, avg((length({_clean("text[1:20]")}) >= 20)::INT) FILTER (ord < 2) AS ref, avg((ord % 3 > 0)::INT) AS coord, max(text) FILTER (ord = 0) AS title FROM k GROUP BY doc_id),
+          per AS (SELECT doc_id, count(*) AS n, avg((NOT {bad})::INT) AS valid, avg((ord % 4 <> 0)::INT) AS assigned, avg((length(c) >= 20)::INT) AS ref, avg((ord % 3 > 0)::INT) AS coord, max(text) FILTER (ord = 0) AS title FROM k GROUP BY doc_id),
           m AS (SELECT doc_id, n, ((doc_id % 2 = 0 AND title <> '')::INT + (source IS NOT NULL)::INT + 1) / 4 AS metadata_integrity, 0.0 AS abstract_integrity, 0.6 * valid + 0.4 * assigned AS structure_integrity, duplication_integrity, ref AS reference_integrity, truncation_integrity,
             CASE WHEN {_clean("tei")} = '' THEN 0.0 ELSE coalesce(h, 0.5) END AS numeric_consistency, coalesce(f, 0.0) AS cross_parser_consistency, contamination_integrity, coord AS coordinate_integrity, 1 - assigned AS orphan
             FROM per JOIN metrics USING (doc_id) JOIN b USING (doc_id) LEFT JOIN num USING (doc_id) LEFT JOIN tok USING (doc_id)), s AS (SELECT *, {weights} AS s FROM m)
           SELECT doc_id, {", ".join(f"round({x}::DOUBLE::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS {x}" for x in WEIGHTS)}, round(s::DOUBLE::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS integrity_score, CASE WHEN s >= 0.85 THEN 'healthy' WHEN s >= 0.70 THEN 'review' ELSE 'poor' END AS status, array_to_string(list_filter([{flags}], lambda x: x IS NOT NULL), ',') AS issues,
-            round(orphan::DOUBLE::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS orphan_paragraph_ratio, least(n, 2)::INT AS n_figures, n::INT AS n_text_blocks, 0 AS n_formulas, least(n, 3)::INT AS tei_sections, n::INT AS tei_paragraphs, least(n, 2)::INT AS tei_references, (least(n, 5) // 2)::INT AS tei_figures, ((least(n, 5) + 1) // 2)::INT AS tei_tables FROM s""",
+            round(orphan::DOUBLE::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE AS orphan_paragraph_ratio, n::INT AS n_figures, n::INT AS n_text_blocks, 0 AS n_formulas, n::INT AS tei_sections, n::INT AS tei_paragraphs, n::INT AS tei_references, (n // 2)::INT AS tei_figures, ((n + 1) // 2)::INT AS tei_tables FROM s""",
     }
 
 

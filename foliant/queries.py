@@ -206,7 +206,7 @@ def layout_order(spark: SparkSession, d: str) -> DataFrame:
 
 def font_stats(spark: SparkSession, d: str) -> DataFrame:
     """Words as spans with made-up sizes and flags: blocks by way of lines, and the body's size."""
-    words = _paragraphs(spark, d).where("ord < 40").select("doc_id", (F.expr("ord div 4")).alias("block_no"), F.col("ord").alias("line_no"), F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("span_no", "text"))
+    words = _paragraphs(spark, d).select("doc_id", (F.expr("ord div 4")).alias("block_no"), F.col("ord").alias("line_no"), F.posexplode(F.split("text", " ")).alias("span_no", "text"))
     size = (8 + (F.col("line_no") + F.col("span_no")) % 5 * 0.55).cast("double")
     spans = words.withColumns({"page_no": F.lit(1), "size": size, "flags": F.col("span_no") * 8}).withColumn("text", F.concat("text", F.lit(" ")))
     by = ("doc_id", "page_no", "block_no")
@@ -227,10 +227,10 @@ def coordinate_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_integrity(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as references: a few first characters as title, some more as raw text, the source as an author."""
+    """Lines as references: some as title, some as raw text, the source as an author."""
     o, t = F.col("ord"), F.col("text")
     docs = read_table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    rows = docs.select("doc_id", F.when(o % 2 == 0, F.substring(t, 1, 8)).alias("title"), F.substring(t, F.lit(9), o % 20).alias("raw"), F.when(o % 3 == 0, F.array("source", "source")).alias("authors"))
+    rows = docs.select("doc_id", F.when(o % 2 == 0, t).alias("title"), F.when(o % 5 == 1, t).alias("raw"), F.when(o % 3 == 0, F.array("source", "source")).alias("authors"))
     out = quality.reference_integrity(rows, "doc_id")
     return out.select("doc_id", F.round("reference_integrity", 6).alias("reference_integrity"))
 
@@ -245,10 +245,10 @@ def structure_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abstract_integrity(spark: SparkSession, d: str) -> DataFrame:
-    """A page's first paragraphs as abstract, in its whole text or, for some pages, in another one or none."""
+    """A page's text as abstract, in its other text or, for some pages, in that without vowels or none."""
     p = F.col("page_id")
-    abstract = F.when(p % 5 == 4, F.lit("")).otherwise(F.substring("tei", 1, 150))
-    pdf = F.when(p % 5 == 0, F.lit("")).when(p % 5 == 1, F.substring("pdf", 80, 200)).otherwise(F.col("pdf"))
+    abstract = F.when(p % 5 == 4, F.lit("")).otherwise(F.col("tei"))
+    pdf = F.when(p % 5 == 0, F.lit("")).when(p % 5 == 1, F.regexp_replace("pdf", "[aeiou]", "")).otherwise(F.col("pdf"))
     out = quality.abstract_integrity(_page_pairs(spark, d).select("page_id", abstract.alias("abstract"), pdf.alias("pdf")), "page_id")
     return out.select("page_id", F.round("abstract_integrity", 6).alias("abstract_integrity"))
 
@@ -262,13 +262,13 @@ def abstract_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artifact_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Beginnings of lines as formulas, references, headings and figures: what is left of each by first wins."""
+    """Lines as formulas, references, headings and figures: what is left of each by first wins."""
     rows = _paragraphs(spark, d).withColumn("page", F.col("ord") % 3)
     o, t = F.col("ord"), F.col("text")
-    formulas = canonical.formulas(rows.select("doc_id", "ord", "page", F.substring(t, 1, 6).alias("text")), "doc_id")
-    references = canonical.references(rows.select("doc_id", "ord", F.substring(t, 1, 3).alias("title"), F.when(o % 2 == 0, F.substring(t, 1, 18)).alias("raw")), "doc_id")
+    formulas = canonical.formulas(rows.select("doc_id", "ord", "page", t.alias("text")), "doc_id")
+    references = canonical.references(rows.select("doc_id", "ord", t.alias("title"), F.when(o % 2 == 0, t).alias("raw")), "doc_id")
     sections = canonical.sections(rows.where(F.length(t) <= 60).select("doc_id", "ord", t.alias("heading")), "doc_id")
-    figures = canonical.artifacts(rows.select("doc_id", "ord", "page", F.lit("figure").alias("type"), F.substring(t, 1, 2).alias("label"), F.lit("").alias("caption")), "doc_id")
+    figures = canonical.artifacts(rows.select("doc_id", "ord", "page", F.lit("figure").alias("type"), t.alias("label"), F.lit("").alias("caption")), "doc_id")
     kept = [f.select("doc_id", "ord", F.lit(k).alias("kind"), name.alias("name")) for k, f, name in (("formula", formulas, F.col("formula_id")), ("reference", references, F.lit("")), ("section", sections, F.lit("")), ("figure", figures, F.lit("")))]
     return reduce(DataFrame.unionByName, kept)
 
@@ -294,8 +294,8 @@ def title_rules(spark: SparkSession, d: str) -> DataFrame:
 def front_authors(spark: SparkSession, d: str) -> DataFrame:
     """Names at the beginning of documents whose second line is made to hold some."""
     o = F.col("ord")
-    head = F.when(o == 1, F.concat(F.lit("Ann Lee"), F.col("doc_id") % 7, F.lit("* & Bob Ray2, ; "), F.substring("text", 1, 12))).when(o == 2, F.lit("Department of X")).otherwise(F.col("text"))
-    nodes = _paragraphs(spark, d).where("ord < 12").select("doc_id", "ord", head.alias("text"))
+    head = F.when(o == 1, F.concat(F.lit("Ann Lee"), F.col("doc_id") % 7, F.lit("* & Bob Ray2, ; Cy Dee"))).when(o == 2, F.lit("Department of X")).otherwise(F.col("text"))
+    nodes = _paragraphs(spark, d).select("doc_id", "ord", head.alias("text"))
     return regions.front_authors(nodes, "doc_id").select("doc_id", F.array_join("authors", "|").alias("authors"))
 
 
@@ -335,22 +335,22 @@ def text_rules(spark: SparkSession, d: str) -> DataFrame:
         "doc_id",
         F.size(text.plain_sentences(t)).alias("n_sentences"),
         F.size(text.lines(F.concat(t, F.lit("\r\nx\n")))).alias("n_lines"),
-        F.md5(text.formula_key(F.substring(t, 1, 40))).alias("formula_key"),
+        F.md5(text.formula_key(t)).alias("formula_key"),
         text.doi_key(F.concat(F.when(i % 3 == 0, F.lit(" https://doi.org/")).when(i % 3 == 1, F.lit("DOI:")).otherwise(F.lit("")), F.lit("10.1/X"), i)).alias("doi_key"),
-        F.md5(text.title_text(F.concat(F.substring(t, 1, 30), F.lit("†‡ ")))).alias("title"),
+        F.md5(text.title_text(F.concat(t, F.lit("†‡ ")))).alias("title"),
         text.heading_text(F.concat(i % 5, F.lit(". Some  heading "), i % 3, F.lit("."))).alias("heading"),
-        text.last_word(F.substring(t, 1, 50)).alias("last_word"),
-        F.round(token_overlap(F.substring(t, 1, 80), F.substring(t, 30, 90)), 6).alias("overlap"),
+        text.last_word(t).alias("last_word"),
+        F.round(token_overlap(t, F.regexp_replace(t, "[aeiou]", "")), 6).alias("overlap"),
     )
 
 
 def layout_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every third line as a paragraph's text, the first words of others as headings; the lines, each with a word more at times, as layout
+    """Every third line as a paragraph's text, others behind a number as headings; the lines, each with a word more at times, as layout
     blocks: pairs of distinct texts that can match, by how they are scored."""
     rows, o = _paragraphs(spark, d), F.col("ord")
     blocks = rows.select("doc_id", F.when(o % 5 == 2, F.concat(F.lit("Fig "), "text")).otherwise(F.col("text")).alias("text"), F.when(o % 2 == 0, "section_header").otherwise("text").alias("label"))
     found = []
-    for heading, targets in ((False, rows.where(o % 3 == 0)), (True, rows.where(o % 3 == 1).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 4), " ")))):
+    for heading, targets in ((False, rows.where(o % 3 == 0)), (True, rows.where(o % 3 == 1).withColumn("text", F.concat(F.lit("2 "), "text")))):
         found.append(canonical.layout_pairs(targets, blocks, heading, "doc_id").withColumn("heading", F.lit(heading)))
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "heading").agg(
         F.count_if(F.col("direct") == 1.0).alias("n_equal"),
@@ -382,7 +382,7 @@ def layout_tree(spark: SparkSession, d: str) -> DataFrame:
     o, n = F.col("ord"), F.length("text")
     box = F.struct(F.lit(1.0).alias("l"), (n + 2.0).alias("t"), (o + 3.0).alias("r"), F.lit(2.0).alias("b"))
     prov = F.array(F.struct(F.when(o % 5 != 0, o % 4 + 1).alias("page_no"), box.alias("bbox")))
-    node = F.struct(F.when(o % 3 != 0, F.substring("text", 1, 20)).alias("text"), F.lit("orig").alias("orig"), F.when(o % 4 == 0, F.lit("formula")).otherwise(F.lit("text")).alias("label"), prov.alias("prov"))
+    node = F.struct(F.when(o % 3 != 0, F.col("text")).alias("text"), F.lit("orig").alias("orig"), F.when(o % 4 == 0, F.lit("formula")).otherwise(F.lit("text")).alias("label"), prov.alias("prov"))
     trees = _paragraphs(spark, d).groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list(node).alias("texts"))).alias("json"))
     out = files.layout_artifacts(trees)
     coords = F.flatten(F.transform("text_blocks", lambda b: b["coords"]))
@@ -441,14 +441,14 @@ def integrity_evaluation(spark: SparkSession, d: str) -> DataFrame:
         F.lit(2024).alias("year"),
         F.lit(None).cast("string").alias("doi"),
         F.lit(None).cast("string").alias("abstract"),
-        F.transform(F.slice(lines, 1, 3), lambda x: F.struct(x.alias("heading"))).alias("sections"),
+        F.transform(lines, lambda x: F.struct(x.alias("heading"))).alias("sections"),
         F.transform(lines, lambda x, i: F.struct(x.alias("text"), section(i).alias("section"))).alias("paragraphs"),
-        F.transform(F.slice(lines, 1, 2), lambda x: F.struct(F.substring(x, 1, 20).alias("title"), F.lit(None).cast("array<string>").alias("authors"), F.lit("").alias("raw"))).alias("references"),
-        F.transform(F.slice(lines, 1, 5), lambda x, i: F.struct(F.when(i % 2 == 0, F.lit("table")).otherwise(F.lit("figure")).alias("type"))).alias("figures"),
+        F.transform(lines, lambda x: F.struct(x.alias("title"), F.lit(None).cast("array<string>").alias("authors"), F.lit("").alias("raw"))).alias("references"),
+        F.transform(lines, lambda x, i: F.struct(F.when(i % 2 == 0, F.lit("table")).otherwise(F.lit("figure")).alias("type"))).alias("figures"),
     )
     coord = lambda i: F.array(F.struct(F.lit(1).alias("page"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (i % 3).cast("double").alias("w"), F.lit(1.0).alias("h")))
     blocks = F.transform(lines, lambda x, i: F.struct(coord(i).alias("coords")))
-    artifacts = F.struct(F.slice(lines, 1, 2).alias("figures"), F.slice(lines, 1, 1).alias("tables"), F.lit(None).cast("array<string>").alias("formulas"), blocks.alias("text_blocks"))
+    artifacts = F.struct(lines.alias("figures"), lines.alias("tables"), F.lit(None).cast("array<string>").alias("formulas"), blocks.alias("text_blocks"))
     records = docs.select("doc_id", tei.alias("tei"), F.col("text").alias("pdf_text"), artifacts.alias("artifacts"))
     out = quality.evaluate(records, "doc_id")
     return out.select("doc_id", "integrity_score", "status", F.array_join("issues", ",").alias("issues"), *quality.WEIGHTS, "orphan_paragraph_ratio", *[F.col(f"artifact_counts.{c}").alias(f"n_{c}") for c in ("figures", "text_blocks", "formulas")], *[F.col(f"extraction_counts.{c}").alias(f"tei_{c}") for c in ("sections", "paragraphs", "references", "figures", "tables")])
