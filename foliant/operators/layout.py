@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import classify
+from foliant.functions.similarity import line_text
 from foliant.functions.text import AUDIT_NUMBER, block_key, block_text, clean
 from foliant.operators.dedup import first_wins
 
@@ -22,11 +23,11 @@ def page_order() -> list[Column]:
 
 
 def spans_to_lines(spans: DataFrame, by: tuple[str, ...] = ("paper_id", "page_no", "block_no", "line_no")) -> DataFrame:
-    """Lines of spans(…, span_no, text, size, flags): texts joined, largest size (1 place), bold if any span is."""
+    """Lines of spans(…, span_no, text, size, flags): texts joined and composed, largest size (1 place), bold if any span is."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "")
     bold = F.bool_or((F.shiftright(F.col("flags"), BOLD_BIT).bitwiseAND(1)) == 1)
     lines = spans.groupBy(*by).agg(text.alias("text"), F.round(F.max("size"), 1).alias("font_size"), bold.alias("is_bold"))
-    return lines.withColumn("text", clean("text")).where("text <> ''")
+    return lines.withColumn("text", line_text(F.col("text"))).where("text <> ''")
 
 
 def lines_to_blocks(lines: DataFrame, by: tuple[str, ...] = ("paper_id", "page_no", "block_no")) -> DataFrame:

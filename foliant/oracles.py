@@ -151,6 +151,14 @@ def _made() -> dict[str, str]:
           UNION ALL (SELECT doc_id, ord, kind, name FROM q WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) = 1)
           UNION ALL (SELECT doc_id, ord, 'section', '' FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1)
           UNION ALL (SELECT doc_id, ord, 'figure', '' FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, {_clean("text")}, page ORDER BY ord) = 1)""",
+        "page_blocks": rf"""WITH {LINES}, b AS (SELECT doc_id, ord, ord // 7 + 1 AS page, length(text) % 6 * 90 AS x0, 60 + ord * 37 % 11 * 60 AS y0, trim(regexp_replace(text, '[ \t]+', ' ', 'g')) AS t FROM lines),
+          k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(t), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', '', 'g')) AS key FROM b WHERE t <> '' AND NOT regexp_matches(lower(trim(t)), '^(?:{'|'.join(classify.HEADER_FOOTER)})') AND NOT (regexp_full_match(trim(t), '\d+') AND (y0 < 60 OR y0 + 20 > 760))),
+          f AS (SELECT * FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, page, key ORDER BY ord) = 1),
+          p AS (SELECT doc_id, page, string_agg(t, chr(10) ORDER BY y0, x0, ord) AS t FROM f GROUP BY doc_id, page)
+          SELECT doc_id, count(*)::INTEGER AS num_pages, md5(string_agg(t, chr(10) || chr(10) ORDER BY page)) AS text_md5 FROM p GROUP BY doc_id""",
+        "layout_passes": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), f AS (SELECT doc_id, count(*)::INTEGER AS n, (count(*) FILTER (regexp_matches(x, '[0-9]')))::INTEGER AS m, sum(length(x))::INTEGER AS c FROM l GROUP BY doc_id),
+          e AS (SELECT *, CASE WHEN doc_id % 40 = 3 THEN 'ValueError' WHEN doc_id % 40 = 5 AND m > 0 THEN 'TimeoutError' END AS error FROM f)
+          SELECT doc_id, CASE WHEN error IS NULL THEN n END AS n_blocks, CASE WHEN error IS NULL THEN m END AS n_formulas, CASE WHEN error IS NULL THEN c + 2 * m END AS n_chars, error IS NULL AND m > 0 AS enriched, error FROM e""",
         "layout_pairs": f"""WITH {LINES},
           t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("'2 ' || text")}) FROM lines WHERE ord % 3 = 1),
           b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),

@@ -6,6 +6,7 @@ two parsers of one paper.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +18,7 @@ from foliant.functions.similarity import token_overlap, without_near_sentences
 from foliant.functions.text import block_key, block_text, clean, let, normalize, numbers, sentence_key, sentences, tokens, without_publisher_text
 from foliant.operators import benchmark, canonical, chunk, dedup, layout, quality, regions
 from foliant.operators.regions import carry_forward, folded_references
-from foliant.sources import files, sinks
+from foliant.sources import files, service, sinks
 from foliant.sources.tables import read_spread as read_table
 
 METRICS = ("duplication_integrity", "contamination_integrity", "truncation_integrity")
@@ -215,6 +216,15 @@ def font_stats(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("doc_id", "block_no", F.md5("text").alias("text_md5"), F.round("font_size", 1).alias("font_size"), "is_bold", F.round("body_font_size", 3).alias("body_font_size"))
 
 
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as blocks of made-up places on pages of seven: each document's text, without headers and repeats, in reading order."""
+    o, n = F.col("ord"), F.length("text")
+    rows = _paragraphs(spark, d).select("doc_id", "ord", "text", F.expr("ord div 7 + 1").alias("page_no"), (n % 6 * 90).cast("double").alias("x0"), (60 + o * 37 % 11 * 60).cast("double").alias("y0"))
+    blocks = rows.withColumns({"x1": F.col("x0") + 80, "y1": F.col("y0") + 20})
+    out = layout.paper_texts(layout.page_texts(blocks, "doc_id"), "doc_id")
+    return out.select("doc_id", "num_pages", F.md5("text").alias("text_md5"))
+
+
 def coordinate_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Lines as blocks, each with a made-up coordinate record whose keys have either names."""
     o, n = F.col("ord"), F.length("text")
@@ -367,6 +377,30 @@ def paragraph_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(F.length("x")).alias("n_expected"), F.sum(F.length("y")).alias("n_actual"))
 
 
+def _made_up_layout(path: str, content: bytes) -> str:
+    """A layout service's cheap answer: each line a text, those with a digit formulas; it fails on some files."""
+    if int(path) % 40 == 3:
+        raise ValueError("no layout")
+    return json.dumps({"texts": [{"text": x, "label": "formula" if any("0" <= c <= "9" for c in x) else "text"} for x in content.decode().split("\n")]})
+
+
+def _made_up_formulas(path: str, content: bytes) -> str:
+    """An expensive answer, with formulas spelled out."""
+    if int(path) % 40 == 5:
+        raise TimeoutError("too slow")
+    tree = json.loads(_made_up_layout(path, content))
+    return json.dumps({"texts": [t | {"text": f"${t['text']}$"} if t["label"] == "formula" else t for t in tree["texts"]]})
+
+
+def layout_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of two made-up layout services: the trees of the cheap one, or where it found formulas of the other one."""
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    out = files.layout_artifacts(service.layout_passes(docs, _made_up_layout, _made_up_formulas))
+    size = lambda c: F.when(F.col("error").isNull(), c)
+    chars = F.aggregate("text_blocks", F.lit(0), lambda n, b: n + F.length(b["text"]))
+    return out.select(F.col("path").cast("long").alias("doc_id"), size(F.size("text_blocks")).alias("n_blocks"), size(F.size("formulas")).alias("n_formulas"), size(chars).alias("n_chars"), F.col("formula_enrichment_ran").alias("enriched"), F.split("error", ":")[0].alias("error"))
+
+
 def registry_update(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files: those of new hashes are numbered on, the others' records lose their error."""
     docs = read_table(spark, d, "documents")
@@ -461,6 +495,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         conversation_carry_forward, section_segmentation, run_counters, sentence_split, chunk_packing, near_duplicate_sentences, normalized_text,
         benchmark_coverage, greedy_list_f1, reference_folding, layout_order, font_stats, coordinate_integrity, reference_integrity, structure_integrity,
         abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
-        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs,
+        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks,
     )
     return {f.__name__: f for f in listed}

@@ -1,4 +1,4 @@
-"""The boundary to services that turn PDFs into TEI: a client of the caller's is run on the executors, file by file."""
+"""The boundary to services that turn PDFs into TEI or layout trees: a client of the caller's is run on the executors, file by file."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliant.plans.scratch import materialize
+from foliant.sources.files import with_formula_regions
 
 # The service's paths and the form fields of a request.
 ALIVE, FULL_TEXT = "/api/isalive", "/api/processFulltextDocument"
@@ -47,10 +51,30 @@ def tei_of(files: DataFrame, send: Callable[[str, bytes], str]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, xml string, error string")
 
 
+def _answers(files: DataFrame, send: Callable[[str, bytes], str]) -> DataFrame:
+    """(path, json, error): tei_of() for services whose answers are layout trees."""
+    return tei_of(files, send).withColumnRenamed("xml", "json")
+
+
+def layout_passes(files: DataFrame, light: Callable[[str, bytes], str], heavy: Callable[[str, bytes], str] | None = None) -> DataFrame:
+    """(path, json, formula_enrichment_ran, error) of files(path, content): the layout tree of each, by a cheap pass over all and, where that
+    has found formula regions and `heavy` is given, by an expensive one instead.
+
+    The first pass is written once, so neither branch runs it again; only files of the second one have their content read again, dealt to
+    all tasks by path. A file that either pass fails has an error and no tree, and stops no other. Paths are distinct.
+    """
+    first = _answers(files, light).withColumn("formula_enrichment_ran", F.lit(False))
+    if heavy is None:
+        return first.select("path", "json", "formula_enrichment_ran", "error")
+    first = materialize(first, "layout")
+    formulas = with_formula_regions(first.where("json is not null")).select("path")
+    again = _answers(files.join(formulas, "path", "left_semi").repartition("path"), heavy).withColumn("formula_enrichment_ran", F.col("error").isNull())
+    rest = first.join(formulas, "path", "left_anti")
+    return rest.unionByName(again).select("path", "json", "formula_enrichment_ran", "error")
+
+
 def outcomes(files: DataFrame, answers: DataFrame, known: DataFrame) -> DataFrame:
     """(path, outcome, error) of files(path, file_hash): skipped where known has the hash, else failed or extracted as in answers."""
-    from pyspark.sql import functions as F
-
     seen = known.select("file_hash").where("file_hash is not null").distinct().withColumn("_seen", F.lit(True))
     rows = files.select("path", "file_hash").join(seen, "file_hash", "left").join(answers.select("path", "error", F.lit(True).alias("_done")), "path", "left")
     outcome = F.when(F.col("_seen"), "skipped").when(F.col("_done") & F.col("error").isNull(), "extracted").otherwise("failed")

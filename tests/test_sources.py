@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions.similarity import line_text
 from foliant.operators import dedup
 from foliant.sources import files, registry, service
 
@@ -114,3 +115,30 @@ def test_an_unfinished_version(spark, tmp_path, monkeypatch):
         registry.write_registry(spark.range(2), root, 1)
     monkeypatch.setattr(registry, "STALE", -1)
     assert registry.write_registry(spark.range(2), root, 1) == 2 and registry.read_registry(spark, root)[0].count() == 2
+
+
+def test_layout_passes(spark):
+    calls = {"a": '{"texts": [{"text": "x", "label": "formula"}]}', "b": '{"texts": [{"text": "y", "label": "text"}]}', "c": '{"texts": [{"text": "z", "label": "display_formula"}]}'}
+
+    def light(path, content):
+        if path == "d":
+            raise OSError("unreadable")
+        return calls[path]
+
+    def heavy(path, content):
+        if path == "c":
+            raise TimeoutError("slow")
+        assert path == "a" and bytes(content) == b"pdf"
+        return '{"texts": [{"text": "$x$", "label": "formula"}]}'
+
+    pdfs = spark.createDataFrame([(p, b"pdf") for p in "abcd"], "path string, content binary")
+    got = {r.path: (r.json, r.formula_enrichment_ran, r.error) for r in service.layout_passes(pdfs, light, heavy).collect()}
+    assert got["a"] == ('{"texts": [{"text": "$x$", "label": "formula"}]}', True, None) and got["b"] == (calls["b"], False, None)
+    assert got["c"] == (None, False, "TimeoutError: slow") and got["d"] == (None, False, "OSError: unreadable")
+    assert not any(r.formula_enrichment_ran for r in service.layout_passes(pdfs, light).collect())
+    assert service.layout_passes(pdfs.where("false"), light, heavy).count() == 0
+
+
+def test_line_text(spark):
+    df = spark.createDataFrame([(" Results and discussion ﬁx ",), ("",), (None,)], "t string")
+    assert [r.t for r in df.select(line_text(F.col("t")).alias("t")).collect()] == ["Results and discussion fix", "", ""]
