@@ -159,6 +159,8 @@ def _made() -> dict[str, str]:
         "layout_passes": """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), f AS (SELECT doc_id, count(*)::INTEGER AS n, (count(*) FILTER (regexp_matches(x, '[0-9]')))::INTEGER AS m, sum(length(x))::INTEGER AS c FROM l GROUP BY doc_id),
           e AS (SELECT *, CASE WHEN doc_id % 40 = 3 THEN 'ValueError' WHEN doc_id % 40 = 5 AND m > 0 THEN 'TimeoutError' END AS error FROM f)
           SELECT doc_id, CASE WHEN error IS NULL THEN n END AS n_blocks, CASE WHEN error IS NULL THEN m END AS n_formulas, CASE WHEN error IS NULL THEN c + 2 * m END AS n_chars, error IS NULL AND m > 0 AS enriched, error FROM e""",
+        "cleaning_outcomes": """WITH e AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS n, CASE doc_id % 50 WHEN 1 THEN 'no layout tree' WHEN 2 THEN 'broken layout tree' WHEN 3 THEN 'a layout tree without texts' WHEN 4 THEN 'no filename' WHEN 5 THEN 'no result' END AS error FROM documents)
+          SELECT doc_id, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS outcome, error, CASE WHEN error IS NULL THEN n END AS n_blocks, error IS NOT NULL AS again FROM e""",
         "layout_pairs": f"""WITH {LINES},
           t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("'2 ' || text")}) FROM lines WHERE ord % 3 = 1),
           b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),

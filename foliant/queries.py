@@ -18,6 +18,7 @@ from foliant.functions.similarity import token_overlap, without_near_sentences
 from foliant.functions.text import block_key, block_text, clean, let, normalize, numbers, sentence_key, sentences, tokens, without_publisher_text
 from foliant.operators import benchmark, canonical, chunk, dedup, layout, quality, regions
 from foliant.operators.regions import carry_forward, folded_references
+from foliant.plans import outcomes
 from foliant.sources import files, service, sinks
 from foliant.sources.tables import read_spread as read_table
 
@@ -401,6 +402,19 @@ def layout_passes(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("path").cast("long").alias("doc_id"), size(F.size("text_blocks")).alias("n_blocks"), size(F.size("formulas")).alias("n_formulas"), size(chars).alias("n_chars"), F.col("formula_enrichment_ran").alias("enriched"), F.split("error", ":")[0].alias("error"))
 
 
+def cleaning_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as parsed papers, some of them bad: what became of each, and which of them a second run takes up again."""
+    i = F.col("doc_id")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(x.alias("text"), F.lit("text").alias("label")))
+    tree = F.to_json(F.struct(lines.alias("texts")))
+    tree = F.when(i % 50 == 1, F.lit(None)).when(i % 50 == 2, F.concat(F.lit("<"), tree)).when(i % 50 == 3, F.lit("{}")).otherwise(tree)
+    papers = read_table(spark, d, "documents").select("doc_id", F.when(i % 50 != 4, F.concat(i, F.lit(".pdf"))).alias("filename"), tree.alias("json"))
+    results, found = outcomes.isolated(papers, lambda rows: files.layout_artifacts(rows).where("doc_id % 50 <> 5"), outcomes.cleaning_rules("doc_id"), "clean", "doc_id")
+    again = outcomes.to_do(papers, found, "clean", True, "doc_id").select("doc_id", F.lit(True).alias("again"))
+    sizes = results.select("doc_id", F.size("text_blocks").alias("n_blocks"))
+    return found.join(sizes, "doc_id", "left").join(again, "doc_id", "left").select("doc_id", "outcome", "error", "n_blocks", F.coalesce("again", F.lit(False)).alias("again"))
+
+
 def registry_update(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files: those of new hashes are numbered on, the others' records lose their error."""
     docs = read_table(spark, d, "documents")
@@ -495,6 +509,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         conversation_carry_forward, section_segmentation, run_counters, sentence_split, chunk_packing, near_duplicate_sentences, normalized_text,
         benchmark_coverage, greedy_list_f1, reference_folding, layout_order, font_stats, coordinate_integrity, reference_integrity, structure_integrity,
         abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
-        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks,
+        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks, cleaning_outcomes,
     )
     return {f.__name__: f for f in listed}

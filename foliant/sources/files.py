@@ -16,6 +16,7 @@ TEI = f"struct<title:string,authors:array<string>,year:int,doi:string,abstract:s
 BOX = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
 PROV = f"array<struct<page_no:int,bbox:{BOX}>>"
 LAYOUT = f"struct<texts:array<struct<text:string,orig:string,label:string,prov:{PROV}>>,pictures:array<struct<children:array<struct<text:string>>,prov:{PROV}>>,tables:array<struct<prov:{PROV}>>>"
+AUDIT = "metadata struct<title:string,author:string,subject:string,keywords:string,creator:string,producer:string,creation_date:string,modification_date:string>, num_pages int, pages array<struct<page_no:int,blocks:array<struct<block_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>>>"
 _NS = "{http://www.tei-c.org/ns/1.0}"
 
 
@@ -230,6 +231,20 @@ def with_formula_regions(trees: DataFrame, tree: str = "json") -> DataFrame:
     return trees.where(F.exists(F.from_json(tree, LAYOUT)["texts"], lambda t: F.coalesce(t["label"], F.lit("")).contains("formula")))
 
 
+def audit_blocks(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(papers, blocks) of stored PDF audits, `<paper_id>.json`, one document a file: papers(paper_id, metadata, num_pages) and
+    blocks(paper_id, page_no, block_no, x0, y0, x1, y1, text), as plans.papers.audit_documents() takes them.
+
+    The schema is given, so nothing is read to infer it; a file is one split, read by the tasks from any store that Spark reads, and of the top-level
+    fields only those that a query uses are parsed. A file that is no JSON has a row in papers with null fields, and no blocks.
+    """
+    rows = spark.read.schema(AUDIT).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(root)
+    rows = rows.withColumn("paper_id", F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.json", 1))
+    papers = rows.select("paper_id", "metadata", "num_pages")
+    blocks = rows.select("paper_id", F.explode("pages").alias("p")).select("paper_id", "p.page_no", F.explode("p.blocks").alias("b")).select("paper_id", "page_no", "b.*")
+    return papers, blocks
+
+
 def quality_reports(spark: SparkSession, root: str) -> DataFrame:
     """Stored quality reports, one row each, with paper_id from the file name."""
     rows = spark.read.option("multiLine", True).option("pathGlobFilter", "*_quality.json").json(root)
