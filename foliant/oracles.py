@@ -161,6 +161,12 @@ def _made() -> dict[str, str]:
           SELECT doc_id, CASE WHEN error IS NULL THEN n END AS n_blocks, CASE WHEN error IS NULL THEN m END AS n_formulas, CASE WHEN error IS NULL THEN c + 2 * m END AS n_chars, error IS NULL AND m > 0 AS enriched, error FROM e""",
         "cleaning_outcomes": """WITH e AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS n, CASE doc_id % 50 WHEN 1 THEN 'no layout tree' WHEN 2 THEN 'broken layout tree' WHEN 3 THEN 'a layout tree without texts' WHEN 4 THEN 'no filename' WHEN 5 THEN 'no result' END AS error FROM documents)
           SELECT doc_id, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS outcome, error, CASE WHEN error IS NULL THEN n END AS n_blocks, error IS NOT NULL AS again FROM e""",
+        "page_abstracts": rf"""WITH {LINES}, m AS (SELECT doc_id, ord, trim(CASE WHEN ord % 6 = 1 THEN '1 Department of ' || text WHEN ord % 6 = 2 THEN 'Lee2 ' || text WHEN ord % 6 = 5 AND doc_id % 3 = 0 THEN '2.1 ' || text WHEN ord % 6 = 4 AND doc_id % 3 = 1 THEN ' Keywords ' || text ELSE text END) AS t FROM lines WHERE ord < 40),
+          h AS (SELECT doc_id, min(ord) AS title FROM m WHERE length({_clean("t")}) BETWEEN 20 AND 250 AND NOT {_any("lower(t)", classify.TEXT_METADATA)} GROUP BY doc_id),
+          a AS (SELECT m.* FROM m JOIN h USING (doc_id) WHERE t <> '' AND ord > title AND NOT (length(t) <= 300 AND regexp_matches(t, '[A-Z][a-z]+\d')) AND NOT {_any("lower(t)", classify.BLOCK_AFFILIATION)}),
+          s AS (SELECT *, max((starts_with(lower(t), 'keywords') OR regexp_matches(t, '^[0-9]+(?:\.[0-9]+)*\.?\s+'))::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stopped FROM a),
+          g AS (SELECT doc_id, string_agg(t, ' ' ORDER BY ord) AS abstract FROM s WHERE stopped = 0 AND length(t) >= 60 GROUP BY doc_id)
+          SELECT doc_id, md5(abstract) AS abstract_md5, length(abstract)::INTEGER AS n_chars FROM g""",
         "layout_pairs": f"""WITH {LINES},
           t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("'2 ' || text")}) FROM lines WHERE ord % 3 = 1),
           b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),

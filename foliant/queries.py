@@ -310,6 +310,14 @@ def front_authors(spark: SparkSession, d: str) -> DataFrame:
     return regions.front_authors(nodes, "doc_id").select("doc_id", F.array_join("authors", "|").alias("authors"))
 
 
+def page_abstracts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as blocks of a first page, some made affiliations, authors, headings or keywords: what is its abstract."""
+    o, t = F.col("ord"), F.col("text")
+    made = F.when(o % 6 == 1, F.concat(F.lit("1 Department of "), t)).when(o % 6 == 2, F.concat(F.lit("Lee2 "), t)).when((o % 6 == 5) & (F.col("doc_id") % 3 == 0), F.concat(F.lit("2.1 "), t)).when((o % 6 == 4) & (F.col("doc_id") % 3 == 1), F.concat(F.lit(" Keywords "), t)).otherwise(t)
+    out = regions.page_abstract(_paragraphs(spark, d).select("doc_id", "ord", made.alias("text"), F.when(o < 40, 1).otherwise(2).alias("page_no")), "doc_id")
+    return out.select("doc_id", F.md5("abstract").alias("abstract_md5"), F.length("abstract").alias("n_chars"))
+
+
 def person_and_front_matter(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
     return _paragraphs(spark, d).groupBy("doc_id").agg(
@@ -509,6 +517,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         conversation_carry_forward, section_segmentation, run_counters, sentence_split, chunk_packing, near_duplicate_sentences, normalized_text,
         benchmark_coverage, greedy_list_f1, reference_folding, layout_order, font_stats, coordinate_integrity, reference_integrity, structure_integrity,
         abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
-        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks, cleaning_outcomes,
+        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks, cleaning_outcomes, page_abstracts,
     )
     return {f.__name__: f for f in listed}
