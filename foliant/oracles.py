@@ -167,6 +167,9 @@ def _made() -> dict[str, str]:
           s AS (SELECT *, max((starts_with(lower(t), 'keywords') OR regexp_matches(t, '^[0-9]+(?:\.[0-9]+)*\.?\s+'))::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stopped FROM a),
           g AS (SELECT doc_id, string_agg(t, ' ' ORDER BY ord) AS abstract FROM s WHERE stopped = 0 AND length(t) >= 60 GROUP BY doc_id)
           SELECT doc_id, md5(abstract) AS abstract_md5, length(abstract)::INTEGER AS n_chars FROM g""",
+        "metadata_scores": f"""SELECT doc_id, round((CASE WHEN doc_id % 3 = 0 OR {c} = '' THEN 0 ELSE 1 END + (CASE WHEN doc_id % 4 <> 0 THEN 1990 + doc_id % 4 END IS NOT DISTINCT FROM CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 1 THEN 1991 ELSE 1990 + doc_id % 5 END)::INT
+          + (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)::INT + doc_id % 6 / 6) / 4, 6)::DOUBLE AS metadata FROM documents""",
+        "provenance_rules": f"""WITH {LINES}, b AS (SELECT *, length(text) % 9 <> 0 AND length(text) % 4 > ord % 3 AND length(text) % 7 > ord % 5 AS box FROM lines) SELECT doc_id, count(*) FILTER (box AND ord % 6 <> 0) AS n_valid, count(*) FILTER (box) AS n_boxes FROM b GROUP BY doc_id""",
         "layout_pairs": f"""WITH {LINES},
           t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("'2 ' || text")}) FROM lines WHERE ord % 3 = 1),
           b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),

@@ -485,6 +485,31 @@ def accuracy_scores(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", *[F.round(c, 6).alias(c) for c in ("tables", "figures", "sections")], F.round(benchmark.overall(), 6).alias("overall"))
 
 
+def metadata_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' texts as titles, some of them missing or with other white space on one side, with made-up years and identifiers."""
+    i, t = F.col("doc_id"), F.col("text")
+    rows = read_table(spark, d, "documents").select(
+        "doc_id",
+        t.alias("title"),
+        F.when(i % 3 == 0, F.lit("")).when(i % 3 == 1, F.concat(F.lit("  "), t)).otherwise(F.concat(t, F.lit(" \n"))).alias("expected_title"),
+        F.when(i % 4 != 0, 1990 + i % 4).alias("year"),
+        F.when(i % 8 != 0, F.when(i % 8 == 1, F.lit(1991)).otherwise(1990 + i % 5)).alias("expected_year"),
+        F.when(i % 5 != 0, F.concat(F.lit("https://doi.org/10.1/"), i)).alias("doi"),
+        F.when(i % 7 != 0, F.concat(F.lit("10.1/"), i + (i % 11 == 0).cast("int"))).otherwise(F.lit("")).alias("expected_doi"),
+    )
+    return rows.select("doc_id", F.round(benchmark.metadata_score(i % 6 / 6), 6).alias("metadata"))
+
+
+def provenance_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as layout nodes with made-up provenance: how many have a page and a box with an area."""
+    o, n = F.col("ord"), F.length("text")
+    number = lambda c: c.cast("double")
+    box = F.struct(number(o % 3).alias("l"), number(n % 7).alias("t"), number(n % 4).alias("r"), number(o % 5).alias("b"))
+    prov = F.struct(F.when(o % 6 != 0, o % 4).alias("page_no"), F.when(n % 9 != 0, box).alias("bbox"))
+    rows = _paragraphs(spark, d).select("doc_id", prov.alias("p"))
+    return rows.groupBy("doc_id").agg(F.count_if(classify.valid_provenance(F.col("p"))).alias("n_valid"), F.count_if(classify.valid_box(F.col("p.bbox"))).alias("n_boxes"))
+
+
 def integrity_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """The whole report of documents as papers: lines are paragraphs, and blocks with coordinates; what a plain text
     doesn't have is made of it."""
@@ -517,6 +542,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         conversation_carry_forward, section_segmentation, run_counters, sentence_split, chunk_packing, near_duplicate_sentences, normalized_text,
         benchmark_coverage, greedy_list_f1, reference_folding, layout_order, font_stats, coordinate_integrity, reference_integrity, structure_integrity,
         abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
-        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks, cleaning_outcomes, page_abstracts,
+        text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks, cleaning_outcomes, page_abstracts, metadata_scores, provenance_rules,
     )
     return {f.__name__: f for f in listed}
