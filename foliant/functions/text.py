@@ -129,12 +129,12 @@ def numbers(c: Column | str) -> Column:
 def sentences(c: Column | str) -> Column:
     """Parts after . ! or ? and white space, before an ASCII capital or digit."""
     parts = F.split(F.coalesce(_col(c), F.lit("")), rf"(?<=[.!?]){WS}+(?=[A-Z0-9])")
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != "")
 
 
 def plain_sentences(c: Column | str) -> Column:
     """Parts after . ! or ? and white space."""
-    return F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), rf"(?<=[.!?]){WS}+"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), rf"(?<=[.!?]){WS}+"), lambda x: strip(x)), lambda x: x != "")
 
 
 def lines(c: Column | str) -> Column:
@@ -160,7 +160,7 @@ def authors(c: Column | str) -> Column:
 
 def metadata_authors(c: Column | str) -> Column:
     """Names in a PDF's author field."""
-    return ordered_distinct(F.transform(F.split(clean(c), r",\s*|\s+and\s+|\s*&\s*"), strip))
+    return ordered_distinct(F.transform(F.split(clean(c), r",\s*|\s+and\s+|\s*&\s*"), lambda x: strip(x)))
 
 
 def clean_authors(items: Column | str) -> Column:

@@ -60,10 +60,17 @@ def list_f1(bound: float = TEXT_MATCH):  # noqa: ANN201
             for x in xs:
                 best, at = 0.0, -1
                 for j in sorted(free):
-                    if x and ys[j] and 2 * min(len(x), len(ys[j])) / (len(x) + len(ys[j])) >= max(best, bound):
-                        s = SequenceMatcher(None, x, ys[j]).ratio()
-                        if s > best:
-                            best, at = s, j
+                    y = ys[j]
+                    if best == 1:
+                        break
+                    if x and x == y:
+                        best, at = 1.0, j
+                    elif x and y and 2 * min(len(x), len(y)) / (len(x) + len(y)) >= max(best, bound):
+                        m = SequenceMatcher(None, x, y)
+                        if m.quick_ratio() >= max(best, bound):
+                            s = m.ratio()
+                            if s > best:
+                                best, at = s, j
                 if best >= bound:
                     free.discard(at)
                     matched += 1

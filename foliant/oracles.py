@@ -170,6 +170,43 @@ def _made() -> dict[str, str]:
         "metadata_scores": f"""SELECT doc_id, round((CASE WHEN doc_id % 3 = 0 OR {c} = '' THEN 0 ELSE 1 END + (CASE WHEN doc_id % 4 <> 0 THEN 1990 + doc_id % 4 END IS NOT DISTINCT FROM CASE WHEN doc_id % 8 = 0 THEN NULL WHEN doc_id % 8 = 1 THEN 1991 ELSE 1990 + doc_id % 5 END)::INT
           + (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)::INT + doc_id % 6 / 6) / 4, 6)::DOUBLE AS metadata FROM documents""",
         "provenance_rules": f"""WITH {LINES}, b AS (SELECT *, length(text) % 9 <> 0 AND length(text) % 4 > ord % 3 AND length(text) % 7 > ord % 5 AS box FROM lines) SELECT doc_id, count(*) FILTER (box AND ord % 6 <> 0) AS n_valid, count(*) FILTER (box) AS n_boxes FROM b GROUP BY doc_id""",
+        "author_names": rf"""WITH {LINES}, f AS (SELECT doc_id, ord, text, CASE ord % 4 WHEN 0 THEN text || ' & Bob Ray2*, ' || text WHEN 1 THEN 'Ann Lee1, ' || text || ' and Cy  Dee' WHEN 2 THEN 'Ann Lee,ann lee , ' || text ELSE text END AS field FROM lines),
+          k AS (SELECT *, {_clean("field")} AS c FROM f),
+          l AS (SELECT doc_id, ord, list_filter(list_transform(CASE WHEN contains(c, ' & ') THEN string_split(c, ' & ') WHEN contains(lower(c), ' and ') THEN string_split(c, ' and ') ELSE [c] END, lambda x: trim(regexp_replace(x, '[0-9]+[*†‡]*', '', 'g'), ' ,.*')), lambda x: x <> '') AS tei,
+            list_filter(list_transform(regexp_split_to_array(c, ',\s*|\s+and\s+|\s*&\s*'), lambda x: trim(x)), lambda x: x <> '') AS pdf,
+            list_filter(list_transform([' Bob Ray; ', text, ', ' || text || ' .', field], lambda x: trim({_clean("x")}, ' ,;.')), lambda x: x <> '') AS names FROM k)
+          SELECT doc_id, ord, md5(array_to_string(tei, '|')) AS tei_md5, {", ".join(f"md5(array_to_string(list_filter({c}, lambda x, i: list_position(list_transform({c}, lambda y: lower(y)), lower(x)) = i), '|')) AS {n}" for c, n in (("pdf", "pdf_md5"), ("names", "list_md5")))} FROM l""",
+        "node_items": f"""WITH {LINES} SELECT doc_id, ord, md5(CASE WHEN ord % 3 = 0 AND text <> '' THEN {c} WHEN ord % 4 < 2 THEN {_clean("'f = ' || text")} ELSE '' END) AS text_md5, CASE WHEN ord % 5 <> 0 THEN 1 + ord % 3 END AS page_no FROM lines""",
+        "reference_lists": rf"""WITH {LINES}, m AS (SELECT doc_id, ord, {_clean("CASE WHEN ord = 2 THEN 'References' WHEN ord % 10 = 4 THEN '[7] Lee, A.: A title.' WHEN ord % 10 = 9 THEN '7. lee a A Title' WHEN ord % 2 = 0 THEN '[' || ord || '] ' || text WHEN ord % 3 = 0 THEN ord || '. ' || text ELSE text END")} AS c FROM lines),
+          h AS (SELECT *, min(ord) FILTER (lower(c) = 'references') OVER (PARTITION BY doc_id) AS begun, trim(regexp_replace(regexp_replace(lower(c), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM m)
+          SELECT doc_id, ord, md5(c) AS text_md5 FROM h WHERE ord >= begun AND key <> '' AND regexp_matches(c, '^\s*(?:\[\d+\]|\d+\.)\s+') QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) = 1""",
+        "front_abstracts": rf"""WITH {LINES}, m AS (SELECT doc_id, ord, {_clean("CASE WHEN ord % 6 = 1 THEN 'Ann Lee1 & ' || text WHEN ord % 6 = 2 THEN 'Department of ' || text WHEN ord = 3 AND doc_id % 3 = 0 THEN 'ABSTRACT : ' || text WHEN ord % 9 = 8 AND doc_id % 2 = 0 THEN 'Keywords ' || text ELSE text END")} AS text FROM lines),
+          h AS (SELECT doc_id, min(ord) AS title FROM m WHERE length(text) BETWEEN 20 AND 300 AND NOT contains(lower(text), 'pdftitle') AND NOT starts_with(text, chr(92)) GROUP BY doc_id),
+          a AS (SELECT doc_id, ord, text, starts_with(lower(text), 'abstract') OR (length(text) >= 60 AND len(string_split(text, ' ')) >= 10 AND regexp_matches(text, '[.!?]') AND NOT {front.replace("ord % 2 = 0 AND ", "")} AND NOT {person}) AS opens FROM m JOIN h USING (doc_id) WHERE ord > title),
+          b AS (SELECT *, min(ord) FILTER (opens) OVER (PARTITION BY doc_id) AS begun FROM a), e AS (SELECT *, min(ord) FILTER (ord >= begun AND regexp_matches(text, '(?i)^\s*keywords?\b')) OVER (PARTITION BY doc_id) AS ended FROM b),
+          g AS (SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY ord) FILTER (t <> ''), '') AS abstract FROM (SELECT doc_id, ord, trim(regexp_replace(text, '(?i)^abstract\s*:?\s*', '')) AS t FROM e WHERE ord >= begun AND (ended IS NULL OR ord < ended)) GROUP BY doc_id)
+          SELECT doc_id, md5(abstract) AS abstract_md5, length(abstract)::INTEGER AS n_chars FROM g""",
+        "canonical_texts": f"""WITH {LINES}, k AS (SELECT *, {c} AS c FROM lines),
+          h AS (SELECT doc_id, ord AS place, lower(c) AS key, c AS heading FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1),
+          p AS (SELECT doc_id, ord, c, CASE WHEN length(text) <= 60 THEN ' ' || text WHEN ord % 3 = 0 THEN 'Else' WHEN ord % 3 = 1 THEN '' END AS section FROM k WHERE c <> ''),
+          j AS (SELECT p.*, lower({_clean("section")}) AS k, place, heading FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND lower({_clean("section")}) = h.key),
+          o AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, k) AS since, first_value(section) OVER (PARTITION BY doc_id, k ORDER BY ord) AS own FROM j WHERE place IS NULL AND k <> ''),
+          parts AS (SELECT doc_id, 0 AS rank, 0 AS a, 0 AS b, CASE WHEN doc_id % 4 <> 0 THEN {_clean("source")} END AS t FROM documents
+            UNION ALL SELECT doc_id, 1, 0, 0, '## Abstract' || chr(10) || chr(10) || {_clean("' in  ' || lang")} FROM documents WHERE doc_id % 3 <> 0 AND lang IS NOT NULL
+            UNION ALL (SELECT DISTINCT doc_id, 2, place, -1, '## ' || heading FROM j WHERE place IS NOT NULL) UNION ALL SELECT doc_id, 2, place, ord, c FROM j WHERE place IS NOT NULL
+            UNION ALL (SELECT DISTINCT doc_id, 3, 0, -1, '## Unsectioned' FROM j WHERE place IS NULL AND k = '') UNION ALL SELECT doc_id, 3, 0, ord, c FROM j WHERE place IS NULL AND k = ''
+            UNION ALL (SELECT DISTINCT doc_id, 4, since, -1, '## ' || own FROM o) UNION ALL SELECT doc_id, 4, since, ord, c FROM o),
+          g AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY rank, a, b) AS t FROM parts WHERE t <> '' GROUP BY doc_id)
+          SELECT doc_id, md5(t) AS text_md5, length(t)::INTEGER AS n_chars FROM g""",
+        "reference_scores": """WITH r AS (SELECT doc_id, unnest(range(len(l)))::INTEGER AS ord, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+          k AS (SELECT doc_id, CASE WHEN ord % 5 <> 0 THEN text END AS a, CASE WHEN ord % 4 <> 1 THEN text || CASE WHEN ord % 3 = 0 THEN '?' ELSE '' END END AS e, length(text) % 3 AS y FROM r),
+          n AS (SELECT doc_id, count(a)::INTEGER AS n_actual, count(e)::INTEGER AS n_expected FROM k GROUP BY doc_id),
+          x AS (SELECT doc_id, a AS t, y, count(*) AS n FROM k WHERE a IS NOT NULL GROUP BY ALL), z AS (SELECT doc_id, e AS t, y, count(*) AS n FROM k WHERE e IS NOT NULL GROUP BY ALL),
+          m AS (SELECT doc_id, sum(least(x.n, z.n)) AS m FROM x JOIN z USING (doc_id, t, y) GROUP BY doc_id)
+          SELECT doc_id, n_actual, n_expected, round(CASE WHEN coalesce(m, 0) = 0 THEN 0.0 ELSE 2 * (m / n_actual) * (m / n_expected) / (m / n_actual + m / n_expected) END, 6)::DOUBLE AS reference_f1 FROM n LEFT JOIN m USING (doc_id)""",
+        "sentence_repeats": """WITH l AS (SELECT doc_id, text, len(string_split(text, chr(10)))::INTEGER AS n FROM documents), s AS (SELECT doc_id, text, unnest(range(least(n, 12))) AS i FROM l WHERE n IS NOT NULL),
+          g AS (SELECT doc_id, string_agg('S' || sha256(i || ' ' || text) || CASE WHEN i % 2 = 0 THEN '.' ELSE ' !' END, ' ' ORDER BY i) AS t FROM s GROUP BY doc_id)
+          SELECT doc_id, n AS n_made, md5(t) AS text_md5 FROM l JOIN g USING (doc_id)""",
         "layout_pairs": f"""WITH {LINES},
           t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("'2 ' || text")}) FROM lines WHERE ord % 3 = 1),
           b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from foliant.functions import classify, text
 from foliant.functions.similarity import token_overlap, without_near_sentences
 from foliant.functions.text import block_key, block_text, clean, let, normalize, numbers, sentence_key, sentences, tokens, without_publisher_text
-from foliant.operators import benchmark, canonical, chunk, dedup, layout, quality, regions
+from foliant.operators import benchmark, canonical, chunk, cleaner, dedup, layout, quality, regions
 from foliant.operators.regions import carry_forward, folded_references
 from foliant.plans import outcomes
 from foliant.sources import files, service, sinks
@@ -510,6 +510,68 @@ def provenance_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count_if(classify.valid_provenance(F.col("p"))).alias("n_valid"), F.count_if(classify.valid_box(F.col("p.bbox"))).alias("n_boxes"))
 
 
+def author_names(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in made-up author fields, with marks and separators: the names by the rules of a TEI text, of a PDF's metadata and of a list."""
+    o, t = F.col("ord"), F.col("text")
+    field = F.when(o % 4 == 0, F.concat(t, F.lit(" & Bob Ray2*, "), t)).when(o % 4 == 1, F.concat(F.lit("Ann Lee1, "), t, F.lit(" and Cy  Dee"))).when(o % 4 == 2, F.concat(F.lit("Ann Lee,ann lee , "), t)).otherwise(t)
+    rows = _paragraphs(spark, d).select("doc_id", "ord", field.alias("field"), F.array(F.lit(" Bob Ray; "), t, F.concat(F.lit(", "), t, F.lit(" .")), field).alias("names"))
+    listed = lambda names: F.md5(F.array_join(names, "|"))
+    return rows.select("doc_id", "ord", listed(text.authors("field")).alias("tei_md5"), listed(text.metadata_authors("field")).alias("pdf_md5"), listed(text.clean_authors("names")).alias("list_md5"))
+
+
+def node_items(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as layout nodes, some of them formulas that have an original alone: their texts and pages."""
+    o, t = F.col("ord"), F.col("text")
+    prov = F.when(o % 5 != 0, F.transform(F.sequence(F.lit(1), o % 5), lambda i: F.struct((i + o % 3).alias("page_no")))).otherwise(F.array().cast("array<struct<page_no:int>>"))
+    nodes = _paragraphs(spark, d).select("doc_id", "ord", F.when(o % 3 == 0, t).when(o % 3 == 1, F.lit("")).alias("text"), F.concat(F.lit(" f =\x0b"), t).alias("orig"), F.when(o % 4 < 2, F.lit("formula")).otherwise(F.lit("text")).alias("label"), prov.alias("prov"))
+    return cleaner.item_text(nodes).select("doc_id", "ord", F.md5("text").alias("text_md5"), cleaner.page_no(F.col("prov")).alias("page_no"))
+
+
+def reference_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as nodes behind a made-up heading References, most of them numbered, some of them alike: the references."""
+    o, t = F.col("ord"), F.col("text")
+    made = F.when(o == 2, F.lit(" References ")).when(o % 10 == 4, F.lit("[7]  Lee, A.: A title.")).when(o % 10 == 9, F.lit("7. lee a A Title")).when(o % 2 == 0, F.concat(F.lit("["), o, F.lit("] "), t)).when(o % 3 == 0, F.concat(o, F.lit(". "), t)).otherwise(t)
+    out = cleaner.cleaned_references(_paragraphs(spark, d).select("doc_id", "ord", made.alias("text")), "doc_id")
+    return out.select("doc_id", "ord", F.md5("text").alias("text_md5"))
+
+
+def front_abstracts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as nodes of a first page, some of them made names, affiliations, an abstract's beginning or keywords: its abstract."""
+    o, t = F.col("ord"), F.col("text")
+    i = F.col("doc_id")
+    made = F.when(o % 6 == 1, F.concat(F.lit("Ann Lee1 & "), t)).when(o % 6 == 2, F.concat(F.lit("Department of "), t)).when((o == 3) & (i % 3 == 0), F.concat(F.lit("ABSTRACT : "), t)).when((o % 9 == 8) & (i % 2 == 0), F.concat(F.lit(" Keywords "), t)).otherwise(t)
+    out = regions.front_abstract(_paragraphs(spark, d).select("doc_id", "ord", made.alias("text")), "doc_id")
+    return out.select("doc_id", F.md5("abstract").alias("abstract_md5"), F.length("abstract").alias("n_chars"))
+
+
+def canonical_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as paragraphs under short lines as headings, under other sections or none: the text of each document."""
+    rows = _paragraphs(spark, d)
+    kept = canonical.sections(rows.where(F.length("text") <= 60).select("doc_id", "ord", F.col("text").alias("heading")), "doc_id")
+    o = F.col("ord")
+    texts = rows.select("doc_id", "ord", clean("text").alias("text"), F.when(F.length("text") <= 60, F.concat(F.lit(" "), F.col("text"))).when(o % 3 == 0, F.lit("Else")).when(o % 3 == 1, F.lit("")).alias("section")).where("text <> ''")
+    papers = read_table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("title"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit(" in  "), "lang")).alias("abstract"))
+    return canonical.canonical_text(papers, kept, texts, "doc_id").select("doc_id", F.md5("canonical_text").alias("text_md5"), F.length("canonical_text").alias("n_chars"))
+
+
+def reference_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Lines' digests as references, with some changed, repeated or left out on the expected side: the F1 of both lists."""
+    side = lambda kept, key: F.collect_list(F.when(kept, F.struct(F.sha2(key, 256).alias("title"), F.array("source").alias("authors"), (F.length("text") % 3).alias("year"), F.lit("").alias("doi"))))
+    o, t = F.col("ord"), F.col("text")
+    rows = read_table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    lists = rows.groupBy("doc_id").agg(side(o % 5 != 0, t).alias("a"), side(o % 4 != 1, F.when(o % 3 == 0, F.concat(t, F.lit("?"))).otherwise(t)).alias("e"))
+    return lists.select("doc_id", F.size("a").alias("n_actual"), F.size("e").alias("n_expected"), F.round(benchmark.reference_score(F.col("a"), F.col("e")), 6).alias("reference_f1"))
+
+
+def sentence_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as rounds of twelve sentences, the digest of the text and a number in each, some cut short when they come again: each stays once."""
+    lines = F.split("text", "\n")
+    digest = lambda i: F.sha2(F.concat((i % 12).cast("string"), F.lit(" "), F.col("text")), 256)
+    made = F.transform(lines, lambda x, i: F.concat(F.lit("S"), F.when((i >= 12) & (i % 5 == 0), F.substring(digest(i), 1, 50)).otherwise(digest(i)), F.when(i % 2 == 0, F.lit(".")).otherwise(F.lit(" !"))))
+    docs = read_table(spark, d, "documents").select("doc_id", F.size(lines).alias("n_made"), without_near_sentences(F.array_join(made, "  ")).alias("t"))
+    return docs.select("doc_id", "n_made", F.md5("t").alias("text_md5"))
+
+
 def integrity_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """The whole report of documents as papers: lines are paragraphs, and blocks with coordinates; what a plain text
     doesn't have is made of it."""
@@ -543,5 +605,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         benchmark_coverage, greedy_list_f1, reference_folding, layout_order, font_stats, coordinate_integrity, reference_integrity, structure_integrity,
         abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
         text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks, cleaning_outcomes, page_abstracts, metadata_scores, provenance_rules,
+        author_names, node_items, reference_lists, front_abstracts, canonical_texts, reference_scores, sentence_repeats,
     )
     return {f.__name__: f for f in listed}

@@ -210,3 +210,9 @@ def test_queries_equal_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_parts_are_stripped(spark):
+    """The function of a list's items gets the item alone, so that its ends are stripped."""
+    row = spark.sql("SELECT '  One two. Three four.\t' AS a, ' Ann Lee ,ann lee & Bob  Ray ' AS b").select(text.sentences("a").alias("s"), text.plain_sentences("a").alias("p"), text.metadata_authors("b").alias("m")).collect()[0]
+    assert (row.s, row.p, row.m) == (["One two.", "Three four."], ["One two.", "Three four."], ["Ann Lee", "Bob Ray"])
