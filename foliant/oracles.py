@@ -207,6 +207,51 @@ def _made() -> dict[str, str]:
         "sentence_repeats": """WITH l AS (SELECT doc_id, text, len(string_split(text, chr(10)))::INTEGER AS n FROM documents), s AS (SELECT doc_id, text, unnest(range(least(n, 12))) AS i FROM l WHERE n IS NOT NULL),
           g AS (SELECT doc_id, string_agg('S' || sha256(i || ' ' || text) || CASE WHEN i % 2 = 0 THEN '.' ELSE ' !' END, ' ' ORDER BY i) AS t FROM s GROUP BY doc_id)
           SELECT doc_id, n AS n_made, md5(t) AS text_md5 FROM l JOIN g USING (doc_id)""",
+        "abstract_choices": rf"""WITH {LINES}, s AS (SELECT doc_id, string_agg(c, ' ' ORDER BY ord) AS s FROM (SELECT doc_id, ord, {c} AS c FROM lines WHERE doc_id % 3 = 0 AND ord BETWEEN 1 AND 3) WHERE c <> '' GROUP BY doc_id),
+          p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN {_clean("' by ' || source")} ELSE '' END AS a, {_clean("CASE doc_id % 4 WHEN 1 THEN 'Title ABSTRACT : ' || text || ' Keywords: none' WHEN 2 THEN 'Abstract short. Introduction ' || text ELSE text END")} AS t FROM documents),
+          x AS (SELECT doc_id, a, trim(regexp_extract(t, '(?is)\babstract\b\s*:?\s*(.*?)(?:\bintroduction\b|\bkeywords?\b|\bbackground\b|\brelated\s+work\b|\bmaterials?\s+and\s+methods?\b|\bmethods?\b)', 1)) AS b FROM p),
+          r AS (SELECT doc_id, coalesce(nullif(a, ''), s, CASE WHEN length(b) >= 80 THEN b END, '') AS abstract FROM x LEFT JOIN s USING (doc_id))
+          SELECT doc_id, md5(abstract) AS abstract_md5, length(abstract)::INTEGER AS n_chars FROM r""",
+        "canonical_records": rf"""WITH {LINES}, k AS (SELECT *, {c} AS c, 1 + ord % 2 AS page FROM lines),
+          h AS (SELECT doc_id, ord AS place, lower(c) AS key, c AS heading FROM k WHERE length(text) <= 60 AND NOT {garbage} QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c) ORDER BY ord) = 1),
+          a AS (SELECT doc_id, max(CASE WHEN doc_id % 3 = 0 AND ord = 0 THEN c ELSE '' END) AS abstract FROM k GROUP BY doc_id),
+          p AS (SELECT k.doc_id, ord, c, page, CASE WHEN length(text) <= 60 THEN ' ' || text WHEN ord % 3 = 0 THEN 'Else' WHEN ord % 3 = 1 THEN '' END AS section FROM k JOIN a USING (doc_id) WHERE c <> '' AND lower(c) <> lower(abstract)),
+          q AS (SELECT p.doc_id, ord, c, page, coalesce(heading, section) AS s FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND lower({_clean("section")}) = h.key),
+          w AS (SELECT *, last_value(nullif(s, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS section FROM q),
+          t AS (SELECT *, lower({_clean("section")}) AS k FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, lower(c), page ORDER BY ord) = 1),
+          j AS (SELECT t.doc_id, t.ord, t.c, t.k, t.section, place, heading FROM t LEFT JOIN h ON t.doc_id = h.doc_id AND t.k = h.key),
+          o AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, k) AS since, first_value(section) OVER (PARTITION BY doc_id, k ORDER BY ord) AS own FROM j WHERE place IS NULL AND k <> ''),
+          title AS (SELECT doc_id, {_clean("' T  ' || source")} AS title FROM documents),
+          parts AS (SELECT doc_id, 0 AS rank, 0 AS a, 0 AS b, title AS t FROM title UNION ALL SELECT doc_id, 1, 0, 0, '## Abstract' || chr(10) || chr(10) || abstract FROM a WHERE abstract <> ''
+            UNION ALL (SELECT DISTINCT doc_id, 2, place, -1, '## ' || heading FROM j WHERE place IS NOT NULL) UNION ALL SELECT doc_id, 2, place, ord, c FROM j WHERE place IS NOT NULL
+            UNION ALL (SELECT DISTINCT doc_id, 3, 0, -1, '## Unsectioned' FROM j WHERE place IS NULL AND k = '') UNION ALL SELECT doc_id, 3, 0, ord, c FROM j WHERE place IS NULL AND k = ''
+            UNION ALL (SELECT DISTINCT doc_id, 4, since, -1, '## ' || own FROM o) UNION ALL SELECT doc_id, 4, since, ord, c FROM o),
+          g AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY rank, a, b) AS t FROM parts WHERE t <> '' GROUP BY doc_id),
+          n AS (SELECT doc_id, count(DISTINCT (regexp_replace(lower(text), '\s+', '', 'g'), page)) FILTER (regexp_replace(text, '\s+', '', 'g') <> '')::INTEGER AS n_formulas, count(DISTINCT (c, page))::INTEGER AS n_figures, count(DISTINCT (c, page)) FILTER (length(text) > 60)::INTEGER AS n_tables,
+            count(DISTINCT lower(c)) FILTER (c <> '' AND (ord % 2 = 1 OR length(c) >= 15))::INTEGER AS n_references FROM k GROUP BY doc_id),
+          names AS (SELECT doc_id, list_filter(['Ann Lee', trim({_clean("source")}, ' ,;.'), trim({_clean("source || ' .'")}, ' ,;.')], lambda x: x <> '') AS names FROM documents)
+          SELECT doc_id, title, array_to_string(list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i), '|') AS authors, CASE WHEN doc_id % 300 + 1850 BETWEEN 1900 AND 2100 THEN (doc_id % 300 + 1850)::INTEGER END AS year, CASE WHEN doc_id % 4 <> 0 THEN '10.1/' || doc_id END AS doi,
+            coalesce(n_s, 0)::INTEGER AS n_sections, coalesce(n_p, 0)::INTEGER AS n_paragraphs, n_formulas, n_figures, n_tables, n_references, md5(coalesce(t, '')) AS text_md5
+          FROM documents JOIN title USING (doc_id) JOIN names USING (doc_id) JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_s FROM h GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_p FROM t GROUP BY doc_id) USING (doc_id)""",
+        "cleaned_papers": rf"""WITH {LINES}, m AS (SELECT doc_id, ord, CASE WHEN ord < 6 THEN 1 ELSE 2 END AS page, {_clean("CASE WHEN ord = 1 THEN 'Ann Lee' || doc_id % 7 || '* & Bob Ray2, ' WHEN ord = 2 THEN 'Department of X' WHEN ord = 3 THEN 'Published: 2 May ' || (doc_id % 30 + 1990) WHEN ord = 4 AND doc_id % 3 = 0 THEN 'ABSTRACT : ' || text WHEN ord = 8 THEN 'REFERENCES' WHEN ord > 8 AND ord % 3 <> 0 THEN '[' || ord || '] ' || text ELSE text END")} AS text FROM lines WHERE ord <> 1 OR doc_id % 2 = 0),
+          f AS (SELECT * FROM m WHERE page = 1 AND text <> ''), h AS (SELECT doc_id, min(ord) AS t, arg_min(text, ord) AS title FROM f WHERE length(text) BETWEEN 20 AND 300 AND NOT contains(lower(text), 'pdftitle') AND NOT starts_with(text, chr(92)) GROUP BY doc_id),
+          b AS (SELECT f.*, t, {_any("lower(text)", classify.AUTHOR_SKIPS)} AS skip, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS turn FROM f LEFT JOIN h USING (doc_id) WHERE t IS NULL OR ord > t),
+          s AS (SELECT *, max(((length(text) >= 60 AND len(string_split(text, ' ')) >= 10 AND regexp_matches(text, '[.!?]')) OR (NOT skip AND regexp_matches(text, '(?i)^\s*keywords?\b')))::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stopped FROM b WHERE turn <= 8),
+          l AS (SELECT doc_id, ord, CASE WHEN contains(text, '&') THEN regexp_split_to_array(text, '\s*&\s*') ELSE regexp_split_to_array(text, '\s*;\s*') END AS parts FROM s WHERE stopped = 0 AND NOT skip AND length(text) <= 500),
+          q AS (SELECT doc_id, ord, i, trim(regexp_replace(regexp_replace(part, '\d+[*†‡]*', '', 'g'), '[*†‡]+', '', 'g'), ' ,.') AS name FROM (SELECT doc_id, ord, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM l)),
+          u AS (SELECT * FROM q WHERE name <> '' AND len(string_split({_clean("name")}, ' ')) BETWEEN 2 AND 6 AND NOT regexp_matches(name, '\d') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY ord, i) = 1),
+          g AS (SELECT doc_id, string_agg(name, '|' ORDER BY ord, i) AS names FROM u GROUP BY doc_id),
+          y AS (SELECT doc_id, arg_min(y, ord) AS y FROM (SELECT doc_id, ord, nullif(regexp_extract(text, '\b((?:19|20)[0-9]{{2}})\b', 1), '')::INTEGER AS y FROM m WHERE page = 1 AND contains(lower(text), 'published')) WHERE y IS NOT NULL GROUP BY doc_id),
+          o AS (SELECT doc_id, ord, text, length(text) >= 60 AND len(string_split(text, ' ')) >= 10 AND regexp_matches(text, '[.!?]') AND NOT {front.replace("ord % 2 = 0 AND ", "")} AND NOT {person} OR starts_with(lower(text), 'abstract') AS opens FROM b WHERE t IS NOT NULL),
+          ob AS (SELECT *, min(ord) FILTER (opens) OVER (PARTITION BY doc_id) AS begun FROM o), oe AS (SELECT *, min(ord) FILTER (ord >= begun AND regexp_matches(text, '(?i)^\s*keywords?\b')) OVER (PARTITION BY doc_id) AS ended FROM ob),
+          ab AS (SELECT doc_id, bool_or(regexp_replace(text, '(?i)^abstract\s*:?\s*', '') <> '') AS has FROM oe WHERE ord >= begun AND (ended IS NULL OR ord < ended) GROUP BY doc_id),
+          z AS (SELECT *, coalesce(ord >= min(ord) FILTER (lower(text) = 'references') OVER (PARTITION BY doc_id), false) AS inside, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM m),
+          rr AS (SELECT doc_id, ord, text FROM z WHERE inside AND key <> '' AND regexp_matches(text, '^\s*(?:\[\d+\]|\d+\.)\s+') QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY ord) = 1),
+          r AS (SELECT doc_id, count(*)::INTEGER AS n, string_agg(text, '|' ORDER BY ord) AS r FROM rr GROUP BY doc_id),
+          n AS (SELECT doc_id, count(*)::INTEGER AS total, count(*) FILTER (NOT inside AND NOT {front.replace("ord % 2 = 0", "page = 1")} AND NOT regexp_matches(text, '(?i)^(?:Figure|Fig\.|Table)\s*\d+\b') AND NOT regexp_matches(text, '(?i)^\s*keywords?\b') AND {_publisher("text")} <> '')::INTEGER AS kept FROM z GROUP BY doc_id)
+          SELECT doc_id, md5(regexp_replace(title, '[†‡]+$', '')) AS title_md5, coalesce(nullif(names, ''), CASE WHEN doc_id % 3 <> 0 THEN 'Zed Poe|Cy Dee' ELSE '' END) AS authors, coalesce(CASE doc_id % 4 WHEN 0 THEN 2011 WHEN 1 THEN 1987 END, y) AS year, coalesce(has, false) AS has_abstract,
+            coalesce(r.n, 0) AS n_references, md5(coalesce(r, '')) AS references_md5, coalesce(total, 0) AS total_text_nodes, coalesce(kept, -1) AS n_kept
+          FROM documents LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN ab USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)""",
         "layout_pairs": f"""WITH {LINES},
           t AS (SELECT DISTINCT doc_id, false AS heading, lower({c}) AS x FROM lines WHERE ord % 3 = 0 UNION SELECT DISTINCT doc_id, true, lower({_clean("'2 ' || text")}) FROM lines WHERE ord % 3 = 1),
           b AS (SELECT doc_id, lower({_clean("CASE WHEN ord % 5 = 2 THEN 'Fig ' || text ELSE text END")}) AS y, max((ord % 2 = 0)::INT) = 1 AS head FROM lines GROUP BY ALL),

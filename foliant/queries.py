@@ -18,7 +18,7 @@ from foliant.functions.similarity import token_overlap, without_near_sentences
 from foliant.functions.text import block_key, block_text, clean, let, normalize, numbers, sentence_key, sentences, tokens, without_publisher_text
 from foliant.operators import benchmark, canonical, chunk, cleaner, dedup, layout, quality, regions
 from foliant.operators.regions import carry_forward, folded_references
-from foliant.plans import outcomes
+from foliant.plans import outcomes, papers
 from foliant.sources import files, service, sinks
 from foliant.sources.tables import read_spread as read_table
 
@@ -572,6 +572,51 @@ def sentence_repeats(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "n_made", F.md5("t").alias("text_md5"))
 
 
+def abstract_choices(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' lines under made-up sections beside a PDF's text: the abstract that is given, else the section's, else the PDF text's."""
+    i, o, t = F.col("doc_id"), F.col("ord"), F.col("text")
+    pdf = F.when(i % 4 == 1, F.concat(F.lit("Title ABSTRACT : "), t, F.lit(" Keywords: none"))).when(i % 4 == 2, F.concat(F.lit("Abstract short. Introduction "), t)).otherwise(t)
+    papers = read_table(spark, d, "documents").select("doc_id", F.when(i % 4 == 0, F.concat(F.lit(" by "), "source")).alias("abstract"), pdf.alias("pdf_text"))
+    rows = _paragraphs(spark, d).withColumn("section", F.when((o == 1) & (i % 3 == 0), F.lit(" Abstract")).when(o == 4, F.lit("Methods")))
+    return canonical.abstracts(papers, rows, "doc_id").select("doc_id", F.md5("abstract").alias("abstract_md5"), F.length("abstract").alias("n_chars"))
+
+
+def canonical_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as three parsers' records, the lines as sections, paragraphs, artifacts and references: the canonical document of each."""
+    i = F.col("doc_id")
+    lines = F.split("text", "\n")
+    section = lambda x, k: F.when(F.length(x) <= 60, F.concat(F.lit(" "), x)).when(k % 3 == 0, F.lit("Else")).when(k % 3 == 1, F.lit(""))
+    coords = lambda k: F.array(F.struct((1 + k % 2).alias("page"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h")))
+    tei = F.struct(
+        F.concat(F.lit(" T  "), "source").alias("title"),
+        F.array(F.lit(" Ann Lee; "), F.col("source"), F.concat("source", F.lit(" ."))).alias("authors"),
+        (i % 300 + 1850).alias("year"),
+        F.when(i % 4 != 0, F.concat(F.lit(" 10.1/"), i)).otherwise(F.lit("  ")).alias("doi"),
+        F.when(i % 3 == 0, F.get(lines, F.lit(0))).alias("abstract"),
+        F.transform(F.filter(lines, lambda x: F.length(x) <= 60), lambda x: F.struct(x.alias("heading"), F.lit(1).alias("level"))).alias("sections"),
+        F.transform(lines, lambda x, k: F.struct(x.alias("text"), section(x, k).alias("section"), coords(k).alias("coords"))).alias("paragraphs"),
+        F.transform(lines, lambda x, k: F.struct(x.alias("title"), F.array("source").alias("authors"), F.when(k % 2 == 0, x).otherwise(F.lit("")).alias("raw"))).alias("references"),
+    )
+    place = lambda name: F.transform(lines, lambda x, k: F.struct(x.alias(name), coords(k).alias("coords")))
+    artifacts = F.struct(F.filter(F.transform(lines, lambda x, k: F.struct(x.alias("text"), F.lit("text").alias("label"), coords(k).alias("coords"))), lambda b: F.lit(False)).alias("text_blocks"), place("text").alias("formulas"), place("caption").alias("figures"), F.filter(place("caption"), lambda b: F.length(b["caption"]) > 60).alias("tables"))
+    records = read_table(spark, d, "documents").select("doc_id", F.concat(i, F.lit(".pdf")).alias("filename"), tei.alias("tei"), F.lit("").alias("pdf_text"), artifacts.alias("artifacts"))
+    out = papers.canonical_documents(records, "doc_id")
+    return out.select("doc_id", "metadata.title", F.array_join("metadata.authors", "|").alias("authors"), "metadata.year", "metadata.doi", *[F.size(c).alias(f"n_{c}") for c in ("sections", "paragraphs", "formulas", "figures", "tables", "references")], F.md5("canonical_text").alias("text_md5"))
+
+
+def cleaned_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as papers of a layout tree, their lines its nodes, with made-up authors, year, abstract and references: the cleaned document of each."""
+    i, o, t = F.col("doc_id"), F.col("ord"), F.col("text")
+    made = F.when(o == 1, F.concat(F.lit("Ann Lee"), i % 7, F.lit("* & Bob Ray2, "))).when(o == 2, F.lit("Department of X")).when(o == 3, F.concat(F.lit("Published: 2 May "), i % 30 + 1990)).when((o == 4) & (i % 3 == 0), F.concat(F.lit("ABSTRACT : "), t)).when(o == 8, F.lit("REFERENCES")).when((o > 8) & (o % 3 != 0), F.concat(F.lit("["), o, F.lit("] "), t)).otherwise(t)
+    nodes = _paragraphs(spark, d).where((o != 1) | (i % 2 == 0)).select("doc_id", "ord", made.alias("text"), F.lit(None).cast("string").alias("orig"), F.lit("text").alias("label"), F.when(o < 6, 1).otherwise(2).alias("page_no"))
+    none = F.lit(None).cast("string")
+    meta = F.struct(F.when(i % 3 != 0, F.lit("Zed Poe, Cy  Dee and zed poe")).alias("pdf_author"), F.when(i % 4 == 0, F.lit("D:20110203")).alias("creation_date"), none.alias("mod_date"), F.when(i % 4 == 1, F.lit("in 1987")).alias("publication_date"))
+    made_of = read_table(spark, d, "documents").select("doc_id", F.concat(i, F.lit(".pdf")).alias("filename"), F.lit(2).alias("num_pages"), meta.alias("metadata"))
+    out = papers.cleaned_documents(made_of, nodes, "doc_id")
+    kept = F.size(F.filter("nodes", lambda x: x["text"] != ""))
+    return out.select("doc_id", F.md5("title").alias("title_md5"), F.array_join("authors", "|").alias("authors"), "year", (F.coalesce("abstract", F.lit("")) != "").alias("has_abstract"), F.size("references").alias("n_references"), F.md5(F.array_join("references", "|")).alias("references_md5"), "stats.total_text_nodes", kept.alias("n_kept"))
+
+
 def integrity_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """The whole report of documents as papers: lines are paragraphs, and blocks with coordinates; what a plain text
     doesn't have is made of it."""
@@ -606,5 +651,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         abstract_integrity, abstract_regions, artifact_dedup, canonical_paragraphs, title_rules, front_authors, person_and_front_matter, year_rules,
         text_rules, registry_update, layout_tree, tei_records, accuracy_scores, integrity_evaluation, layout_pairs, paragraph_pairs, layout_passes, page_blocks, cleaning_outcomes, page_abstracts, metadata_scores, provenance_rules,
         author_names, node_items, reference_lists, front_abstracts, canonical_texts, reference_scores, sentence_repeats,
+        abstract_choices, canonical_records, cleaned_papers,
     )
     return {f.__name__: f for f in listed}
