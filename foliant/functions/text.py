@@ -145,9 +145,9 @@ def lines(c: Column | str) -> Column:
 
 def ordered_distinct(items: Column | str, key=F.lower) -> Column:  # noqa: ANN001
     """First of each key, in order; empty items go."""
-    items = F.filter(_col(items), lambda x: x.isNotNull() & (x != ""))
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    firsts = lambda items, keys: F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    some = F.filter(_col(items), lambda x: x.isNotNull() & (x != ""))
+    return let(some, lambda items: let(F.transform(items, lambda x: key(x)), lambda keys: firsts(items, keys)))
 
 
 def authors(c: Column | str) -> Column:
