@@ -3,7 +3,8 @@
 A text's vector holds TF-IDF weights of hashed byte bigrams and trigrams of its letters (ASCII letters
 in lower case, other ASCII as one space), normalised to length one. Document frequencies come from all
 training texts. Each language has CENTROIDS spherical k-means centroids, fitted on at most SAMPLE
-training texts of the language, chosen by a hash of the id; SAMPLE is the documented bound of the fit.
+training texts of the language that have a letter: those of the lowest hashes of id and text together, a row that repeats both
+counting once. SAMPLE is the documented bound of the fit, and no language with such a text falls out of it.
 A text gets the language of the centroid with the highest cosine. It is rejected if the distance to
 that centroid is beyond what the centroid's own members show (or if it has no letter).
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.arrowtext import grouped, slices
@@ -30,6 +31,8 @@ UNDECIDED = "und"
 
 #: More languages than this are refused: each is some rows on the driver.
 MAX_LANGS = 10_000
+#: Places of the hashes that choose the sample.
+PLACES = 1 << 31
 #: Texts, and bytes of them, whose vectors are made together, so that they stay in a core's cache.
 ROWS, SLICE_BYTES = 16, 1 << 16
 _FOLD = bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256))
@@ -37,7 +40,7 @@ _LOG = np.log1p(np.arange(4096, dtype=np.float32))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """crc32 of the id's text mod 5 is 0; such documents teach nothing."""
+    """crc32 of the id's text mod 5 is 0; such documents teach nothing. A null id isn't held out: its text may teach."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
@@ -115,11 +118,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """A model of docs' labelled texts; rows with a null text or language teach nothing.
 
     Sent to the driver: one count for each language, DIMS document frequencies, CENTROIDS vectors for
-    each language; more than MAX_LANGS languages are refused. Equal texts of a language are one and the same to
-    k-means but for their number; its ties go to the earlier text by id. Without a labelled text the model
-    knows no language.
+    each language; more than MAX_LANGS languages are refused. Ids may be null or repeated. Equal texts of a language are one and
+    the same to k-means but for their number, rows of equal id and text in that too; its ties go to the lower hash. Without a
+    labelled text the model knows no language.
     """
-    train = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    train = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
+    able = train.where(F.col("text").rlike(r"\p{L}"))
+    place = F.pmod("h", F.lit(PLACES))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMS, np.int64), 0
@@ -132,13 +137,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     found = {r.dim: r.n for r in train.select("text").mapInArrow(frequencies, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     total = found.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
-    share = {r.lang: min(1.0, SAMPLE / r.n) for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(share) > MAX_LANGS:
+    # about twice as many as the sample asks for, and the lowest one in any case
+    seen = able.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min(place).alias("low")).limit(MAX_LANGS + 1).collect()
+    if len(seen) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    if not share:
+    if not seen:
         return CentroidModel(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    limits = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(s * (1 << 31)))])
-    chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < limits[F.col("lang")])
+    limits = F.create_map(*[F.lit(x) for r in seen for x in (r.lang, max(r.low + 1, int(min(1.0, 2 * SAMPLE / r.n) * PLACES)))])
+    chosen = able.where(place < limits[F.col("lang")])
 
     def vector(part: pa.RecordBatch) -> pa.RecordBatch:
         counts, letters = _counts(part.column("text"))
@@ -146,17 +152,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         v /= length[:, None]
         keep = np.flatnonzero(letters)
         at = pa.array(keep)
-        return pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("lang").take(at), pa.array([x.tobytes() for x in v[keep]], pa.binary())], ["id", "lang", "vector"])
+        return pa.RecordBatch.from_arrays([part.column("lang").take(at), part.column("h").take(at), pa.array([x.tobytes() for x in v[keep]], pa.binary())], ["lang", "h", "vector"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return grouped(vector(part) for batch in batches for part in _parts(batch))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "vector"])
+        group = group.sort_values("h")
         c, low = _kmeans(np.stack([np.frombuffer(x, np.float32) for x in group["vector"]]), CENTROIDS)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "i": range(len(c)), "low": low, "vector": [x.astype(np.float32).tobytes() for x in c]})
 
-    rows = chosen.mapInArrow(vectors, "id string, lang string, vector binary").groupBy("lang").applyInPandas(cluster, "lang string, i int, low double, vector binary").collect()
+    each = chosen.mapInArrow(vectors, "lang string, h long, vector binary").groupBy("lang", "h").agg(F.min("vector").alias("vector"))
+    lowest = each.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(PLACES)), "h"))).where(F.col("turn") <= SAMPLE)
+    rows = lowest.groupBy("lang").applyInPandas(cluster, "lang string, i int, low double, vector binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.i))
     centroids = np.stack([np.frombuffer(r.vector, np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32)
     return CentroidModel(idf, centroids, [r.lang for r in rows], np.array([r.low for r in rows]))

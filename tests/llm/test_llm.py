@@ -468,3 +468,18 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "n_tokens"} <= set(out.columns) and out.count() > 0.5 * docs.count()
+
+
+@pytest.mark.parametrize("one_id", [None, 7])
+def test_language_sample(spark, monkeypatch, one_id):
+    """With null ids, one repeated id and repeated rows no language falls out of the sample."""
+    words = {"en": "the cat sat on a mat and ate", "fr": "le chat est sur la table et il mange"}
+    rows = [(one_id, f"{words[lang]} {'abcdefghij'[i % 10]}{'klmnop'[i % 6]} {i}", lang) for lang in words for i in range(300)]
+    rows += [(i, "der Hund schl\u00e4ft", "de") for i in range(1)] + [(one_id, "gatto nero", "it")] * 500 + [(i, "12 34", "xx") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    model = langid.fit(docs)
+    assert sorted(set(model.langs)) == ["de", "en", "fr", "it"]
+    assert model.langs.count("it") == 1
+    got = langid.predictions(docs.where("lang <> 'xx'").select("doc_id", "text", "lang"), model).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 300, "fr": 300, "de": 1, "it": 500}
