@@ -275,7 +275,7 @@ def _made() -> dict[str, str]:
         "title_rules": f"""WITH {LINES}, k AS (SELECT doc_id, ord, {c} AS c FROM lines),
           t AS (SELECT doc_id, min(ord) FILTER (length(c) BETWEEN 20 AND 300 AND NOT contains(lower(c), 'pdftitle') AND NOT starts_with(c, chr(92))) AS title_ord, min(ord) FILTER (length(c) BETWEEN 20 AND 250 AND NOT {_any("lower(c)", classify.TEXT_METADATA)}) AS candidate_ord FROM k GROUP BY doc_id)
           SELECT t.doc_id, md5(c) AS title_md5, title_ord, candidate_ord FROM t LEFT JOIN k ON k.doc_id = t.doc_id AND k.ord = t.title_ord WHERE title_ord IS NOT NULL OR candidate_ord IS NOT NULL""",
-        "front_authors": rf"""WITH {LINES}, n AS (SELECT doc_id, ord, {_clean("CASE ord WHEN 1 THEN 'Ann Lee' || (doc_id % 7) || '* & Bob Ray2, ; Cy Dee' WHEN 2 THEN 'Department of X' ELSE text END")} AS c FROM lines),
+        "front_authors": rf"""WITH {LINES}, n AS (SELECT doc_id, 2 * ord + k AS ord, {_clean("CASE WHEN ord = 1 AND k = 0 THEN 'Ann Lee' || (doc_id % 7) || '* & Bob Ray2, ; Cy Dee' WHEN ord = 1 THEN regexp_replace(text, '[.!?,]', ' &', 'g') WHEN ord = 2 THEN 'Department of X' ELSE text END")} AS c FROM lines JOIN (VALUES (0), (1)) AS v(k) ON ord = 1 OR k = 0),
           t AS (SELECT doc_id, min(ord) FILTER (length(c) BETWEEN 20 AND 300 AND NOT contains(lower(c), 'pdftitle') AND NOT starts_with(c, chr(92))) AS t FROM n GROUP BY doc_id),
           a AS (SELECT n.*, {_any("lower(c)", classify.AUTHOR_SKIPS)} AS skip, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS turn FROM n JOIN t USING (doc_id) WHERE t IS NULL OR ord > t),
           s AS (SELECT *, max(((length(c) >= 60 AND len(string_split(c, ' ')) >= 10 AND regexp_matches(c, '[.!?]')) OR (NOT skip AND regexp_matches(c, '(?i)^\s*keywords?\b')))::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stopped FROM a WHERE turn <= 8),
