@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.similarity import ratio, ratio_bound
 from foliant.functions.text import doi_key, normalize
@@ -18,6 +20,8 @@ from foliant.plans.scratch import materialize
 TEXT_MATCH, FORMULA_MATCH, PARAGRAPH_MATCH = 0.85, 0.75, 0.80
 #: Texts of up to so many characters may be alike without two neighbours in common.
 TINY = 3
+#: Texts' counts that are kept for the next pairs.
+KEPT_COUNTS = 1000
 WEIGHTS = {"metadata": 0.20, "sections": 0.15, "paragraphs": 0.20, "formulas": 0.15, "references": 0.10, "tables": 0.05, "figures": 0.05, "abstract": 0.10}
 
 
@@ -88,11 +92,42 @@ def paragraph_pairs(expected: DataFrame, actual: DataFrame, by: str = "paper_id"
     A ratio of 0.8 needs 0.4 T matching characters of T in both. What doesn't match, at most 0.2 T, parts the rest into at
     most 0.2 T + 1 runs, so the two share 0.2 T - 1 pairs of neighbours, counted with repeats, or more; as one is at most half as long again as the
     other, that is at least a third of either one's length less one. So they meet at the rarest pairs of neighbours, all but that
-    many (simjoin.sharing); texts of up to three characters at single ones. Then all of both are counted.
+    many (simjoin.sharing); texts of up to three characters at single ones. Then all of both are counted. In papers of few pairs
+    all of like length are counted at once.
     """
+    side = lambda rows, c: materialize(rows.select(by, c).where(F.col(c) != "").repartition(by).distinct(), "texts")
+    few, many = simjoin.few_and_many(side(expected, "x"), side(actual, "y"), by)
+    x, y, common = F.col("x"), F.col("y"), F.col("common")
+    total = F.length(x) + F.length(y)
+    counted = few[0].join(few[1], by).where(ratio_bound(x, y) >= PARAGRAPH_MATCH).withColumn("common", common_runs(x, y))
+    pairs = counted.where((5 * common["ones"] >= 2 * total) & (5 * common["twos"] >= total - 5)).select(by, "x", "y")
+    return pairs.unionByName(_alike(*many, by)) if many else pairs
+
+
+@F.pandas_udf(T.StructType([T.StructField("ones", T.IntegerType()), T.StructField("twos", T.IntegerType())]))
+def common_runs(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """How many characters and pairs of neighbours two texts have in common, counted with repeats."""
+    counts: dict[tuple[str, int], Counter] = {}
+
+    def of(t: str, n: int) -> Counter:
+        if (t, n) not in counts:
+            if len(counts) >= KEPT_COUNTS:
+                counts.clear()
+            counts[t, n] = Counter(t if n == 1 else map(str.__add__, t, t[1:]))
+        return counts[t, n]
+
+    def common(s: str, t: str, n: int) -> int:
+        u, v = of(s, n), of(t, n)
+        return sum(min(u[k], v[k]) for k in u.keys() & v.keys())
+
+    return pd.DataFrame([(common(s, t, 1), common(s, t, 2)) for s, t in zip(a, b, strict=True)], columns=["ones", "twos"])
+
+
+def _alike(expected: DataFrame, actual: DataFrame, by: str) -> DataFrame:
+    """paragraph_pairs() by filters."""
 
     def texts(rows: DataFrame, key: str, c: str) -> DataFrame:
-        rows = rows.select(by, F.xxhash64(c).alias(key), F.col(c).alias("text")).distinct()
+        rows = rows.select(by, F.xxhash64(c).alias(key), F.col(c).alias("text"))
         grams = [simjoin.numbered_grams(rows, n, by, key).withColumnRenamed("items", f"{c}{n}") for n in (1, 2)]
         none = F.array().cast("array<string>")
         joined = rows.join(grams[0], [by, key]).join(grams[1], [by, key], "left")
