@@ -7,9 +7,11 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 COORD = "struct<page:int,x:double,y:double,w:double,h:double>"
 TEI = f"struct<title:string,authors:array<string>,year:int,doi:string,abstract:string,sections:array<struct<heading:string,level:int,path:array<string>,coords:array<{COORD}>>>,paragraphs:array<struct<text:string,sentences:array<string>,section:string,section_path:array<string>,coords:array<{COORD}>,page:int>>,figures:array<struct<type:string,label:string,caption:string,coords:array<{COORD}>,page:int>>,references:array<struct<title:string,authors:array<string>,raw:string>>>"
@@ -17,6 +19,8 @@ BOX = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
 PROV = f"array<struct<page_no:int,bbox:{BOX}>>"
 LAYOUT = f"struct<texts:array<struct<text:string,orig:string,label:string,prov:{PROV}>>,pictures:array<struct<children:array<struct<text:string>>,prov:{PROV}>>,tables:array<struct<prov:{PROV}>>>"
 AUDIT = "metadata struct<title:string,author:string,subject:string,keywords:string,creator:string,producer:string,creation_date:string,modification_date:string>, num_pages int, pages array<struct<page_no:int,blocks:array<struct<block_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>>>"
+#: Records of texts of so many characters are held at once; a record in Python is many times its text.
+HELD_CHARS = 1 << 20
 _NS = "{http://www.tei-c.org/ns/1.0}"
 
 
@@ -191,21 +195,31 @@ def parsed_tei(texts: DataFrame, coords_attribute: bool = True, whole: bool = Tr
     A null or empty xml, such as that of a file whose service failed, keeps the error that it came with or gets one; none stops another.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(path: str, xml: str | None, before: str | None) -> tuple[str, dict | None, str | None]:
+        if xml is None or not xml.strip():
+            return path, None, before or "no text"
+        try:
+            return path, parse_tei(xml, coords_attribute, whole), None
+        except ElementTree.ParseError as e:
+            return path, None, str(e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, xml, before in zip(batch["path"], batch["xml"], batch["error"], strict=True):
-                if not isinstance(xml, str) or not xml.strip():
-                    rows.append((path, None, before or "no text"))
-                    continue
-                try:
-                    rows.append((path, parse_tei(xml, coords_attribute, whole), None))
-                except ElementTree.ParseError as e:
-                    rows.append((path, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "tei", "error"])
+            rows, held = [], 0
+            for path, xml, before in zip(*batch.select(["path", "xml", "error"]).columns, strict=True):
+                text = xml.as_py()
+                rows.append(one(path.as_py(), text, before.as_py()))
+                held += len(text or "")
+                if held >= HELD_CHARS:
+                    yield made(rows)
+                    rows, held = [], 0
+            yield made(rows)
 
     error = F.col("error") if "error" in texts.columns else F.lit(None).cast("string").alias("error")
-    return texts.select("path", "xml", error).mapInPandas(run, f"path string, tei {TEI}, error string")
+    schema = T.StructType.fromDDL(f"path string, tei {TEI}, error string")
+    kind = to_arrow_schema(schema)
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind.field(k).type) for k in range(3)], schema=kind)
+    return texts.select("path", "xml", error).mapInArrow(run, schema)
 
 
 def layout_artifacts(trees: DataFrame, tree: str = "json") -> DataFrame:
