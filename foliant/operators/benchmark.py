@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from foliant.plans.scratch import materialize
 TEXT_MATCH, FORMULA_MATCH, PARAGRAPH_MATCH = 0.85, 0.75, 0.80
 #: Texts of up to so many characters may be alike without two neighbours in common.
 TINY = 3
+#: Classes of characters by which items of lists are told apart first, and what rounding may move a bound by.
+CLASSES, SLACK = 128, 1e-6
 #: Texts' counts that are kept for the next pairs.
 KEPT_COUNTS = 1000
 WEIGHTS = {"metadata": 0.20, "sections": 0.15, "paragraphs": 0.20, "formulas": 0.15, "references": 0.10, "tables": 0.05, "figures": 0.05, "abstract": 0.10}
@@ -49,6 +52,14 @@ def count_score(actual: Column, expected: Column) -> Column:
     return F.when(expected > 0, F.greatest(F.lit(0.0), 1 - F.abs(actual - expected) / expected)).otherwise(0.0)
 
 
+def counted_classes(items: list[str | None]) -> np.ndarray:
+    """A row for each text: how many of its characters are in each of CLASSES classes. No two texts have more characters in common than
+    their rows have, so a bound on these is one on their ratio."""
+    data = np.frombuffer("".join(x or "" for x in items).encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES
+    row = np.repeat(np.arange(len(items)), [len(x or "") for x in items])
+    return np.bincount(row * CLASSES + data, minlength=len(items) * CLASSES).reshape(len(items), CLASSES).astype(np.int32)
+
+
 def list_f1(bound: float = TEXT_MATCH):  # noqa: ANN201
     """A function of two columns array<string> (normalised): struct matched, precision, recall, f1.
 
@@ -60,23 +71,36 @@ def list_f1(bound: float = TEXT_MATCH):  # noqa: ANN201
         out = []
         for xs, ys in zip(actual, expected, strict=True):
             xs, ys = list(xs) if xs is not None else [], list(ys) if ys is not None else []
-            free, matched = set(range(len(ys))), 0
-            for x in xs:
+            free, matched = np.ones(len(ys), bool), 0
+            # equal items are found by value, the places of each in order; of the others, only those whose counts allow the bound
+            places: dict[str, deque[int]] = {}
+            for j, y in enumerate(ys):
+                if y:
+                    places.setdefault(y, deque()).append(j)
+            counts, size = counted_classes(ys), np.array([len(y or "") for y in ys], np.int64)
+            matchers: dict[int, SequenceMatcher] = {}
+            wanted = counted_classes(xs)
+            for i, x in enumerate(xs):
+                if not x:
+                    continue
                 best, at = 0.0, -1
-                for j in sorted(free):
-                    y = ys[j]
-                    if best == 1:
-                        break
-                    if x and x == y:
-                        best, at = 1.0, j
-                    elif x and y and 2 * min(len(x), len(y)) / (len(x) + len(y)) >= max(best, bound):
-                        m = SequenceMatcher(None, x, y)
+                same = places.get(x)
+                while same and not free[same[0]]:
+                    same.popleft()
+                if same:
+                    best, at = 1.0, same[0]
+                elif len(ys):
+                    near = np.flatnonzero(free & (size > 0) & (2 * np.minimum(size, len(x)) >= bound * (size + len(x)) - SLACK))
+                    common = np.minimum(counts[near], wanted[i]).sum(1)
+                    for j in near[2 * common >= bound * (size[near] + len(x)) - SLACK].tolist():
+                        m = matchers.setdefault(j, SequenceMatcher(None, "", ys[j]))
+                        m.set_seq1(x)
                         if m.quick_ratio() >= max(best, bound):
                             s = m.ratio()
                             if s > best:
                                 best, at = s, j
                 if best >= bound:
-                    free.discard(at)
+                    free[at] = False
                     matched += 1
             p = matched / len(xs) if xs else 0.0
             r = matched / len(ys) if ys else 0.0
