@@ -27,7 +27,7 @@ from foliant.plans.scratch import materialize
 
 TAU = 2
 NEAR_FROM, TWO_FROM = 10, 20
-#: Keys that a line is indexed by, and that it probes.
+#: Keys that a line is indexed by, and that it probes, these among them.
 INDEXED, PROBED = TAU + 1, 12
 #: Up to so many line hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
@@ -63,22 +63,25 @@ def _index(line: Column, n: Column) -> list[Column]:
 
 
 def _probes(line: Column, n: Column) -> list[Column]:
+    """All but those that are keys of _index() too, which a line probes as well."""
     out = []
     for delta in range(TAU + 1):
         for i, (b, k) in enumerate(_segments(n - delta)):
             low = max(-i, delta - (TAU - i))
             high = min(i, delta + (TAU - i))
-            out += [_key(F.substring(line, b + shift, k), i, n - delta) for shift in range(low, high + 1)]
+            out += [_key(F.substring(line, b + shift, k), i, n - delta) for shift in range(low, high + 1) if delta or shift]
     return out
 
 
 def _counts(line: Column) -> Column:
-    """Counts (mod 16) of the characters of _COUNTED, four bits each."""
-    total = F.lit(0).cast("long")
+    """Counts (mod 16) of the characters of _COUNTED, four bits each. Each is taken out of what the ones before it left,
+    which grows short; equal parts of an expression are computed once."""
+    total, left = F.lit(0).cast("long"), line
     for i, c in enumerate(_COUNTED):
         # lengths in bytes, as these characters have one each
-        have = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(15)
-        total = total.bitwiseOR(F.shiftleft(have, 4 * i))
+        rest = F.replace(left, F.lit(c), F.lit(""))
+        total = total.bitwiseOR(F.shiftleft((F.octet_length(left) - F.octet_length(rest)).cast("long").bitwiseAND(15), 4 * i))
+        left = rest
     return total
 
 
@@ -177,12 +180,12 @@ def near_lines(lines: DataFrame, node: str = "h") -> DataFrame:
     long = lines.where(F.length("line") >= NEAR_FROM - TAU)
     # keys are made before lines meet their copies, so that no text is shuffled and sorted; those of one line are equal
     keyed = long.select("h", "node", _counts(F.col("line")).alias("f"), _let(F.length("line"), lambda n: F.array(*_index(F.col("line"), n), *_probes(F.col("line"), n))).alias("keys"))
-    names = [f"k{i}" for i in range(INDEXED + PROBED)]
+    names = [f"k{i}" for i in range(PROBED)]
     distinct = keyed.groupBy("h", "node").agg(F.max("f").alias("f"), *[F.max(F.get("keys", F.lit(i))).alias(c) for i, c in enumerate(names)])
     # both sides name all keys, so that they read the same shuffle
-    part = lambda first, n: F.explode(F.slice(F.array(*names), first + 1, n)).alias("key")
-    index = distinct.select("h", "f", part(0, INDEXED))
-    probe = distinct.select(F.col("h").alias("ph"), F.col("f").alias("pf"), part(INDEXED, PROBED))
+    first = lambda n: F.explode(F.slice(F.array(*names), 1, n)).alias("key")
+    index = distinct.select("h", "f", first(INDEXED))
+    probe = distinct.select(F.col("h").alias("ph"), F.col("f").alias("pf"), first(PROBED))
     close = (F.col("h") != F.col("ph")) & (_apart(F.col("f"), F.col("pf")) <= 2 * TAU)
     pairs = probe.join(index.hint("shuffle_hash"), (probe["key"] == index["key"]) & close)
     pairs = materialize(pairs.select(F.least("h", "ph").alias("a"), F.greatest("h", "ph").alias("b")).distinct(), "linepairs")
